@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import sharding, url_filter
+from tidewire.llm import quality, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_url_vocabulary": url_filter.op3_url_vocabulary,
         "op4_rendezvous_sharding": sharding.op4_rendezvous_sharding,
+        "op9_quality_cascade": quality.op9_quality_cascade,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_vocabulary": url_filter.op3_sql()}
+    return {"op3_url_vocabulary": url_filter.op3_sql(), "op9_quality_cascade": quality.op9_sql()}
