@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import decontaminate, quality, secrets, sharding, url_filter
+from tidewire.llm import decontaminate, jaccard_join, quality, secrets, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_vocabulary": url_filter.op3_url_vocabulary,
         "op4_rendezvous_sharding": sharding.op4_rendezvous_sharding,
         "op6_token_efficiency": secrets.op6_token_efficiency,
+        "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_quality_cascade": quality.op9_quality_cascade,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_windows": decontaminate.op2_sql(), "op3_url_vocabulary": url_filter.op3_sql(), "op9_quality_cascade": quality.op9_sql()}
+    return {"op2_benchmark_windows": decontaminate.op2_sql(), "op3_url_vocabulary": url_filter.op3_sql(), "op8_jaccard_join": jaccard_join.op8_sql(), "op9_quality_cascade": quality.op9_sql()}
