@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import decontaminate, jaccard_join, quality, secrets, sharding, url_filter
+from tidewire.llm import (
+    decontaminate,
+    jaccard_join,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    token_files,
+    url_filter,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +23,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_benchmark_windows": decontaminate.op2_benchmark_windows,
         "op3_url_vocabulary": url_filter.op3_url_vocabulary,
         "op4_rendezvous_sharding": sharding.op4_rendezvous_sharding,
+        "op5_token_files": token_files.op5_token_files,
         "op6_token_efficiency": secrets.op6_token_efficiency,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_quality_cascade": quality.op9_quality_cascade,
+        "op10_retrieval_packing": packing.op10_retrieval_packing,
     }
 
 
