@@ -10,6 +10,8 @@ from tidewire.llm import (
     decontaminate,
     jaccard_join,
     packing,
+    pii,
+    preference,
     quality,
     secrets,
     sharding,
@@ -20,11 +22,13 @@ from tidewire.llm import (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_preference_chat": preference.op1_preference_chat,
         "op2_benchmark_windows": decontaminate.op2_benchmark_windows,
         "op3_url_vocabulary": url_filter.op3_url_vocabulary,
         "op4_rendezvous_sharding": sharding.op4_rendezvous_sharding,
         "op5_token_files": token_files.op5_token_files,
         "op6_token_efficiency": secrets.op6_token_efficiency,
+        "op7_pii_surrogates": pii.op7_pii_surrogates,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_quality_cascade": quality.op9_quality_cascade,
         "op10_retrieval_packing": packing.op10_retrieval_packing,
@@ -32,4 +36,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_windows": decontaminate.op2_sql(), "op3_url_vocabulary": url_filter.op3_sql(), "op8_jaccard_join": jaccard_join.op8_sql(), "op9_quality_cascade": quality.op9_sql()}
+    return {
+        "op1_preference_chat": preference.op1_sql(),
+        "op2_benchmark_windows": decontaminate.op2_sql(),
+        "op3_url_vocabulary": url_filter.op3_sql(),
+        "op8_jaccard_join": jaccard_join.op8_sql(),
+        "op9_quality_cascade": quality.op9_sql(),
+    }
