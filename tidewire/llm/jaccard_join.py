@@ -1,16 +1,23 @@
 """Exact Jaccard join of word shingle sets as a join in a metric space.
 
 1 - Jaccard is a metric, so distances to pivots tell which documents cannot be
-linked.  Documents far from each other have distance exactly 1, for which no
-pivot document can tell them apart, so the first division is by pivots of one
-shingle: a document lies in the regions of the first shingles of its set, in an
-order that puts frequent shingles last, and the share of the set that it has to
-offer follows from the threshold (its window: two linked sets meet in one of
-these regions for certain).  Regions that share documents join to one.  Within a
-region documents are the pivots: a region too large for one task is divided into
-Voronoi cells, into which the triangle inequality copies the documents near a
-border, again and again; the rest are joined in a task each, pivot by pivot,
-comparing only what the distances to earlier pivots leave.
+linked.  Documents without a common shingle have distance exactly 1 from each
+other, for which no pivot document can tell them apart, so three exact steps come
+before the pivots:
+
+1. A linked set has all but a quarter of its shingles in common with one other
+   set.  Over a fixed share of all shingles (those of small hash) it is counted
+   how many of each set are in any other set; sets with too few are linked with
+   nothing but equal sets.
+2. The same over all shingles of the sets that are left.
+3. Pivots of one shingle: a set lies in the regions of its rarest shingles, so many
+   of them that two linked sets meet in one region for certain.  Regions that
+   share sets join to one.
+
+Within a region documents are the pivots: a region too large for one task is
+divided into Voronoi cells, into which the triangle inequality copies the
+documents near a border, again and again; the rest are joined in a task each,
+pivot by pivot, comparing only what the distances to earlier pivots leave.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import BROADCAST_ROWS, materialize, read_table, shuffle_partitions
@@ -32,13 +39,9 @@ PERCENT = 75
 #: The same as a distance.
 RADIUS = 1 - PERCENT / 100
 #: Shingles of a region that one task joins (8 bytes each); larger regions are divided.
-REGION_SHINGLES = 3_000_000
-#: Shingles that one task counts at once to find frequent ones.
-COUNT_SHINGLES = 3_000_000
-#: A shingle found so often in one such count, and so often over all, goes last in the order.
-FREQUENT_HERE, FREQUENT = 3, 12
-#: The most frequent shingles told to all tasks (16 bytes each).  The order alone depends on it, not the result.
-FREQUENT_KEPT = 200_000
+REGION_SHINGLES = 2_000_000
+#: The share of all shingles that the first step looks at.
+SHARE = 0.35
 #: Pivots of a division, distances kept in a task's join, and divisions before a region is joined by blocks.
 PIVOTS, KEPT_DISTANCES, DIVISIONS = 12, 32, 4
 #: Pivots of all regions are broadcast up to so many bytes, else joined.
@@ -58,7 +61,7 @@ class _WordHashes(dict):
         import xxhash
 
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1_000_000:
+        if len(self) < 500_000:
             self[word] = h
         return h
 
@@ -91,129 +94,111 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return a, b - 2**64 if b >= 2**63 else b
 
 
-def probe_size(n: int) -> int:
-    """Of a set's first shingles, so many meet those of any set linked with it."""
-    return n - -(-PERCENT * n // 100) + 1
+def spare(n: int) -> int:
+    """So many shingles of a set may be missing in a set linked with it."""
+    return n - -(-PERCENT * n // 100)
 
 
-def index_size(n: int) -> int:
-    """Of a set's first shingles, so many meet the probed ones of any linked set that is not smaller."""
-    return n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
-
-
-def _count(chunk: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    s = np.sort(np.concatenate(chunk))
-    ends = np.flatnonzero(np.concatenate([s[1:] != s[:-1], [True]]))
-    counts = np.diff(np.concatenate([[-1], ends]))
-    often = counts >= FREQUENT_HERE
-    return s[ends[often]], counts[often]
+_LIMIT = np.uint64(int(SHARE * 2**64))
 
 
 def _hash_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (a = first half of the key), and rows of shingles frequent among those of a task (a = shingle)."""
-    schema = ["is_doc", "doc_id", "n", "a", "b"]
-    chunk: list[np.ndarray] = []
-    held, keys = 0, set()
-
-    def frequent(doc_type: pa.DataType) -> pa.RecordBatch:
-        s, counts = _count(chunk)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(s), dtype=bool)), pa.nulls(len(s), doc_type), pa.array(counts.astype(np.int64)), pa.array(s.view(np.int64)), pa.nulls(len(s), pa.int64())],
-            schema,
-        )
-
-    kind = pa.int64()
+    """doc_id, n (shingles), few (those of the share), a and b (the set's key)."""
     for batch in batches:
-        kind = batch.column("doc_id").type
         rows = []
         for text in batch.column("text"):
             s = shingles(text.as_py())
-            a, b = set_key(s)
-            rows.append((len(s), a, b))
-            if len(s) and a not in keys:
-                keys.add(a)
-                chunk.append(s)
-                held += len(s)
-            if held > COUNT_SHINGLES:
-                yield frequent(kind)
-                chunk.clear()
+            rows.append((len(s), int(np.searchsorted(s, _LIMIT)), *set_key(s)))
+        columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "few", "a", "b"])
+
+
+def _share_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set's shingles of the share (s) with half its key (a); a set that a task has met before is left out."""
+    seen: set[int] = set()
+    parts: list[np.ndarray] = []
+    keys: list[np.ndarray] = []
+    held = 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(keys))], ["s", "a"])
+
+    for batch in batches:
+        for text in batch.column("text"):
+            s = shingles(text.as_py())
+            if len(s) < 2:  # linked with equal sets only
+                continue
+            key = set_key(s)[0]
+            if key in seen:
+                continue
+            if len(seen) > 500_000:
+                seen.clear()
+            seen.add(key)
+            s = s[: np.searchsorted(s, _LIMIT)]
+            parts.append(s)
+            keys.append(np.full(len(s), key, dtype=np.int64))
+            held += len(s)
+            if held > 300_000:
+                yield out()
+                parts.clear()
                 keys.clear()
                 held = 0
-        columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(rows), dtype=bool)), batch.column("doc_id"), *columns], schema)
-    if chunk:
-        yield frequent(kind)
-
-
-def _regions_of(known) -> object:
-    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each distinct set's first shingles (s) with its key (v), negative if within the smaller share."""
-        frequent, rank = known.value
-        seen: set[int] = set()
-        shingle_parts, key_parts, held = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(shingle_parts).view(np.int64)), pa.array(np.concatenate(key_parts))], ["s", "v"]
-            )
-
-        for batch in batches:
-            for text in batch.column("text"):
-                s = shingles(text.as_py())
-                if len(s) < 2:  # linked with equal sets only
-                    continue
-                key = set_key(s)[0]
-                if key in seen:
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(key)
-                probe, index = probe_size(len(s)), index_size(len(s))
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    often = frequent[at] == s
-                    first = s[~often]
-                    if len(first) < probe:
-                        rest, ranks = s[often], rank[at[often]]
-                        first = np.concatenate([first, rest[np.lexsort((rest, ranks))]])
-                else:
-                    first = s
-                v = np.full(probe, key, dtype=np.int64)
-                v[:index] -= 2**62
-                v[:index] -= 2**62
-                shingle_parts.append(first[:probe])
-                key_parts.append(v)
-                held += probe
-                if held > 500_000:
-                    yield out()
-                    shingle_parts.clear()
-                    key_parts.clear()
-                    held = 0
-        if held:
-            yield out()
-
-    return offer
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by s and v: a link from the first key of each region, if within its smaller share, to each other key."""
-    last_s, hub = None, None
+    if held:
+        yield out()
+
+
+def _in_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by s and a: how many of each set's shingles (a, c) stand beside another set's; reads on, holds one row."""
+    last: tuple[int, int] | None = None
+    last_common = False
+
+    def counted(a: np.ndarray) -> pa.RecordBatch:
+        key, c = np.unique(a, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(c.astype(np.int64))], ["a", "c"])
+
     for batch in batches:
-        s = batch.column("s").to_numpy()
-        v = batch.column("v").to_numpy()
+        s, a = batch.column("s").to_numpy(), batch.column("a").to_numpy()
+        if last is not None:
+            s, a = np.append(last[0], s), np.append(last[1], a)
         if not len(s):
             continue
-        new = np.concatenate([[True], s[1:] != s[:-1]])
-        if last_s is not None and s[0] == last_s:
-            new[0] = False
-        of = np.cumsum(new)
-        hubs = np.concatenate([[0 if hub is None else hub], v[new]])[of]
-        last_s, hub = s[-1], hubs[-1]
-        key = lambda x: np.where(x < 0, x + 2**62 + 2**62, x)
-        u, w = key(hubs), key(v)
-        keep = (hubs < 0) & (u != w)
-        pairs = np.unique(np.stack([u[keep], w[keep]], axis=1), axis=0) if keep.any() else np.empty((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+        own = np.append(True, (s[1:] != s[:-1]) | (a[1:] != a[:-1]))
+        s, a = s[own], a[own]
+        same = s[1:] == s[:-1]
+        common = np.append(last_common if last is not None else False, same) | np.append(same, False)
+        yield counted(a[:-1][common[:-1]])
+        # Whether the last row has another beside it before; what comes after is seen in the next batch.
+        last, last_common = (s[-1], a[-1]), bool(common[-1])
+    if last is not None and last_common:
+        yield counted(np.array([last[1]], dtype=np.int64))
+
+
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b, n = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
+        parts = [np.frombuffer(s.as_buffer(), dtype=np.int64) for s in batch.column("s")]
+        size = [len(x) for x in parts]
+        flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(flat), *(pa.array(np.repeat(x, size)) for x in (a, b, n))], ["s", "a", "b", "n"])
+
+
+def _regions(members: DataFrame) -> DataFrame:
+    """Steps 2 and 3 over ``members`` (a, b, n, s): (a, b, region) of the sets that may be linked with others."""
+    rows = members.select("a", "b", "n", "s").mapInArrow(_flat, "s long, a long, b long, n long")
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    rows = rows.join(often, "s")
+    own = Window.partitionBy("a", "b")
+    rows = rows.withColumn("c", F.count(F.lit(1)).over(own)).where(100 * F.col("c") >= PERCENT * F.col("n"))
+    n, place = F.col("n"), F.row_number().over(own.orderBy("times", "s"))
+    # Shingles found in this set alone come first in the order; they meet nothing, but count.
+    rows = rows.withColumn("place", place + n - F.col("c"))
+    rows = rows.where(F.col("place") <= n - F.ceil(n * PERCENT / 100) + 1)
+    index = F.col("place") <= n - F.ceil(n * (2 * PERCENT) / (100 + PERCENT)) + 1
+    node = F.struct("a", "b")
+    rows = materialize(rows.select("s", node.alias("node"), index.alias("index")), "offered")
+    hubs = rows.where("index").groupBy("s").agg(F.min("node").alias("hub"))
+    found = rows.join(hubs, "s").where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    return components(found, "candidates").select("node.a", "node.b", F.concat_ws(".", "root.a", "root.b").alias("region"))
 
 
 class Region:
@@ -429,13 +414,17 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of chosen documents to their sets; a text whose key is another (an id used twice) is passed over."""
     for batch in batches:
         rows = []
-        for text, a, b, region in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("a", "b", "region"))):
+        for text, a, b in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("a", "b"))):
             s = shingles(text.as_py())
             if set_key(s) == (a, b):
-                rows.append((region, a, b, len(s), s.tobytes()))
-        columns = [*zip(*rows)] or [()] * 5
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["region", "a", "b", "n", "s"])
+                rows.append((a, b, len(s), s.tobytes()))
+        columns = [*zip(*rows)] or [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["a", "b", "n", "s"])
+
+
+def _ids_repeat(light: DataFrame) -> bool:
+    return light.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
 
 
 def link_documents(docs: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
@@ -450,28 +439,22 @@ def link_documents(docs: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    hashed = docs.mapInArrow(_hash_documents, f"is_doc boolean, doc_id {kind}, n long, a long, b long")
-    hashed = materialize(hashed, "hashes")
-    light = hashed.where("is_doc").select("doc_id", "n", "a", "b")
-    frequent = (
-        hashed.where("NOT is_doc").groupBy("a").agg(F.sum("n").alias("times")).where(F.col("times") >= FREQUENT)
-        .orderBy(F.desc("times"), "a").limit(FREQUENT_KEPT)
-    ).toPandas()
-    table = frequent["a"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(table)
-    known = spark.sparkContext.broadcast((table[order], frequent["times"].to_numpy(dtype=np.int64)[order]))
-
-    offered = docs.select("text").mapInArrow(_regions_of(known), "s long, v long")
-    sorted_ = offered.repartition(shuffle_partitions(spark), "s").sortWithinPartitions("s", "v")
-    candidates = components(sorted_.mapInArrow(_stars, "u long, v long"), "candidates")
-    candidates = candidates.select(F.col("node").alias("a"), F.col("root").cast("string").alias("region"))
-
-    chosen = light.join(candidates, "a").groupBy("a", "b", "region").agg(F.min(F.xxhash64("doc_id")).alias("h"))
-    chosen = materialize(chosen, "chosen")
-    if chosen.count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
-    members = docs.withColumn("h", F.xxhash64("doc_id")).join(chosen, "h").select("text", "a", "b", "region")
-    members = materialize(members.mapInArrow(_sets_of, "region string, a long, b long, n long, s binary"), "members")
+    light = materialize(docs.mapInArrow(_hash_documents, f"doc_id {kind}, n long, few long, a long, b long"), "hashes")
+
+    shares = docs.select("text").mapInArrow(_share_of, "s long, a long")
+    shares = shares.repartition(shuffle_partitions(spark), "s").sortWithinPartitions("s", "a")
+    common = shares.mapInArrow(_in_common, "a long, c long").groupBy("a").agg(F.sum("c").alias("c"))
+    spare_ = F.col("n") - F.ceil(F.col("n") * PERCENT / 100)
+    sets = light.where("n > 1").groupBy("a", "b", "n", "few").agg(F.min(F.xxhash64("doc_id")).alias("h"))
+    chosen = sets.join(common, "a", "left").where(F.coalesce("c", F.lit(0)) >= F.col("few") - spare_)
+    chosen = materialize(chosen.select("a", "b", "h"), "chosen")
+    side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    members = docs.withColumn("h", F.xxhash64("doc_id")).join(side, "h").select("text", "a", "b")
+    members = members.mapInArrow(_sets_of, "a long, b long, n long, s binary")
+    members = materialize(members.dropDuplicates(["a", "b"]) if _ids_repeat(light) else members, "members")
+    regions = materialize(_regions(members), "regions")
+    side = F.broadcast(regions) if regions.count() <= BROADCAST_ROWS else regions
+    members = members.join(side, ["a", "b"])
     links, are_stars = join_members(members, limit)
     u, v = F.struct(F.col("ua").alias("a"), F.col("ub").alias("b")), F.struct(F.col("va").alias("a"), F.col("vb").alias("b"))
     if are_stars:
