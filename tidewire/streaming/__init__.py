@@ -1,0 +1 @@
+"""Structured Streaming forms of landing, metrics, duplicates and health."""
