@@ -57,8 +57,7 @@ def tokenize(c: Column) -> Column:
 
 def significant(tokens: Column) -> Column:
     """Tokens of two characters or more that are no stop words."""
-    stop = F.array(*(F.lit(w) for w in STOPWORDS))
-    return F.filter(tokens, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(tokens, lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
 
 
 def fingerprint(tokens: Column) -> Column:

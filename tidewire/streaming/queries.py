@@ -28,7 +28,7 @@ def hourly_metrics_stream(events: DataFrame, ts: str, metric: str, value: str, l
 def health_stream(polls: DataFrame) -> DataFrame:
     """Changes of state of sources from polls (source_id, ts, ok): failures in a row, connected or not.
 
-    State is a count a source; it expires after a day without polls.
+    State is a count a source; it expires after a day of event time without polls.
     """
     state = "failures int, state string"
     out = "source_id string, ts timestamp, consecutive_failures int, state string"
@@ -47,10 +47,11 @@ def health_stream(polls: DataFrame) -> DataFrame:
                 changes.append((key[0], ts, failures, new))
                 current = new
         held.update((failures, current))
-        held.setTimeoutDuration(24 * 3600 * 1000)
+        held.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), held.getCurrentWatermarkMs()) + 24 * 3600 * 1000)
         yield pd.DataFrame(changes, columns=["source_id", "ts", "consecutive_failures", "state"])
 
-    return polls.groupBy("source_id").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    polls = polls.withWatermark("ts", "1 hour")
+    return polls.groupBy("source_id").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def recent_duplicates_stream(posts: DataFrame, key: str, ts: str, minutes: int = 90) -> DataFrame:
