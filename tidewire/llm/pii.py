@@ -18,6 +18,8 @@ from tidewire.llm.common import BROADCAST_ROWS, materialize, read_table
 DEVELOPMENT_KEY = "tidewire development key"
 #: Rounds of giving colliding entities another surrogate; each leaves a tiny share of the last.
 MAX_ATTEMPTS = 50
+#: Syllables of a made surname; more on later attempts.
+NAME_SYLLABLES = 4
 
 #: Given names by script and gender.  A name maps to another of its own list.
 GIVEN = {
@@ -44,7 +46,7 @@ ENDINGS = {"latin": "", "cyrillic": "ов", "greek": "ης"}
 _GENDER = {name: (script, gender) for (script, gender), names in GIVEN.items() for name in names.split()}
 _LISTS = {k: v.split() for k, v in GIVEN.items()}
 
-_EMAIL = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,24}(?![\w@])")
+_EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,24}(?![\w@])")
 _DIGITS = re.compile(
     r"(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d))"
@@ -118,7 +120,8 @@ def mentions(text: str | None) -> list[Mention]:
 class Surrogates:
     """Keyed one-to-one maps of each kind onto itself; ``attempt`` above 0 gives an entity another surrogate."""
 
-    def __init__(self, key: str):
+    def __init__(self, key: str, syllables: int = NAME_SYLLABLES):
+        self._syllables = syllables
         self._key = hashlib.blake2b(key.encode(), digest_size=32).digest()
         self.of = lru_cache(200_000)(self._of)
 
@@ -205,7 +208,7 @@ class Surrogates:
             return names[order[(at + 1 + attempt) % len(names)]]
         syllables = SYLLABLES[_script(value)]
         x, word = self._hash("surname", value, attempt), []
-        for _ in range(4 + attempt // 2):
+        for _ in range(self._syllables + attempt // 2):
             x, i = divmod(x, len(syllables))
             word.append(syllables[i])
         return "".join(word).capitalize() + ENDINGS[_script(value)]
@@ -244,7 +247,7 @@ def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["kind", "value"])
 
 
-def changed_attempts(entities: DataFrame, key: str) -> DataFrame:
+def changed_attempts(entities: DataFrame, key: str, syllables: int = NAME_SYLLABLES) -> DataFrame:
     """The entities whose first surrogate won't do, with the attempt that does: (kind, value, attempt).
 
     A surrogate won't do if it is the entity itself, or is an entity of its kind
@@ -255,7 +258,7 @@ def changed_attempts(entities: DataFrame, key: str) -> DataFrame:
     given_differs = "kind = 'given'"
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surrogates = Surrogates(key)
+        surrogates = Surrogates(key, syllables)
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "value", "attempt")))
             made = [surrogates.of(k, v, a) for k, v, a in rows]
@@ -278,18 +281,19 @@ def changed_attempts(entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError(f"surrogates collide after {MAX_ATTEMPTS} attempts")
 
 
-def replace_pii(docs: DataFrame, key: str) -> DataFrame:
+def replace_pii(docs: DataFrame, key: str, syllables: int = NAME_SYLLABLES) -> DataFrame:
     """Replaces personal data in ``text``; adds ``n_entities`` (mentions) and ``kinds`` (sorted, comma-joined).
 
-    All mentions of an entity, in any row, get one surrogate (surnames alone as
-    well as after given names), and different entities get different ones.  Rows
+    All mentions of an entity, in any row, get one surrogate, and different
+    entities get different ones.  A surname alone counts as a mention in a text
+    that also has it after a given name or a title.  Rows
     without mentions keep their text to the letter; null stays null.  Repeated
     rows change alike.  Other columns pass through; ones by the added names are
     replaced.
     """
     spark = docs.sparkSession
     entities = docs.select("text").mapInArrow(_entities, "kind string, value string").distinct()
-    changed = changed_attempts(materialize(entities, "entities"), key)
+    changed = changed_attempts(materialize(entities, "entities"), key, syllables)
     own = [c for c in docs.columns if c not in ("n_entities", "kinds")]
     rows = docs.select(own)
     few = changed.count() <= BROADCAST_ROWS
@@ -299,7 +303,7 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     known = spark.sparkContext.broadcast(attempts)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surrogates = Surrogates(key)
+        surrogates = Surrogates(key, syllables)
         for batch in batches:
             texts, counts, kinds = [], [], []
             told = [None] * batch.num_rows if few else batch.column("_attempts").to_pylist()
