@@ -1,0 +1,39 @@
+"""The stages one after another on a small corpus."""
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("tables"))
+    clean = lambda k: " ".join(f"topic{k}term{i} and" for i in range(40)) + "."
+    texts = {i: clean(i) for i in range(12)}
+    texts |= {20: clean(3), 21: clean(3) + " more", 30: "spam ### " * 50, 31: "short", 32: None, 40: " ".join(f"bench{i}" for i in range(30)), 50: clean(50) + " write to joe.doe@mail.example.com"}
+    spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(f"bench{i}" for i in range(30)))], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def test_stages(spark, corpus):
+    import corpus_pipeline as c
+    from tidewire.llm.common import materialize
+
+    df = spark.read.parquet(f"{corpus}/documents.parquet")
+    columns, kept = df.columns, []
+    for name, stage in c.STAGES:
+        df = materialize(stage(spark, df, corpus), name)
+        kept.append({r.doc_id for r in df.select("doc_id").collect()})
+        if name == "personal_data":
+            text = {r.doc_id: (r.text, r.n_chars) for r in df.collect()}
+        if name != "packing":
+            assert df.columns == columns
+    good = {*range(12), 20, 21, 40, 50}
+    assert kept == [good, good - {20, 21}, good - {20, 21, 40}, good - {20, 21, 40}, good - {20, 21, 40}]
+    assert "joe.doe" not in text[50][0] and text[50][1] == len(text[50][0])
+    assert text[1][0].startswith("topic1term0")
+    assert {r.doc_id for r in c.run(spark, corpus).collect()} == kept[-1]

@@ -8,9 +8,11 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.llm.common import read_table
 
@@ -222,10 +224,13 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All documents, with hit spans cut out of their texts."""
-    cut = F.udf(lambda text, spans: without_words(text, [(s["start"], s["end"]) for s in spans]), "string")
-    marked = mark_hits(docs, benchmark)
-    text = F.when(F.size("hit_spans") > 0, cut("text", "hit_spans")).otherwise(F.col("text"))
-    return marked.withColumn("text", text).select(*docs.columns)
+
+    @F.pandas_udf(T.StringType())
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        pairs = zip(texts, spans)
+        return pd.Series([without_words(t, [(s["start"], s["end"]) for s in hit]) if t and len(hit) else t for t, hit in pairs], dtype=object)
+
+    return mark_hits(docs, benchmark).withColumn("text", cut("text", "hit_spans")).select(*docs.columns)
 
 
 def op2_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
