@@ -446,7 +446,7 @@ def _category_sql() -> str:
         body += (" + 2.0" if c.requires else "") + f") * {c.weight}"
         if c.requires:
             body = f"CASE WHEN {_terms('|'.join(c.requires))} THEN {body} ELSE 0.0 END"
-        parts.append(f"{body} AS \"{c.name}\"")
+        parts.append(f"CAST({body} AS DOUBLE) AS \"{c.name}\"")
     return f"SELECT doc_id, {', '.join(parts)} FROM (SELECT doc_id, coalesce(text, '') AS text, {_TOKENS} AS t FROM documents)"
 
 
@@ -611,8 +611,8 @@ def _(s, d):
     from tidewire.sources.shared import work_dir
     from tidewire.streaming.queries import drain, hourly_metrics_stream
 
-    path = f"{d}/events.parquet"
-    schema = s.read.parquet(path).schema
-    stream = s.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    schema = table(s, d, "events").schema
+    # As a pattern, the table may be one file.
+    stream = s.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
     df = drain(hourly_metrics_stream(stream, "ts", "event_type", "value"), work_dir(s), s)
     return df.withColumn("total", r4(F.col("total"))).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
