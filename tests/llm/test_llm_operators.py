@@ -439,3 +439,28 @@ def test_neighbours_share_rare_words():
         if length > 3:
             whole[sequence].add(doc % 4)
     assert sum(len(t) == 1 for t in whole.values()) >= 7
+
+
+def test_overlaps_are_found_among_many_spans():
+    text = " ".join(["token=abcdef0123", "deadbeef" * 4, "AKIA" + "A1" * 10, "x9Qz7Lk2Vb8Nw4Rt6Yp1Ms3", "token=x9Qz7Lk2Vb8Nw4Rt6Yp1Ms3"] * 40)
+    encoding = secrets.load_encoding(vocabulary("byte_bpe_50k.tiktoken"))
+    base, spans = secrets.all_spans(text, encoding)
+    runs = secrets.random_spans(text, encoding)
+    want = [r for r in runs if all(r[2] <= b[1] or b[2] <= r[1] for b in base)]
+    assert want and len(want) < len(runs) and [s for s in spans if s[0] == "random"] == want
+    found = pii.mentions(" ".join(["a.b@c.org 415-555-0134 and 10.1.2.3 of Anna Berg"] * 50))
+    assert len(found) == 250 and found == sorted(found, key=lambda m: m[2]) and all(a[3] <= b[2] for a, b in zip(found, found[1:]))
+
+
+def test_slots_do_not_depend_on_how_the_table_is_cut(spark):
+    rows = docs(spark, [f"text {i}" for i in range(500)]).repartition(7)
+    found = sharding.shard_documents(rows, [1.0, 2.0, 1.0], [1.0, 2.0, 1.0, 1.0])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        slots = defaultdict(list)
+        for r in found.collect():
+            slots[r.shard].append(r.slot)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sum(map(len, slots.values())) == 500 and all(sorted(s) == list(range(len(s))) for s in slots.values())

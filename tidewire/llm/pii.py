@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import ipaddress
 import re
@@ -109,12 +110,14 @@ def mentions(text: str | None) -> list[Mention]:
         found += [(m.lastgroup, normal_form(m.lastgroup, m[0]), *m.span()) for m in _DIGITS.finditer(text)]
     found += _names(text)
     out: list[Mention] = []
-    taken: list[tuple[int, int]] = []
+    starts: list[int] = []
     for m in found:
-        if all(m[3] <= a or b <= m[2] for a, b in taken):
-            out.append(m)
-            taken.append((m[2], m[3]))
-    return sorted(out, key=lambda m: m[2])
+        # What is kept doesn't overlap, so only the neighbours by start can.
+        at = bisect.bisect_left(starts, m[2])
+        if (at == 0 or out[at - 1][3] <= m[2]) and (at == len(out) or m[3] <= out[at][2]):
+            out.insert(at, m)
+            starts.insert(at, m[2])
+    return out
 
 
 class Surrogates:
@@ -331,7 +334,8 @@ def replace_pii(docs: DataFrame, key: str, syllables: int = NAME_SYLLABLES) -> D
 
 def _with_attempts(rows: DataFrame, changed: DataFrame) -> DataFrame:
     """Rows with what is changed of their own entities, when it is too much to tell all tasks."""
-    rows = materialize(rows, "rows").withColumn("_row", F.monotonically_increasing_id())
+    # The number is written with the row: made anew at each reading, it could differ.
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -83,7 +85,13 @@ def all_spans(text: str, encoding) -> tuple[list[tuple[str, int, int]], list[tup
     """Base spans, and all spans: base ones and random runs that overlap none of them; by start, then kind."""
     by_start = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(base_spans(text), key=by_start)
-    more = [r for r in random_spans(text, encoding) if all(r[2] <= b[1] or b[2] <= r[1] for b in base)]
+    starts = [b[1] for b in base]
+    # Ends of the spans so far: spans of different kinds may overlap, so the furthest counts.
+    reach = [0, *itertools.accumulate((b[2] for b in base), max)]
+    more = []
+    for r in random_spans(text, encoding):
+        if reach[bisect.bisect_left(starts, r[2])] <= r[1]:
+            more.append(r)
     return base, sorted(base + more, key=by_start)
 
 

@@ -37,15 +37,11 @@ def rendezvous_shard(key: Column, weights: Sequence[float]) -> Column:
 def with_slots(df: DataFrame, shard: str, slot: str) -> DataFrame:
     """Numbers the rows of each shard from 0, without gaps and without a shuffle of the rows.
 
-    ``df`` has to be a written table, whose partitions hold the same rows each
-    time it is read.  One pass counts rows by partition and shard, a running sum
-    over these counts gives each partition's first slot in each shard, and a
-    second pass numbers rows in their stored order and adds it.
+    Each task numbers its own rows by shard, and rows are written with that number
+    and the task's; a running sum over counts by task and shard gives each task's
+    first slot.  What is added up was written once, so it does not matter how the
+    written table is cut when it is read again, or by how many executors.
     """
-    here = df.withColumn("_part", F.spark_partition_id())
-    counts = here.groupBy("_part", shard).count()
-    before = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("_part", shard, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         next_slot: defaultdict[int, int] = defaultdict(int)
@@ -58,8 +54,12 @@ def with_slots(df: DataFrame, shard: str, slot: str) -> DataFrame:
                 next_slot[s] += len(at)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slots)], [*batch.schema.names, "_own"])
 
+    here = df.withColumn("_part", F.spark_partition_id())
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in here.schema) + ", _own long"
-    numbered = here.mapInArrow(number, ddl)
+    numbered = materialize(here.mapInArrow(number, ddl), "shards")
+    counts = numbered.groupBy("_part", shard).count()
+    before = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("_part", shard, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
     if counts.count() <= BROADCAST_ROWS:
         firsts = F.broadcast(firsts)
     return numbered.join(firsts, ["_part", shard]).withColumn(slot, F.col("_first") + F.col("_own")).drop("_part", "_first", "_own")
@@ -81,7 +81,7 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], grown: Sequence[f
         rendezvous_shard(F.col("doc_id"), weights).alias("shard"),
         rendezvous_shard(F.col("doc_id"), grown).alias("grown_shard"),
     )
-    return with_slots(materialize(rows, "shards"), "shard", "slot").select(
+    return with_slots(rows, "shard", "slot").select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
 
