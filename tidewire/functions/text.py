@@ -192,3 +192,39 @@ def escape_markdown(c: Column) -> Column:
 
 def unescape_markdown(c: Column) -> Column:
     return F.regexp_replace(c, "\\\\([\\\\*_`~|>])", "$1")
+
+
+def strip_links(c: Column) -> Column:
+    """Labels of markdown links stay, addresses go."""
+    c = F.regexp_replace(c, "\\[([^\\]]+)\\]\\([^)]+\\)", "$1")
+    return F.regexp_replace(c, "https?://\\S+|www\\.\\S+", "")
+
+
+def strip_boilerplate(c: Column, phrases: Sequence[str] = ()) -> Column:
+    """Without the given phrases, chat time tags, leading clock times, counts of reactions and marks at the ends."""
+    if phrases:
+        any_ = "|".join(re.escape(p) for p in sorted(phrases, key=lambda p: (-len(p), p)))
+        c = F.regexp_replace(c, f"(?i)(?:{any_})", "")
+    c = F.regexp_replace(c, "(?i)<t:\\d+(?::[a-z])?>\\s*[-—–:]?\\s*", "")
+    c = F.regexp_replace(c, "(?i)\\b\\d{1,2}:\\d{2}\\s*(?:AM|PM)?\\s*[-—–:]\\s*", "")
+    c = F.regexp_replace(c, "\\*\\*\\[[^\\]]*\\]\\(\\s*\\)[^\\n]*?\\*\\*\\s*_\\*\\s*\\*_\\s*$", "")
+    return F.trim(F.regexp_replace(c, "^[\\s*:-]+|[\\s*:-]+$", ""))
+
+
+def headlines_in(c: Column) -> Column:
+    """The headlines of a post that lists several: one a line, and a new one at each clock time; five characters or fewer are none."""
+    parts = F.flatten(F.transform(F.split(c, "(?=\\b\\d{1,2}:\\d{2}\\s*[AP]M\\b)"), lambda x: F.split(x, "\\n")))
+    bare = F.transform(parts, lambda x: F.regexp_replace(F.trim(x), "^[•\\-\\s]+", ""))
+    return F.filter(bare, lambda x: F.length(x) > 5)
+
+
+def names_contract(c: Column) -> Column:
+    """An option contract, as in ``472C``."""
+    return F.coalesce(c.rlike("(?i)\\b\\d+\\s*[PC]\\b"), F.lit(False))
+
+
+def is_echo(text: Column, stripped: Column, quoted: Column) -> Column:
+    """A post that adds nothing: a repost without a word of its own, or a quotation nearly equal to what it quotes."""
+    bare = text.rlike("(?i)^\\s*RT\\s+@") & (stripped == "")
+    same = jaccard(significant(tokenize(stripped)), significant(tokenize(quoted))) > 0.9
+    return F.coalesce(bare, F.lit(False)) | F.coalesce((quoted != "") & same, F.lit(False))

@@ -147,3 +147,56 @@ def within_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], cost
     """Whether the running cost of a key, this row included, is within the limit."""
     run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("spent", F.sum(cost).over(run)).withColumn("granted", F.col("spent") <= limit)
+
+
+def debounced(df: DataFrame, key: str, ts: str, minutes: int = 30) -> DataFrame:
+    """Adds ``warn``: the first of a key's warnings, and each that follows the last one shown by ``minutes`` or more.
+
+    Which was shown last depends on those before, so a fold in order decides.  A
+    warning after a gap of ``minutes`` is shown in any case, so only the distinct
+    times between two such gaps are folded together.
+    """
+    order = Window.partitionBy(key).orderBy(ts)
+    ms = F.unix_millis(F.col(ts).cast("timestamp"))
+    rows = df.withColumn("_ms", ms)
+    gap = F.col("_ms") - F.lag("_ms").over(order)
+    rows = rows.withColumn("_run", F.sum(F.when(gap.isNull() | (gap >= minutes * 60_000), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    times = rows.groupBy(key, "_run").agg(F.sort_array(F.collect_set("_ms")).alias("_all"))
+    fold = F.aggregate(
+        "_all", F.array().cast("array<bigint>"),
+        lambda a, t: F.when((F.size(a) == 0) | (t - F.try_element_at(a, F.lit(-1)) >= minutes * 60_000), F.concat(a, F.array(t))).otherwise(a),
+    )
+    shown = times.select(key, F.explode(fold).alias("_ms"), F.lit(True).alias("warn"))
+    first = F.row_number().over(Window.partitionBy(key, "_ms").orderBy(F.lit(1))) == 1
+    return rows.join(shown, [key, "_ms"], "left").withColumn("warn", F.coalesce("warn", F.lit(False)) & first).drop("_ms", "_run")
+
+
+def events_per_minute(df: DataFrame, ts: str, started: Column, now: Column, published: Column) -> DataFrame:
+    """Published events of the last day, a minute of that day or of the time since the start if that is less."""
+    day = F.make_dt_interval(days=F.lit(1))
+    minutes = F.least(F.lit(1440.0), (F.unix_millis(now.cast("timestamp")) - F.unix_millis(started.cast("timestamp"))) / 60000.0)
+    n = df.where(F.col(ts) >= now - day).agg(F.count_if(published).alias("published"))
+    return n.select("published", F.round(F.col("published") / F.greatest(F.lit(1.0), minutes), 3).alias("events_per_minute"))
+
+
+def metrics_document(events: DataFrame, deliveries: DataFrame, health: DataFrame, ts: str, now: Column) -> DataFrame:
+    """One row of JSON over the last day: events by status and rejection, deliveries by destination and status, sources by state.
+
+    Each part is an aggregate of a few rows before they meet.
+    """
+    since = now - F.make_dt_interval(days=F.lit(1))
+
+    def counts(df: DataFrame, name: str, *keys: str) -> DataFrame:
+        label = F.concat_ws("/", *(F.coalesce(F.col(k), F.lit("")) for k in keys))
+        each = df.groupBy(label.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        return each.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias("v")).select(F.lit(name).alias("part"), "v")
+
+    recent = events.where(F.col(ts) >= since)
+    parts = counts(recent, "events", "status")
+    parts = parts.union(counts(recent.where("rejection_reason IS NOT NULL"), "rejections", "rejection_reason"))
+    parts = parts.union(counts(deliveries.where(F.col("created_at") >= since), "deliveries", "destination", "status"))
+    parts = parts.union(counts(health, "health", "state"))
+    whole = F.map_from_entries(F.sort_array(F.collect_list(F.struct("part", F.to_json("v").alias("v")))))
+    return parts.agg(whole.alias("m")).select(
+        *(F.element_at("m", p).alias(p) for p in ("deliveries", "events", "health", "rejections"))
+    )

@@ -17,9 +17,10 @@ from tidewire.functions import times as T
 from tidewire.functions.figures import extract_figures
 from tidewire.functions.simhash import simhash64
 from tidewire.functions.urls import canonical_url, post_ids
-from tidewire.operators import calendar, classify, cluster, dedupe, health, merge, render, reports, score
+from tidewire.operators import calendar, classify, cluster, dedupe, earnings, health, impact, merge, provenance, render, replay, reports, score
 from tidewire.plans import posts as P
 from tidewire.plans.lexicons import SAMPLE
+from tidewire.sources import feeds, relay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -575,12 +576,12 @@ def _(s, d):
 
 @query("duplicate_posts")
 def _(s, d):
-    return dedupe.find_duplicates(_posts(s, d).select("id", "headline", "text", "url", "ts"))
+    return dedupe.find_duplicates(P.normalize(_posts(s, d)).select("id", "headline", "text", "url", "ts"))
 
 
 @query("event_clusters")
 def _(s, d):
-    df = P.normalize(_posts(s, d).drop("headline"))
+    df = P.normalize(_posts(s, d))
     block = F.concat_ws("/", "source_id", F.date_trunc("day", "ts").cast("string"))
     rows = df.select("id", block.alias("block"), "headline", F.lit("ECONOMIC").alias("category"), F.slice("tokens", 1, 3).alias("entities"), (F.col("id") % 100).cast("double").alias("importance"), "source_id", "ts")
     return cluster.cluster_posts(rows)
@@ -589,8 +590,7 @@ def _(s, d):
 def _posts(s: SparkSession, d: str) -> DataFrame:
     at = F.timestamp_seconds(F.lit(1_704_067_200) + F.floor(F.col("doc_id") / 2) * 60)
     return table(s, d, "documents").select(
-        F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("headline"),
-        F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("url"), at.alias("ts"), at.alias("published_at"),
+        F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("url"), at.alias("ts"), at.alias("published_at"),
     )
 
 
@@ -616,3 +616,172 @@ def _(s, d):
     stream = s.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
     df = drain(hourly_metrics_stream(stream, "ts", "event_type", "value"), work_dir(s), s)
     return df.withColumn("total", r4(F.col("total"))).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+@query("earnings_surprises", """
+SELECT p_partkey, 'Q' || (p_size % 4 + 1) AS period, CAST(p_size + 0.25 AS DOUBLE) AS eps, CAST(p_size % 7 + 20.5 AS DOUBLE) AS eps_consensus,
+  CASE WHEN abs(p_size + 0.25 - (p_size % 7 + 20.5)) / (p_size % 7 + 20.5) <= 0.005 THEN 'INLINE' WHEN p_size + 0.25 > p_size % 7 + 20.5 THEN 'BEAT' ELSE 'MISS' END AS eps_surprise,
+  p_size * 1e9 AS revenue FROM part""")
+def _(s, d):
+    text = F.format_string("ACME Q%d EPS $%d.25 VS $%d.50 EST; revenue of $%dbn", F.col("p_size") % 4 + 1, "p_size", F.col("p_size") % 7 + 20, "p_size")
+    df = earnings.with_earnings(table(s, d, "part").select("p_partkey", text.alias("text")), "text", "e")
+    return df.select("p_partkey", "e.period", "e.eps", "e.eps_consensus", "e.eps_surprise", "e.revenue")
+
+
+@query("market_impact", """
+WITH p AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'FED' WHEN 1 THEN 'EQUITY' WHEN 2 THEN 'COMMODITY' WHEN 3 THEN 'GEOPOLITICAL' WHEN 4 THEN 'CRYPTO' ELSE 'EQUITY' END AS c,
+    ['CRITICAL', 'HIGH', 'MODERATE', 'LOW', 'IGNORE'][p_size % 5 + 1] AS band, p_size % 3 = 0 AS deal, p_size % 11 = 0 AS war, p_size % 6 = 1 AND p_size % 4 = 1 AS mover FROM part),
+r AS (SELECT *, CASE WHEN c = 'FED' OR war OR c = 'GEOPOLITICAL' OR mover THEN 'broad' WHEN c IN ('COMMODITY', 'CRYPTO') THEN 'sector' WHEN c = 'EQUITY' THEN 'single_name' ELSE 'none' END AS relevance FROM p)
+SELECT p_partkey, relevance, CASE band WHEN 'CRITICAL' THEN true WHEN 'HIGH' THEN relevance IN ('broad', 'sector')
+  WHEN 'MODERATE' THEN relevance = 'broad' OR deal AND relevance IN ('single_name', 'sector') ELSE false END AS market_moving, c = 'FED' AS macro FROM r""")
+def _(s, d):
+    size = F.col("p_size")
+    category = F.element_at(F.array(*(F.lit(c) for c in ("FED", "EQUITY", "COMMODITY", "GEOPOLITICAL", "CRYPTO", "EQUITY"))), size % 6 + 1)
+    band = F.element_at(F.array(*(F.lit(b) for b in ("CRITICAL", "HIGH", "MODERATE", "LOW", "IGNORE"))), size % 5 + 1)
+    text = F.concat_ws(" ", "p_name", F.when(size % 3 == 0, "to acquire"), F.when(size % 11 == 0, "War"))
+    ticker = F.when((size % 6 == 1) & (size % 4 == 1), "BIG").otherwise("SMALL")
+    df = table(s, d, "part").select(F.col("p_partkey").alias("id"), text.alias("text"), category.alias("category"), band.alias("band"), F.array(ticker).alias("tickers"))
+    df = df.withColumn("countries", F.array(F.lit("US"))).withColumn("commodities", F.array(F.lit("WHEAT")))
+    master = s.createDataFrame([("BIG", ["SPX"], 90), ("SMALL", ["SPX"], 50)], "ticker string, indices array<string>, priority int")
+    verdict = impact.assess_impact(
+        F.col("text"), F.col("category"), F.lit(None).cast("string"), F.col("band"), F.size("tickers"), F.col("has_mover"), F.col("countries"), F.col("commodities")
+    )
+    rows = impact.movers(df, master).select(F.col("id").alias("p_partkey"), verdict.alias("v"))
+    return rows.select("p_partkey", "v.relevance", "v.market_moving", "v.macro")
+
+
+@query("event_provenance", """
+WITH r AS (SELECT l_partkey, l_suppkey, min(l_shipdate) AS seen FROM lineitem GROUP BY 1, 2),
+s AS (SELECT l_partkey, seen, s_suppkey, ['x', 'rss', 'edgar', 'discord'][s_suppkey % 4 + 1] AS kind,
+  ['x:', 'rss:', 'edgar:', 'discord:'][s_suppkey % 4 + 1] || s_suppkey AS source_id, s_name, s_nationkey FROM r JOIN supplier ON s_suppkey = l_suppkey)
+SELECT l_partkey, array_to_string(list_filter(['x', 'discord', 'rss', 'edgar'], lambda o: list_contains(list(kind), o)), ',') AS origins,
+  string_agg(s_name, ' + ' ORDER BY seen, source_id) AS label, count(DISTINCT s_nationkey) AS confirmed_by, count(DISTINCT s_nationkey) > 1 AS corroborated,
+  min(seen) AS first_reported_at FROM s GROUP BY 1""")
+def _(s, d):
+    suppliers = table(s, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    df = table(s, d, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate").join(suppliers, F.col("s_suppkey") == F.col("l_suppkey"))
+    prefix = F.element_at(F.array(*(F.lit(p) for p in ("x:", "rss:", "edgar:", "discord:"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    no = F.lit(None).cast("string")
+    posts = df.select(
+        "l_partkey", F.concat(prefix, F.col("s_suppkey").cast("string")).alias("source_id"), F.col("s_name").alias("source_name"), F.col("s_nationkey").cast("string").alias("org"),
+        no.alias("author"), no.alias("origin_author"), no.alias("origin_channel"), no.alias("carrier"), F.lit(None).cast("boolean").alias("preserved"),
+        no.alias("publisher"), no.alias("publisher_org"), F.col("l_shipdate").cast("timestamp").alias("first_seen_at"),
+    )
+    rows = provenance.provenance_of(provenance.attribute(posts), "l_partkey")
+    return rows.withColumn("first_reported_at", F.col("first_reported_at").cast("timestamp_ntz"))
+
+
+_REPLAY_AT = "1998-01-01 00:00:00"
+
+
+@query("delivery_replay", f"""
+WITH d AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' OR o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '{_REPLAY_AT}' - INTERVAL 5 MINUTE),
+e AS (SELECT l_orderkey, arg_max(l_shipdate, l_extendedprice * 100 - l_linenumber * 0.001) AS seen, arg_max(l_linenumber, l_extendedprice * 100 - l_linenumber * 0.001) AS line
+  FROM lineitem WHERE l_orderkey % 13 > 0 GROUP BY 1),
+f AS (SELECT o_orderkey AS event_id, 'line ' || line AS headline, seen, line IS NULL AS missing, CASE WHEN seen > TIMESTAMP '{_REPLAY_AT}' + INTERVAL 5 MINUTE THEN 'future'
+  WHEN seen < TIMESTAMP '{_REPLAY_AT}' - INTERVAL 700 DAY THEN 'stale' END AS why FROM d LEFT JOIN e ON l_orderkey = o_orderkey)
+SELECT event_id, headline, CASE WHEN missing THEN 'UNRESOLVABLE' WHEN why IS NULL THEN 'READY' ELSE 'SKIPPED' END AS result,
+  CASE WHEN missing THEN 'no stored event' ELSE why END AS reason FROM f""")
+def _(s, d):
+    status = F.when(F.col("o_orderstatus") == "F", "FAILED").when(F.col("o_orderstatus") == "P", "PENDING").otherwise("SENT")
+    deliveries = table(s, d, "orders").select(
+        F.col("o_orderkey").alias("event_id"), F.lit("desk").alias("destination"), status.alias("status"), F.col("o_orderdate").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("claimed_at")
+    )
+    events = table(s, d, "lineitem").where("l_orderkey % 13 > 0").select(
+        F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("id"), F.col("l_extendedprice").alias("importance"),
+        F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("headline"), F.col("l_shipdate").alias("published_at"),
+    )
+    due = replay.due_deliveries(deliveries, ts(_REPLAY_AT), "desk")
+    return replay.replay_outcomes(due, events, ts(_REPLAY_AT), 700 * 24 * 60).drop("published_at")
+
+
+@query("alert_actions", """
+WITH a AS (SELECT o_orderkey AS event_id, unnest(['news', 'spx']) AS channel, o_orderkey % 3 = 0 AS supersedes FROM orders)
+SELECT event_id, channel, CASE WHEN NOT (channel = 'news' AND event_id % 2 = 0) THEN 'POST' WHEN supersedes AND event_id % 5 > 0 THEN 'EDIT' ELSE 'NONE' END AS action FROM a""")
+def _(s, d):
+    key = F.col("o_orderkey")
+    alerts = table(s, d, "orders").select(key.alias("event_id"), F.array(F.lit("news"), F.lit("spx")).alias("channels"), F.lit("new").alias("content"), (key % 3 == 0).alias("supersedes"))
+    old = F.when(key % 5 == 0, "new").otherwise("old")
+    sent = table(s, d, "orders").where(key % 2 == 0).select(key.alias("event_id"), F.lit("news").alias("channel"), key.cast("string").alias("message_id"), old.alias("content"))
+    return replay.alert_actions(alerts, sent).select("event_id", "channel", "action")
+
+
+@query("relay_origins", """
+SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'text_prefix' WHEN role = 'user' THEN 'message_link' ELSE 'direct' END AS method,
+  CASE WHEN role = 'assistant' THEN 'Desk' WHEN role = 'user' THEN NULL ELSE 'bot' END AS origin_author,
+  CASE WHEN role = 'assistant' THEN 'wire' WHEN role = 'user' THEN CAST(conv_id + 10000 AS VARCHAR) END AS origin_channel FROM conversations""")
+def _(s, d):
+    role = F.col("role")
+    link = F.concat(F.lit("https://discord.com/channels/@me/"), (F.col("conv_id") + 10000).cast("string"), F.lit("/"), (F.col("turn") + 10000).cast("string"))
+    content = F.when(role == "assistant", F.lit("[#wire] Desk: what was said")).when(role == "user", F.concat(F.lit("said there "), link)).otherwise("plain words")
+    no = F.lit(None).cast("string")
+    df = table(s, d, "conversations").select(
+        "conv_id", "turn", F.lit("bot").alias("carrier"), content.alias("content"), no.alias("embed_author"), no.alias("embed_footer"), no.alias("embed_text"),
+        F.lit(None).cast("struct<channel_id:string,message_id:string>").alias("crosspost"),
+        F.lit(None).cast("struct<channel_id:string,message_id:string,content:string,embed_author:string,embed_footer:string>").alias("forward"),
+    )
+    return relay.recover_origin(df).select("conv_id", "turn", "method", "origin_author", "origin_channel")
+
+
+@query("relay_bodies")
+def _(s, d):
+    body = relay.parse_relay_body(F.col("text"), ts(NOW).cast("timestamp"))
+    return table(s, d, "conversations").select("conv_id", "turn", body.alias("b")).select("conv_id", "turn", "b.author", "b.handle", "b.text", "b.published_at")
+
+
+@query("link_strip", r"""SELECT doc_id, regexp_replace(regexp_replace(text, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), 'https?://\S+|www\.\S+', '', 'g') AS text FROM documents""")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", X.strip_links(F.col("text")).alias("text"))
+
+
+@query("option_contracts", r"""SELECT doc_id, coalesce(regexp_matches(text, '(?i)\b\d+\s*[PC]\b'), false) AS has_contract FROM documents""")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", X.names_contract(F.col("text")).alias("has_contract"))
+
+
+@query("boilerplate_strip")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", X.strip_boilerplate(F.col("text"), ("All rights reserved", "Licensed under")).alias("text"))
+
+
+@query("listed_headlines")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", F.posexplode(X.headlines_in(F.col("text"))).alias("place", "headline"))
+
+
+@query("debounced_warnings", """
+WITH RECURSIVE e AS (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'error'),
+r AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY 1
+  UNION ALL SELECT r.user_id, min(e.ts) FROM r JOIN e ON e.user_id = r.user_id AND epoch_ms(e.ts) >= epoch_ms(r.ts) + 1800000 GROUP BY r.user_id, r.ts)
+SELECT user_id, ts FROM r""")
+def _(s, d):
+    errors = table(s, d, "events").where("event_type = 'error'").select("user_id", "ts")
+    return reports.debounced(errors, "user_id", "ts").where("warn").select("user_id", "ts")
+
+
+@query("watchlist_feeds", """
+SELECT 'rss:' || kind || ':' || lower(n_name) AS id, upper(n_name) AS ticker, kind, 'https://' || kind || '/' || upper(n_name) AS url
+FROM nation, (VALUES ('filings'), ('news')) k(kind) WHERE NOT (kind = 'news' AND n_nationkey % 2 = 0)""")
+def _(s, d):
+    names = table(s, d, "nation").select(F.col("n_name").alias("ticker"))
+    known = table(s, d, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("rss:news:"), F.lower("n_name")).alias("id"))
+    return feeds.watchlist_feeds([names, names], known, {"news": "https://news/{ticker}", "filings": "https://filings/{ticker}"})
+
+
+@query("filing_sentences", """
+SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_brand || ', files for bankruptcy; change in control' WHEN p_size % 3 = 1 THEN p_brand || ' files 8-K — ' || p_name
+  ELSE p_name || ' — ' || p_type END AS sentence FROM part""")
+def _(s, d):
+    size = F.col("p_size") % 3
+    items = F.when(size == 0, F.array(F.lit("1.03"), F.lit("5.01"))).otherwise(F.array(F.lit("9.01")))
+    company = F.when(size < 2, F.col("p_brand"))
+    return table(s, d, "part").select("p_partkey", feeds.describe_filing(company, F.lit("8-K"), items, F.col("p_name"), F.col("p_type")).alias("sentence"))
+
+
+@query("metrics_document")
+def _(s, d):
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "FILTERED").otherwise("PUBLISHED")
+    events = table(s, d, "events").select(status.alias("status"), F.when(kind == "error", "NOISE").alias("rejection_reason"), "ts")
+    deliveries = table(s, d, "events").select(kind.alias("destination"), status.alias("status"), F.col("ts").alias("created_at"))
+    return reports.metrics_document(events, deliveries, _health(s, d), "ts", ts(NOW))

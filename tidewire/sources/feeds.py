@@ -127,3 +127,67 @@ def read_securities(spark: SparkSession, path: str) -> DataFrame:
 
 def post_text(headline: Column, summary: Column) -> Column:
     return normalize_whitespace(F.concat_ws(" — ", headline, summary))
+
+
+#: What the items of a current report are about.
+FILING_ITEMS = {
+    "1.01": "enters material agreement", "1.02": "terminates material agreement", "1.03": "files for bankruptcy",
+    "2.01": "completes acquisition or disposition", "2.02": "reports results", "2.03": "takes on material debt",
+    "2.04": "debt acceleration triggered", "2.05": "announces restructuring costs", "2.06": "records material impairment",
+    "3.01": "receives delisting notice", "4.01": "changes auditor", "4.02": "prior financials not reliable",
+    "5.01": "change in control", "5.02": "executive or director change",
+}
+
+
+def describe_filing(company: Column, form: Column, items: Column, title: Column, summary: Column) -> Column:
+    """``COMPANY, what; what``; without known items the company and form, without these the title and summary."""
+    known = F.create_map(*(F.lit(x) for kv in FILING_ITEMS.items() for x in kv))
+    said = F.filter(F.transform(items, lambda i: F.try_element_at(known, i)), lambda x: x.isNotNull())
+    company, form = F.nullif(F.trim(company), F.lit("")), F.nullif(F.trim(form), F.lit(""))
+    return (
+        F.when(company.isNotNull() & (F.size(said) > 0), F.concat(company, F.lit(", "), F.array_join(said, "; ")))
+        .when(company.isNotNull() & form.isNotNull(), F.concat(company, F.lit(" files "), form, F.lit(" — "), title))
+        .otherwise(F.concat_ws(" — ", title, F.nullif(F.trim(summary), F.lit(""))))
+    )
+
+
+NEWS_SCHEMA = "struct<id:bigint,category:string,datetime:bigint,headline:string,related:string,source:string,summary:string,url:string>"
+
+
+def news_category(source_id: Column) -> Column:
+    """An aggregator source's category, by what follows the colon of its id."""
+    suffix = F.lower(F.trim(F.split_part(source_id, F.lit(":"), F.lit(2))))
+    return F.when(suffix.isin("forex", "crypto", "merger"), suffix).otherwise("general")
+
+
+def publisher_org(publisher: Column) -> Column:
+    """What different spellings of an outlet share; null without a letter or digit."""
+    return F.nullif(F.regexp_replace(F.lower(F.trim(publisher)), "[^a-z0-9]+", ""), F.lit(""))
+
+
+def parse_news(df: DataFrame, now: Column, minutes: int = 60, payload: str = "payload", source: str = "source_id") -> DataFrame:
+    """An aggregator's items (JSON arrays) to posts of their publishers, no older than ``minutes``; items without a headline or id are dropped."""
+    rows = df.select(source, F.explode(F.from_json(payload, f"array<{NEWS_SCHEMA}>")).alias("i"))
+    at = F.when(F.col("i.datetime") > 0, F.timestamp_seconds("i.datetime"))
+    rows = rows.withColumn("published_at", at).where("i.id IS NOT NULL AND trim(i.headline) <> ''")
+    rows = rows.where(F.col("published_at").isNull() | (F.col("published_at") >= now.cast("timestamp") - F.make_dt_interval(mins=F.lit(minutes))))
+    return rows.select(
+        F.col(source).alias("source_id"), F.concat(F.lit("news:"), F.col("i.id")).alias("source_post_id"), news_category(F.col(source)).alias("category"),
+        post_text(strip_html(F.col("i.headline")), strip_html(F.coalesce("i.summary", F.lit("")))).alias("text"), F.col("i.url").alias("url"),
+        F.col("i.source").alias("publisher"), publisher_org(F.col("i.source")).alias("publisher_org"),
+        F.filter(F.split(F.coalesce("i.related", F.lit("")), ","), lambda x: x != "").alias("tickers"), "published_at",
+    )
+
+
+def watchlist_feeds(lists: list[DataFrame], known: DataFrame, templates: dict[str, str]) -> DataFrame:
+    """A feed row for each ticker of any list and each template (name to address with ``{ticker}``), but for ids that are known."""
+    tickers = lists[0].select("ticker")
+    for more in lists[1:]:
+        tickers = tickers.union(more.select("ticker"))
+    tickers = tickers.select(F.upper(F.trim("ticker")).alias("ticker")).where("ticker <> ''").distinct()
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), F.lit(a).alias("address")) for n, a in sorted(templates.items()))))
+    rows = tickers.select("ticker", each.alias("t")).select(
+        F.concat_ws(":", F.lit("rss"), "t.kind", F.lower("ticker")).alias("id"), "ticker", F.col("t.kind").alias("kind"),
+        F.replace(F.col("t.address"), F.lit("{ticker}"), F.col("ticker")).alias("url"),
+    )
+    return rows.join(known.select("id"), "id", "left_anti")
