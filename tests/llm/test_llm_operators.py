@@ -441,6 +441,35 @@ def test_neighbours_share_rare_words():
     assert sum(len(t) == 1 for t in whole.values()) >= 7
 
 
+def test_packing_finds_neighbours_in_other_partitions(spark):
+    r = np.random.default_rng(8)
+    texts = [" ".join(f"topic{chr(97 + i % 8)}{chr(97 + w)}" for w in r.integers(0, 20, 40)) for i in range(240)]
+    text = dict(enumerate(texts))
+    df = spark.createDataFrame([(i, t) for i, t in text.items()], "doc_id long, text string").repartition(6)
+    n_ids = sum(map(len, encoded("word_bpe_49k.json", texts, 2)))
+    got = packing.pack_documents(df, vocabulary("word_bpe_49k.json"), 1024, n_ids // 8).collect()
+    sequences = defaultdict(list)
+    for p in got:
+        sequences[p.sequence_id].append(p.doc_id % 8)
+    assert {p.doc_id for p in got} == set(text)
+    alike = [max(Counter(s).values()) for s in sequences.values()]
+    assert sum(alike) > 0.8 * sum(map(len, sequences.values()))
+    # Copies of one text are cut into shards like all others.
+    copies = packing.pack_documents(docs(spark, [BASE] * 400).repartition(4), vocabulary("word_bpe_49k.json"), 256, 4000)
+    assert copies.select("doc_id").distinct().count() == 400 and copies.rdd.getNumPartitions() > 4
+
+
+def test_all_shared_ids_of_a_seed_find_neighbours():
+    own = [np.arange(100 + 100 * i, 160 + 100 * i) for i in range(3)]
+    docs_ = [np.append(own[0], [50, 2]), np.append(own[1], [60, 2]), np.append(own[2], [50, 2])]
+    docs_ = [d.astype("<u2") for d in docs_]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs_]), minlength=1 << 16)
+    idf = packing.weights(df, 3)
+    shard = packing.Shard(docs_, idf, 62)
+    shard.unused[0] = False
+    assert shard.neighbours(0, 10) == [2]
+
+
 def test_overlaps_are_found_among_many_spans():
     text = " ".join(["token=abcdef0123", "deadbeef" * 4, "AKIA" + "A1" * 10, "x9Qz7Lk2Vb8Nw4Rt6Yp1Ms3", "token=x9Qz7Lk2Vb8Nw4Rt6Yp1Ms3"] * 40)
     encoding = secrets.load_encoding(vocabulary("byte_bpe_50k.tiktoken"))

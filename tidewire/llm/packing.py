@@ -1,7 +1,15 @@
-"""Packing documents into fixed windows by lexical retrieval."""
+"""Packing documents into fixed windows by lexical retrieval.
+
+Documents are first ordered by what they say: a tree of two-way splits, grown from
+a bounded sample of term vectors, gives each document a leaf, and the table is
+ranged by leaf and rarest shared ids.  Index shards are cut from that order, so
+that a shard holds documents on like matters wherever their files have them.
+"""
 
 from __future__ import annotations
 
+import bisect
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -19,14 +27,90 @@ SEQUENCE = 4096
 END_ID = 2
 #: Ids of an index shard, about: its documents are packed with each other.
 SHARD_TOKENS = 1_500_000
-#: Rare ids of a seed that make its query, and BM25's parameters.
-QUERY_IDS, K1, B = 24, 1.2, 0.75
-#: Ids that more than this share of all documents have are in no index.
-COMMON = 0.2
+#: BM25's parameters.
+K1, B = 1.2, 0.75
+#: Numbers of a term vector, sampled vectors that the tree is grown from, and the fewest of them in a split.
+VECTOR, TREE_SAMPLE, LEAST_SPLIT = 64, 16_384, 8
+#: Share of a shard that a range holds on average, so that few ranges outgrow a shard.
+RANGE_SHARE = 0.8
 _TEXTS = 256
 VOCABULARY = 1 << 16
 
 
+_PROJECTION: list[np.ndarray] = []
+
+
+def projection() -> np.ndarray:
+    """A fixed random vector for each id: vectors of documents keep the cosines of their weighted terms, nearly."""
+    if not _PROJECTION:
+        _PROJECTION.append(np.random.default_rng(7).standard_normal((VOCABULARY, VECTOR), dtype=np.float32))
+    return _PROJECTION[0]
+
+
+def describe(docs: list[np.ndarray], idf: np.ndarray, mean_tokens: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document its term vector, of length 1 (0 if it shares no id), and its two rarest shared ids as one number."""
+    vectors = np.zeros((len(docs), VECTOR), dtype=np.float32)
+    rare = np.zeros(len(docs), dtype=np.int64)
+    for i, doc in enumerate(docs):
+        # Stable sorting of 16-bit numbers goes digit by digit, faster than np.unique.
+        ids = np.sort(doc, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        ids, tf = ids[starts], np.diff(starts, append=len(ids)).astype(np.float32)
+        own = idf[ids].astype(np.float32)
+        if not own.any():
+            continue
+        weight = own * tf * (K1 + 1) / (tf + np.float32(K1 * (1 - B + B * len(doc) / max(mean_tokens, 1.0))))
+        v = weight @ projection()[ids]
+        vectors[i] = v / max(float(np.linalg.norm(v)), 1e-9)
+        first = int(np.argmax(own))
+        own[first] = 0
+        rare[i] = int(ids[first]) << 16 | int(ids[int(np.argmax(own))])
+    return vectors, rare
+
+
+class Tree:
+    """Two-way splits of vectors; leaves are numbered so that those of one branch follow each other."""
+
+    def __init__(self, sample: np.ndarray):
+        self.normals, self.bounds, self.children = [], [], []
+        self.leaves = 0
+        self._root = self._grow(sample.astype(np.float32))
+        self.normals = np.array(self.normals, dtype=np.float32).reshape(-1, VECTOR)
+        self.bounds = np.array(self.bounds, dtype=np.float32)
+        self.children = np.array(self.children, dtype=np.int64).reshape(-1, 2)
+
+    def _leaf(self) -> int:
+        self.leaves += 1
+        return -self.leaves
+
+    def _grow(self, x: np.ndarray) -> int:
+        """A node's number, or a leaf's below 0; a split is that of 2-means from two vectors far from each other."""
+        if len(x) < LEAST_SPLIT:
+            return self._leaf()
+        a = x[int(np.argmin(x @ x.mean(axis=0)))]
+        b = x[int(np.argmin(x @ a))]
+        for _ in range(6):
+            normal, bound = a - b, float((a @ a - b @ b) / 2)
+            side = x @ normal > bound
+            if side.all() or not side.any():
+                return self._leaf()
+            a, b = x[side].mean(axis=0), x[~side].mean(axis=0)
+        at = len(self.bounds)
+        self.normals.append(normal)
+        self.bounds.append(bound)
+        self.children.append((0, 0))
+        self.children[at] = (self._grow(x[~side]), self._grow(x[side]))
+        return at
+
+    def leaf_of(self, vectors: np.ndarray) -> np.ndarray:
+        at = np.full(len(vectors), self._root, dtype=np.int64)
+        while (inner := np.flatnonzero(at >= 0)).size:
+            node = at[inner]
+            side = (vectors[inner] * self.normals[node]).sum(axis=1) > self.bounds[node]
+            at[inner] = self.children[node, side.astype(np.int64)]
+        return -at
+
+
 class Shard:
     """A BM25 inverted index over the documents of a shard, and which of them are unused."""
 
@@ -49,7 +133,7 @@ class Shard:
     def neighbours(self, seed: int, needed: int) -> list[int]:
         """Unused documents by descending score for the seed, until they have ``needed`` ids; a tie goes to the earlier."""
         own = np.unique(self.docs[seed]).astype(np.int64)
-        query = own[np.argsort(-self.idf[own], kind="stable")[:QUERY_IDS]]
+        query = own[self.idf[own] > 0]
         score = np.zeros(len(self.docs), dtype=np.float32)
         for a, b in zip(self.starts[query].tolist(), self.starts[query + 1].tolist()):
             score[self.doc[a:b]] += self.weight[a:b]
@@ -139,23 +223,77 @@ def document_frequencies(encoded: DataFrame) -> np.ndarray:
     return out
 
 
+def weights(df: np.ndarray, n_docs: int) -> np.ndarray:
+    """BM25's weight of each id; 0 for the end id and for ids of fewer than two documents, which lead to no other."""
+    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
+    idf[(df < 2) | (np.arange(VOCABULARY) == END_ID)] = 0
+    return idf
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(ids.as_py(), dtype="<u2") for ids in column]
+
+
+def order_documents(encoded: DataFrame, n_docs: int, known, ranges: int) -> DataFrame:
+    """Documents ranged by the tree's leaves, then by rarest shared ids; ``known`` is a broadcast of weights and mean length.
+
+    Ranges are bounded from the sample too, to hold as many ids each.  Equal
+    documents are told apart by their place in the table, so a group of copies of
+    any size is cut like all others.
+    """
+    spark = encoded.sparkSession
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    encoded = encoded.withColumn("place", F.monotonically_increasing_id())
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = _arrays(batch.column("ids"))
+            vectors, rare = describe(docs, *known.value)
+            columns = [pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(rare), batch.column("place"), pa.array([len(d) for d in docs], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["v", "rare", "place", "n"])
+
+    part = encoded.select("ids", "place").sample(False, min(1.0, TREE_SAMPLE / max(n_docs, 1)), 11)
+    found = part.mapInArrow(sampled, "v binary, rare long, place long, n long").toPandas().sort_values("place")
+    sample = np.frombuffer(b"".join(map(bytes, found["v"])), dtype=np.float32).reshape(-1, VECTOR)
+    tree = Tree(sample)
+    keys = sorted(zip(tree.leaf_of(sample).tolist(), found["rare"].tolist(), found["place"].tolist(), found["n"].tolist()))
+    share = (np.cumsum([k[3] for k in keys]) - 1) * ranges // max(1, sum(k[3] for k in keys))
+    bounds = [keys[i][:3] for i in np.flatnonzero(np.diff(share)).tolist()]
+    shape = spark.sparkContext.broadcast((tree, bounds))
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, bounds = shape.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(i, _TEXTS)
+                vectors, rare = describe(_arrays(part.column("ids")), *known.value)
+                leaf = tree.leaf_of(vectors)
+                range_ = [bisect.bisect_left(bounds, k) for k in zip(leaf.tolist(), rare.tolist(), part.column("place").to_pylist())]
+                columns = [part.column("doc_id"), part.column("ids"), part.column("place"), pa.array(leaf), pa.array(rare), pa.array(range_, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "place", "leaf", "rare", "range"])
+
+    located = encoded.mapInArrow(locate, f"doc_id {kind}, ids binary, place long, leaf long, rare long, range int")
+    return located.repartitionById(len(bounds) + 1, "range").sortWithinPartitions("leaf", "rare", "place")
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the piece's ids.
 
     Texts are encoded once into a written table.  Frequencies of ids over all
-    documents weigh the terms.  Each partition of that table is cut into index
-    shards as it is read, so nothing is shuffled, and a shard holds a bounded
-    number of ids (one longer document makes a shard of its own).  Null and empty
-    texts are documents of the end id alone; repeated rows are packed each; an
-    empty table gives no pieces.  Other columns are ignored.
+    documents weigh the terms.  The table is ordered by content (see
+    ``order_documents``), and index shards are cut from that order as it is read;
+    a shard holds a bounded number of ids (one longer document makes a shard of
+    its own).  Within a shard all ids of a seed that another document has make its
+    query; documents of other shards are not returned.  Null and empty texts are
+    documents of the end id alone; repeated rows are packed each; an empty table
+    gives no pieces.  Other columns are ignored.
     """
     encoded = encode_documents(docs, tokenizer)
     total = encoded.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("ids")).alias("bytes")).first()
-    n_docs = total["n"]
-    df = document_frequencies(encoded)
-    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-    idf[(df == 0) | ((df > COMMON * n_docs) & (df > 1)) | (np.arange(VOCABULARY) == END_ID)] = 0
-    known = docs.sparkSession.sparkContext.broadcast((idf, (total["bytes"] or 0) / 2 / max(n_docs, 1)))
+    n_docs, n_ids = total["n"], (total["bytes"] or 0) // 2
+    idf = weights(document_frequencies(encoded), n_docs)
+    known = docs.sparkSession.sparkContext.broadcast((idf, n_ids / max(n_docs, 1)))
+    ordered = order_documents(encoded, n_docs, known, max(1, math.ceil(n_ids / (RANGE_SHARE * shard_tokens))))
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
@@ -196,7 +334,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, shard_
         if held:
             yield from flush()
 
-    placed = encoded.select("doc_id", "ids", F.spark_partition_id().cast("long").alias("part"))
+    placed = ordered.select("doc_id", "ids", F.spark_partition_id().cast("long").alias("part"))
     return placed.mapInArrow(
         pack, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
     )
