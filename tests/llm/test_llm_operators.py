@@ -441,6 +441,17 @@ def test_neighbours_share_rare_words():
     assert sum(len(t) == 1 for t in whole.values()) >= 7
 
 
+def test_keys_of_letters_and_in_joined_runs():
+    encoding = secrets.load_encoding(vocabulary("byte_bpe_50k.tiktoken"))
+    for text, key in (
+        ("see qzXwVkPlMtRyBnCdJhGfKs here", "qzXwVkPlMtRyBnCdJhGfKs"), ("sk-live-qzxwvkplmtrybncd-8271", "qzxwvkplmtrybncd"),
+        ("/static/images/documents/public/releases/xK9v3Qz7LmB2wR8tYp4NcD6f/information/translations", "xK9v3Qz7LmB2wR8tYp4NcD6f"),
+    ):
+        assert any(text[a:b] == key for _, a, b in secrets.random_spans(text, encoding)), text
+    for text in ("2024-01-02-long-name-with-words", "/usr/share/documentation/information-technology", "12345678901234567890-1234", "-" * 30):
+        assert secrets.random_spans(text, encoding) == [], text
+
+
 def test_packing_finds_neighbours_in_other_partitions(spark):
     r = np.random.default_rng(8)
     texts = [" ".join(f"topic{chr(97 + i % 8)}{chr(97 + w)}" for w in r.integers(0, 20, 40)) for i in range(240)]

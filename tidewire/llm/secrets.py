@@ -24,12 +24,15 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: Runs that may be random strings; a line break, space or other mark ends them.
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+_PART = re.compile(r"[A-Za-z0-9]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = (32, 40, 56, 64, 96, 128)
 
 #: A run with fewer characters to a token than this is random.
 MAX_CHARS_PER_TOKEN = 2.1
+#: Fewest characters of a part of a joined run that is judged on its own.
+PART_CHARS = 16
 #: Longer runs (encoded files) are judged by pieces of so many characters.
 PIECE_CHARS = 4096
 
@@ -56,28 +59,41 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def is_known_identifier(run: str) -> bool:
-    """Digests, UUIDs, numbers, and names of words joined by marks, which are no secrets however they are cut."""
+    """Digests, UUIDs and numbers, which are no secrets however they are cut."""
     core = run.strip("-_=+/")
-    if re.fullmatch(r"[0-9a-fA-F]+", core):
-        return len(core) in DIGESTS or core.isdigit()
-    if _UUID.fullmatch(core) or not re.search("[0-9]", core) or not re.search("[A-Za-z]", core):
+    if re.fullmatch(r"[0-9a-fA-F]+", core) and len(core) in DIGESTS:
         return True
-    parts = [p for p in re.split(r"[-_/+=]+", core) if p]
-    return all(p.isdigit() or p.isalpha() and (p.islower() or p.istitle() or p.isupper()) for p in parts)
+    return bool(_UUID.fullmatch(core)) or not re.search("[A-Za-z]", core)
+
+
+def is_plain(part: str) -> bool:
+    """A number, or letters in the case of a word."""
+    return part.isdigit() or part.isalpha() and (part.islower() or part.istitle() or part.isupper())
 
 
 def random_spans(text: str, encoding, limit: float = MAX_CHARS_PER_TOKEN) -> list[tuple[str, int, int]]:
-    """Runs of 20 or more characters that take many tokens for their length."""
+    """Runs of 20 or more characters that take many tokens for their length.
+
+    Where a run is joined of words and numbers only, or passes as a whole, its
+    parts are judged one by one, as a key can stand between words.
+    """
+
+    def is_random(run: str) -> bool:
+        tokens = sum(len(encoding.encode_ordinary(run[i : i + PIECE_CHARS])) for i in range(0, len(run), PIECE_CHARS))
+        return len(run) < limit * tokens
+
     found = []
     for m in _RUN.finditer(text):
         run = m[0]
         if is_known_identifier(run):
             continue
-        tokens = sum(
-            len(encoding.encode_ordinary(run[i : i + PIECE_CHARS])) for i in range(0, len(run), PIECE_CHARS)
-        )
-        if len(run) < limit * tokens:
+        parts = [*_PART.finditer(run)]
+        joined = len(parts) > 1 and all(is_plain(p[0]) for p in parts)
+        if not joined and is_random(run):
             found.append(("random", *m.span()))
+        elif len(parts) > 1:
+            long_ = (p for p in parts if len(p[0]) >= PART_CHARS and not is_known_identifier(p[0]))
+            found += [("random", m.start() + p.start(), m.start() + p.end()) for p in long_ if is_random(p[0])]
     return found
 
 
