@@ -452,6 +452,16 @@ def test_keys_of_letters_and_in_joined_runs():
         assert secrets.random_spans(text, encoding) == [], text
 
 
+def test_possessives_and_phones(spark):
+    texts = ["Mary Delgado said so. Delgado's car and Delgado’s house.", "Mary Delgado's house, then Delgado left.", "Call +15551234567, +49 30 1234567, +33 1 42 68 53 00, 030 1234567 or 01 42 68 53 00."]
+    out = {r.doc_id: r.text for r in pii.replace_pii(docs(spark, texts), "k").collect()}
+    first = re.fullmatch(r"\w+ (\w+) said so\. (\w+)'s car and (\w+)’s house\.", out[0])
+    assert first and len(set(first.groups())) == 1 and first[1] != "Delgado"
+    assert re.fullmatch(rf"\w+ {first[1]}'s house, then {first[1]} left\.", out[1])
+    assert [k for k, *_ in pii.mentions(texts[2])] == ["phone"] * 5
+    assert not any(n in out[2] for n in ("15551234567", "30 1234567", "42 68 53"))
+
+
 def test_packing_finds_neighbours_in_other_partitions(spark):
     r = np.random.default_rng(8)
     texts = [" ".join(f"topic{chr(97 + i % 8)}{chr(97 + w)}" for w in r.integers(0, 20, 40)) for i in range(240)]

@@ -52,7 +52,9 @@ _DIGITS = re.compile(
     r"(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-]))"
+    r"|(?P<phone>(?<![\w.+-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}"
+    # E.164 with or without groups, then national numbers from their 0 on.
+    r"|\+[1-9](?:[ .-]?\d|[ .-]?\(\d{1,4}\)){7,14}|0\d{1,4}[ /-]\d{5,8}|0\d(?:[ .-]\d{2}){4})(?![\w-]))"
 )
 _CAPITALISED = re.compile(r"(?<!\w)[^\W\d_a-zа-яα-ω][\w'’-]*\w")
 _HAS_DIGITS = re.compile(r"\d[\d .()-]{5,}\d")
@@ -74,9 +76,15 @@ def normal_form(kind: str, raw: str) -> str:
     return str(ipaddress.IPv4Address(".".join(str(int(x)) for x in raw.split(".")))) if kind == "ip" else raw
 
 
+def _without_possessive(m: re.Match) -> tuple[int, int, str]:
+    """Start, end and word; a final 's stays in the text behind the name."""
+    word = m[0][:-2] if m[0].endswith(("'s", "’s")) else m[0]
+    return m.start(), m.start() + len(word), word
+
+
 def _names(text: str) -> list[Mention]:
     """Given names before a surname, names after titles, and later mentions of these surnames alone."""
-    words = [(m.start(), m.end(), m[0]) for m in _CAPITALISED.finditer(text)]
+    words = [_without_possessive(m) for m in _CAPITALISED.finditer(text)]
     if not any(w in _GENDER or w in TITLES for _, _, w in words):
         return []
     found: dict[int, Mention] = {}
