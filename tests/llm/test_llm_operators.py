@@ -462,6 +462,17 @@ def test_possessives_and_phones(spark):
     assert not any(n in out[2] for n in ("15551234567", "30 1234567", "42 68 53"))
 
 
+def test_keep_one_with_repeated_and_null_ids(spark):
+    other, third = [" ".join(f"{w}{i}" for i in range(60)) for w in ("other", "third")]
+    texts = [BASE, BASE + " extra", other, other + " more", third, third + " more", third, "", "", None]
+    kept = jaccard_join.keep_one(docs(spark, texts, [1, 5, 5, 9, None, None, None, None, None, 5])).collect()
+    got = Counter((r.doc_id, r.text) for r in kept if r.text)
+    assert (got[1, BASE], got[5, other], len(got), sum(got.values())) == (1, 1, 3, 3)
+    assert len(kept) == 6
+    alone = jaccard_join.keep_one(docs(spark, [BASE, other, third, third], [7, 7, 7, 7])).collect()
+    assert sorted(r.text for r in alone) == sorted([BASE, other, third])
+
+
 def test_packing_finds_neighbours_in_other_partitions(spark):
     r = np.random.default_rng(8)
     texts = [" ".join(f"topic{chr(97 + i % 8)}{chr(97 + w)}" for w in r.integers(0, 20, 40)) for i in range(240)]

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import BROADCAST_ROWS, materialize, read_table, shuffle_partitions
@@ -103,14 +103,14 @@ _LIMIT = np.uint64(int(SHARE * 2**64))
 
 
 def _hash_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n (shingles), few (those of the share), a and b (the set's key)."""
+    """doc_id, t (the text's hash), n (shingles), few (those of the share), a and b (the set's key)."""
     for batch in batches:
         rows = []
         for text in batch.column("text"):
             s = shingles(text.as_py())
             rows.append((len(s), int(np.searchsorted(s, _LIMIT)), *set_key(s)))
         columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 4
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "few", "a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), *columns], ["doc_id", "t", "n", "few", "a", "b"])
 
 
 def _share_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,19 +427,13 @@ def _ids_repeat(light: DataFrame) -> bool:
     return light.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
 
 
-def link_documents(docs: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
-    """Per row of (``doc_id``, ``text``): doc_id, n_shingles, component_id.
-
-    Two rows are linked when their sets' Jaccard index is 0.75 or more, equal
-    sets included; ``component_id`` is the least ``doc_id`` reached.  Null, empty
-    and blank texts have no shingles and are linked with nothing, so they keep
-    their own id.  Repeated rows each get a row; null ids count as larger than
-    any; other columns are ignored; an empty table gives an empty table.
-    """
+def _linked(docs: DataFrame, limit: int) -> DataFrame:
+    """Per row of (``doc_id``, ``text``): doc_id, t (the text's hash), n (shingles), root (the same for all rows of a component)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    light = materialize(docs.mapInArrow(_hash_documents, f"doc_id {kind}, n long, few long, a long, b long"), "hashes")
+    hashed = docs.withColumn("t", F.xxhash64("text"))
+    light = materialize(hashed.mapInArrow(_hash_documents, f"doc_id {kind}, t long, n long, few long, a long, b long"), "hashes")
 
     shares = docs.select("text").mapInArrow(_share_of, "s long, a long")
     shares = shares.repartition(shuffle_partitions(spark), "s").sortWithinPartitions("s", "a")
@@ -463,7 +457,19 @@ def link_documents(docs: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
         roots = components(links.select(u.alias("u"), v.alias("v")), "joined")
     roots = materialize(roots.distinct(), "roots")
     rows = light.withColumn("node", F.struct("a", "b")).join(roots, "node", "left")
-    rows = rows.withColumn("root", F.coalesce("root", "node")).select("doc_id", "n", "root")
+    return rows.withColumn("root", F.coalesce("root", "node")).select("doc_id", "t", "n", "root")
+
+
+def link_documents(docs: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
+    """Per row of (``doc_id``, ``text``): doc_id, n_shingles, component_id.
+
+    Two rows are linked when their sets' Jaccard index is 0.75 or more, equal
+    sets included; ``component_id`` is the least ``doc_id`` reached.  Null, empty
+    and blank texts have no shingles and are linked with nothing, so they keep
+    their own id.  Repeated rows each get a row; null ids count as larger than
+    any; other columns are ignored; an empty table gives an empty table.
+    """
+    rows = _linked(docs, limit)
     least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "root", "left").select(
         "doc_id",
@@ -473,14 +479,30 @@ def link_documents(docs: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, that of the least ``doc_id``, with its own columns."""
-    found = materialize(link_documents(docs), "components")
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    repeated = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    return (kept.dropDuplicates(["doc_id"]) if repeated else kept).select(*docs.columns)
+    """One row of each component, that of the least ``doc_id`` (nulls last), then of the least hash of text, with its own columns.
+
+    Rows are told apart by id and text, so an id may stand in several components;
+    of rows equal in both one stays.  Texts without shingles all stay.
+    """
+    found = materialize(_linked(docs, REGION_SHINGLES).where("n > 0"), "components")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    least = found.groupBy("root").agg(F.min(rank).alias("least"))
+    found = found.join(least, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("t") == F.col("least.t")))
+    dropped = found.where("NOT stays").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
+    again = found.where("stays").groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).count().where("count > 1").drop("count")
+
+    def same() -> Column:
+        return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
+
+    def side(keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+    kept = docs.join(side(dropped), same(), "left_anti")
+    if not again.limit(1).count():
+        return kept.select(*docs.columns)
+    again = side(again)
+    one = kept.join(again, same(), "left_semi").withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"])
+    return kept.join(again, same(), "left_anti").select(*docs.columns).union(one.select(*docs.columns))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
