@@ -393,6 +393,14 @@ def test_quality(spark):
     assert "Python" not in plan and "MapInArrow" not in plan
 
 
+def test_long_texts_may_repeat_more_words(spark):
+    text = lambda n, different: " ".join(f"w{i % different}" for i in range(n))
+    df = docs(spark, [text(200_000, 15_000), text(200_000, 4_000), text(5_000, 400), text(5_000, 600)])
+    df = df.withColumn("n_words", quality.F.size(quality.words_of(quality.F.col("text"))).cast("long"))
+    rule = next(r for r in quality.method_rules() if r.name == "few_different_words")
+    assert rows(df.select("doc_id", rule.rejects.alias("r")), "doc_id", "r") == [(0, False), (1, True), (2, True), (3, False)]
+
+
 def test_order_changes_no_verdict(spark):
     df = quality.with_counts(docs(spark, TEXTS))
     rules = [*quality.base_rules(), *quality.method_rules()]

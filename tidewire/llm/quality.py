@@ -86,6 +86,10 @@ def with_counts(docs: DataFrame) -> DataFrame:
     ).drop("_words")
 
 
+#: Up to so many words, a tenth of them have to be different.
+VARIETY_WORDS = 10_000
+
+
 @dataclass(frozen=True)
 class Rule:
     """A named test; ``rejects`` is true for rows to be rejected and never null."""
@@ -115,7 +119,8 @@ def method_rules() -> list[Rule]:
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n)),
         Rule("shouting", 2 * upper > F.greatest(F.col("word_chars"), F.lit(1))),
         Rule("exclamations", 5 * marks > n),
-        Rule("few_different_words", 10 * F.size(words) < n),
+        # Beyond VARIETY_WORDS the bound grows with the root of the length, as different words of clean texts do or faster.
+        Rule("few_different_words", 10 * F.size(words) < F.least(n, F.sqrt(n * F.lit(float(VARIETY_WORDS))))),
     ]
 
 
