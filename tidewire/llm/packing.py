@@ -12,6 +12,7 @@ import bisect
 import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ K1, B = 1.2, 0.75
 VECTOR, TREE_SAMPLE, LEAST_SPLIT = 64, 16_384, 8
 #: Share of a shard that a range holds on average, so that few ranges outgrow a shard.
 RANGE_SHARE = 0.8
-_TEXTS = 256
+#: Texts encoded at once.
+_TEXTS = 4096
 VOCABULARY = 1 << 16
 
 
@@ -112,7 +114,11 @@ class Tree:
 
 
 class Shard:
-    """A BM25 inverted index over the documents of a shard, and which of them are unused."""
+    """A BM25 inverted index over the documents of a shard, and which of them are unused.
+
+    Postings of ids that a quarter of the documents have are rows of a dense matrix,
+    all others lists; both are cut down to the unused documents as these get fewer.
+    """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_tokens: float):
         n = len(docs)
@@ -121,26 +127,49 @@ class Shard:
         owner = np.repeat(np.arange(n), sizes)
         useful = idf[flat] > 0
         pairs, tf = np.unique(flat[useful] * n + owner[useful], return_counts=True)
-        self.doc = (pairs % max(n, 1)).astype(np.int32)
+        doc = pairs % max(n, 1)
         ids = pairs // max(n, 1)
-        self.starts = np.searchsorted(ids, np.arange(VOCABULARY + 1))
         norm = K1 * (1 - B + B * sizes / max(mean_tokens, 1.0))
-        self.weight = (idf[ids] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
+        weight = (idf[ids] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
+        often = np.bincount(ids, minlength=VOCABULARY) * 4 > n
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        in_row = often[ids]
+        self.dense = np.zeros((int(often.sum()), n), dtype=np.float32)
+        self.dense[self.row[ids[in_row]], doc[in_row]] = weight[in_row]
+        self.doc, self.weight = doc[~in_row], weight[~in_row]
+        self.starts = np.searchsorted(ids[~in_row], np.arange(VOCABULARY + 1))
         self.idf = idf
         self.docs = docs
         self.unused = np.ones(n, dtype=bool)
+        #: The documents that have a column.
+        self.held = np.arange(n)
+
+    def _drop_used(self) -> None:
+        """Leaves columns and postings of unused documents only."""
+        keep = self.unused[self.held]
+        column = np.cumsum(keep) - 1
+        stays = keep[self.doc]
+        self.starts = np.concatenate([[0], np.cumsum(stays)])[self.starts]
+        self.doc, self.weight = column[self.doc[stays]], self.weight[stays]
+        self.dense, self.held = np.ascontiguousarray(self.dense[:, keep]), self.held[keep]
 
     def neighbours(self, seed: int, needed: int) -> list[int]:
         """Unused documents by descending score for the seed, until they have ``needed`` ids; a tie goes to the earlier."""
+        if 4 * int(self.unused.sum()) < 3 * len(self.held):
+            self._drop_used()
         own = np.unique(self.docs[seed]).astype(np.int64)
         query = own[self.idf[own] > 0]
-        score = np.zeros(len(self.docs), dtype=np.float32)
-        for a, b in zip(self.starts[query].tolist(), self.starts[query + 1].tolist()):
-            score[self.doc[a:b]] += self.weight[a:b]
-        score[~self.unused] = 0
+        rows = self.row[query]
+        score = self.dense[rows[rows >= 0]].sum(axis=0, dtype=np.float32).astype(np.float64)
+        # The other ids' runs of postings one after another.
+        first = self.starts[query]
+        n = self.starts[query + 1] - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        score += np.bincount(self.doc.take(at), weights=self.weight.take(at), minlength=len(score))
+        score[~self.unused[self.held]] = 0
         found = np.flatnonzero(score > 0)
         best, total = [], 0
-        for d in found[np.argsort(-score[found], kind="stable")].tolist():
+        for d in self.held[found[np.argsort(-score[found], kind="stable")]].tolist():
             best.append(d)
             total += len(self.docs[d])
             if total >= needed:
@@ -190,34 +219,70 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_tokens: float, size
             queue = shard.neighbours(seed, size - offset)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """A written table of ``doc_id`` and ``ids`` (16-bit little-endian, with the end id); null texts count as empty."""
+@dataclass
+class Encoded:
+    """A written table of ``doc_id`` and ``ids`` (16-bit little-endian, with the end id), and what was counted as it was written."""
+
+    rows: DataFrame
+    n_docs: int
+    n_ids: int
+    #: In how many documents each id of the vocabulary stands.
+    frequencies: np.ndarray
+
+
+def encode_documents(docs: DataFrame, tokenizer: str) -> Encoded:
+    """Encodes all texts once; null texts count as empty.
+
+    Each task also counts its documents by id, and writes the counts as one more row,
+    so that neither texts nor ids are read again for them.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "ids", "counts", "n_docs", "n_ids"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END_ID], dtype="<u2").tobytes()
         coder = encoder(tokenizer, "word")
+        counts = np.zeros(VOCABULARY, dtype="<u4")
+        n_docs = n_ids = 0
+        key_type = None
+
+        def row(keys: pa.Array, packed: pa.Array, counts_: bytes | None, n: int | None, ids: int | None) -> pa.RecordBatch:
+            more = [pa.array([x] * len(keys), t) for x, t in ((counts_, pa.binary()), (n, pa.int64()), (ids, pa.int64()))]
+            return pa.RecordBatch.from_arrays([keys, packed, *more], names)
+
         for batch in batches:
+            key_type = batch.column("doc_id").type
             for i in range(0, batch.num_rows, _TEXTS):
                 part = batch.slice(i, _TEXTS)
                 packed = [ids + end for ids in coder.encode(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "ids"])
-
-    return materialize(docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids binary"), "ids")
-
-
-def document_frequencies(encoded: DataFrame) -> np.ndarray:
-    """In how many of all documents each id stands: one number for each of the vocabulary's ids, whatever the input."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for ids in packed:
+                    own = np.sort(np.frombuffer(ids, dtype="<u2"), kind="stable")
+                    counts[own[np.append(True, own[1:] != own[:-1])]] += 1
+                    n_ids += len(own)
+                n_docs += len(packed)
+                yield row(part.column("doc_id"), pa.array(packed, pa.binary()), None, None, None)
+        if n_docs:
+            yield row(pa.array([None], key_type), pa.array([None], pa.binary()), counts.tobytes(), n_docs, n_ids)
+
+    ddl = f"doc_id {kind}, ids binary, counts binary, n_docs long, n_ids long"
+    written = materialize(docs.select("doc_id", "text").mapInArrow(encode, ddl), "ids")
+    told = written.where("counts IS NOT NULL")
+    total = told.agg(F.sum("n_docs"), F.sum("n_ids")).first()
+    return Encoded(written.where("counts IS NULL").select("doc_id", "ids"), total[0] or 0, total[1] or 0, _summed(told.select("counts")))
+
+
+def _summed(told: DataFrame) -> np.ndarray:
+    """One number for each id of the vocabulary, whatever the input; tasks add up what they read before it is shuffled."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(VOCABULARY, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                total[np.unique(np.frombuffer(ids.as_buffer(), dtype="<u2"))] += 1
+            for counts in batch.column("counts"):
+                total += np.frombuffer(counts.as_buffer(), dtype="<u4")
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    found = encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = told.mapInArrow(add, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(VOCABULARY, dtype=np.int64)
     out[found["id"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
     return out
@@ -289,11 +354,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, shard_
     gives no pieces.  Other columns are ignored.
     """
     encoded = encode_documents(docs, tokenizer)
-    total = encoded.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("ids")).alias("bytes")).first()
-    n_docs, n_ids = total["n"], (total["bytes"] or 0) // 2
-    idf = weights(document_frequencies(encoded), n_docs)
-    known = docs.sparkSession.sparkContext.broadcast((idf, n_ids / max(n_docs, 1)))
-    ordered = order_documents(encoded, n_docs, known, max(1, math.ceil(n_ids / (RANGE_SHARE * shard_tokens))))
+    idf = weights(encoded.frequencies, encoded.n_docs)
+    known = docs.sparkSession.sparkContext.broadcast((idf, encoded.n_ids / max(encoded.n_docs, 1)))
+    ordered = order_documents(encoded.rows, encoded.n_docs, known, max(1, math.ceil(encoded.n_ids / (RANGE_SHARE * shard_tokens))))
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
