@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A table is broadcast only if its rows, counted first, are no more than this.
 BROADCAST_ROWS = 400_000
@@ -19,11 +21,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (tests in one process) it is set to a temporary
-    folder of this machine.
+    Where the setting is absent and all runs in one process (tests), it is set to a
+    temporary folder of this machine; on a cluster it has to be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tidewire-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidewire-{uuid.uuid4().hex}"
@@ -37,5 +41,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put_aside(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """Rows whose columns by names that an operator adds are renamed meanwhile, and what selects the rows' own columns again."""
+    aside = {c: f"__own_{c}" for c in docs.columns if c in set(names)}
+    return docs.withColumnsRenamed(aside), [F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

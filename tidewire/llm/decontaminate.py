@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -14,13 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm.common import read_table
+from tidewire.llm.common import materialize, put_aside, read_table
 
 #: Words of a window.
 WINDOW = 13
-#: Bytes of benchmark text to an index, which the driver builds and executors hold.  A larger
-#: benchmark is cut into blocks by item, each with an index, scanned one after another.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text to an index, about, which the driver builds and executors hold.  A larger
+#: benchmark is cut into blocks, scanned one after another; a longer item is cut into pieces that overlap by a
+#: window.  An index of 8 MB of text was measured at 35 MB as sent to executors, and 154 MB more memory of the driver.
+BLOCK_BYTES = 8 << 20
 #: Words of documents looked up at once.
 CHUNK_WORDS = 400_000
 
@@ -37,16 +39,9 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
-class _Vocabulary(dict):
-    """Benchmark word to its number from 1 on; any other word is 0."""
-
-    def __missing__(self, word: bytes) -> int:
-        return 0
-
-
 def _hashes(ids: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit hash of each run of ``length`` word numbers."""
-    n = len(ids) - length + 1
+    n = max(0, len(ids) - length + 1)
     h = np.zeros(n, dtype=np.uint64)
     for k in range(length):
         h = (h ^ ids[k : k + n].astype(np.uint64)) * _MIX
@@ -54,49 +49,75 @@ def _hashes(ids: np.ndarray, length: int) -> np.ndarray:
     return h
 
 
+@dataclass
+class _Table:
+    """Different windows of one length, by hash: where each stands in the index's words, and the items that have it, from ``bounds`` on."""
+
+    length: int
+    hashes: np.ndarray
+    starts: np.ndarray
+    bounds: np.ndarray
+    owners: np.ndarray
+
+
 class WindowIndex:
-    """The windows of benchmark items: by length, sorted hashes, words, and the items that have each window."""
+    """The windows of benchmark items, as arrays: words by number, and by length of window their hashes, places and items."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
-        self.vocabulary = _Vocabulary()
-        windows: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for item_id, text in items:
-            words = words_of(text)
-            if not words or item_id is None:
-                continue
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            length = min(window, len(ids))
-            found = windows.setdefault(length, {})
-            for i in range(len(ids) - length + 1):
-                found.setdefault(tuple(ids[i : i + length]), set()).add(str(item_id))
-        self.tables = []
-        for length, found in sorted(windows.items()):
-            words = np.array(list(found), dtype=np.int64).reshape(len(found), length)
-            hashes = np.concatenate([_hashes(w, length) for w in words])
-            order = np.argsort(hashes, kind="stable")
-            owners = list(found.values())
-            self.tables.append((length, hashes[order], words[order], [owners[i] for i in order]))
-
-    def find(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[set[str]]]]:
-        """By length: places where a window stands, its number in the table, and the items of each number.
+        texts = [(str(item_id), words_of(text)) for item_id, text in items if item_id is not None]
+        texts = [(item_id, words) for item_id, words in texts if words]
+        self.names = sorted({item_id for item_id, _ in texts})
+        number = {item_id: i for i, item_id in enumerate(self.names)}
+        #: Benchmark word to its number from 1 on; any other word is 0.
+        self.vocabulary: dict[bytes, int] = {}
+        sizes = np.array([len(words) for _, words in texts], dtype=np.int64)
+        flat = (self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for _, words in texts for w in words)
+        self.words = np.fromiter(flat, dtype=np.int32, count=int(sizes.sum()))
+        firsts = np.cumsum(sizes) - sizes
+        owner = np.array([number[item_id] for item_id, _ in texts], dtype=np.int32)
+        lengths = np.minimum(sizes, window)
+        self.tables = [self._table(n, firsts, sizes, owner, lengths == n) for n in np.unique(lengths).tolist()]
+
+    def _table(self, length: int, firsts: np.ndarray, sizes: np.ndarray, owner: np.ndarray, here: np.ndarray) -> _Table:
+        firsts, n, owner = firsts[here], sizes[here] - length + 1, owner[here]
+        starts = np.repeat(firsts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        owners = np.repeat(owner, n)
+        hashes = _hashes(self.words, length)[starts]
+        order = np.lexsort((owners, hashes))
+        hashes, starts, owners = hashes[order], starts[order].astype(np.int32), owners[order]
+        # Equal hashes are equal windows but for a collision; then each is a window of its own.
+        fresh = np.append(True, hashes[1:] != hashes[:-1])
+        head = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
+        span, unlike = np.arange(length), [np.empty(0, np.int64)]
+        for at in range(0, len(starts), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            same = (self.words[starts[part, None] + span] == self.words[starts[head[part], None] + span]).all(axis=1)
+            unlike.append(head[part][~same])
+        fresh |= np.isin(head, np.concatenate(unlike))
+        first = np.flatnonzero(fresh)
+        return _Table(length, hashes[first], starts[first], np.append(first, len(starts)), owners)
+
+    def find(self, ids: np.ndarray) -> Iterator[tuple[_Table, np.ndarray, np.ndarray]]:
+        """By length: places where a window stands, and its number in the table.
 
         A hash only proposes; the words decide.  Windows with equal hashes are all compared.
         """
-        for length, hashes, words, owners in self.tables:
-            if len(ids) < length:
+        for t in self.tables:
+            h = _hashes(ids, t.length)
+            if not len(h):
                 continue
-            h = _hashes(ids, length)
-            at = np.searchsorted(hashes, h)
+            at = np.searchsorted(t.hashes, h)
             ahead = 0
             while True:
                 row = at + ahead
-                same = (row < len(hashes)) & (hashes[np.minimum(row, len(hashes) - 1)] == h)
+                same = (row < len(t.hashes)) & (t.hashes[np.minimum(row, len(t.hashes) - 1)] == h)
                 places = np.flatnonzero(same)
                 if not len(places):
                     break
                 rows = row[places]
-                real = np.all(ids[places[:, None] + np.arange(length)] == words[rows], axis=1)
-                yield length, places[real], rows[real], owners
+                span = np.arange(t.length)
+                real = np.all(ids[places[:, None] + span] == self.words[t.starts[rows, None] + span], axis=1)
+                yield t, places[real], rows[real]
                 ahead += 1
 
 
@@ -106,13 +127,15 @@ def _scan_chunk(index: WindowIndex, docs: list[list[bytes]]) -> list[tuple[list[
     starts = np.concatenate([[0], np.cumsum(sizes)])
     # One word number 0, which no window has, stands behind each document.
     flat = chain.from_iterable(chain(d, (b"",)) for d in docs)
-    ids = np.fromiter(map(index.vocabulary.__getitem__, flat), dtype=np.int64, count=int(starts[-1]))
+    known = index.vocabulary.get
+    ids = np.fromiter((known(w, 0) for w in flat), dtype=np.int32, count=int(starts[-1]))
     out: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in docs]
-    for length, places, rows, owners in index.find(ids):
+    for t, places, rows in index.find(ids):
         of = np.searchsorted(starts, places, side="right") - 1
         for doc, place, row in zip(of.tolist(), (places - starts[of]).tolist(), rows.tolist()):
-            out[doc][0].append((place, length))
-            out[doc][1].update(owners[row])
+            out[doc][0].append((place, t.length))
+            # Most windows of a passage have the same items as the one before.
+            out[doc][1].update(index.names[i] for i in t.owners[t.bounds[row] : t.bounds[row + 1]].tolist())
     return out
 
 
@@ -140,71 +163,109 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
 _ADDED = "n_words long, hit_spans array<struct<start:int,end:int>>, item_ids array<string>"
 
 
+def _pieces(item_id: object, text: str, limit: int) -> Iterator[tuple[object, str]]:
+    """An item, cut into pieces of words of about ``limit`` bytes if it is longer; neighbours share all but one word of a window."""
+    words = words_of(text)
+    if len(words) <= WINDOW or len(text) <= limit:
+        yield item_id, text
+        return
+    start = 0
+    while start + WINDOW - 1 < len(words):
+        end, size = start, 0
+        while end < len(words) and (size + len(words[end]) < limit or end - start < WINDOW):
+            size += len(words[end]) + 1
+            end += 1
+        yield item_id, b" ".join(words[start:end]).decode("utf-8", "surrogatepass")
+        start = end - WINDOW + 1
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[WindowIndex]:
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // block_bytes)
-    part = F.pmod(F.xxhash64(F.col("item_id").cast("string")), F.lit(max(n, 1)))
-    for block in range(n):
-        yield WindowIndex([tuple(r) for r in benchmark.where(part == block).select("item_id", "text").collect()])
+    """Indexes of about ``block_bytes`` of text each, one after another; the driver holds one, and the rows that it reads for it."""
+    rows = benchmark.where("item_id IS NOT NULL").select("item_id", "text").toLocalIterator(prefetchPartitions=False)
+    held: list[tuple[object, str]] = []
+    size = 0
+    for row in rows:
+        for item_id, text in _pieces(row[0], row[1] or "", block_bytes):
+            if held and size + len(text) > block_bytes:
+                yield WindowIndex(held)
+                held, size = [], 0
+            held.append((item_id, text))
+            size += len(text)
+    if held:
+        yield WindowIndex(held)
+
+
+#: Columns that ``mark_hits`` adds; a caller's columns of these names are kept under names of ours meanwhile.
+ADDED = ("n_words", "hit_spans", "item_ids")
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _scan_with(index_of) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds an index's hits to those of the indexes before."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = index_of.value
+        for batch in batches:
+            n_words, spans, items = [], [], []
+            chunk: list[list[bytes]] = []
+            size = 0
+
+            def flush():
+                for found, of in _scan_chunk(index, chunk):
+                    spans.append([(a, a + n) for a, n in found])
+                    items.append(of)
+                chunk.clear()
+
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
+                n_words.append(len(words))
+                chunk.append(words)
+                size += len(words)
+                if size >= CHUNK_WORDS:
+                    flush()
+                    size = 0
+            flush()
+            before, had = batch.column("hit_spans").to_pylist(), batch.column("item_ids").to_pylist()
+            all_spans = [
+                [{"start": a, "end": b} for a, b in merged([*((s["start"], s["end"]) for s in old), *new])]
+                for old, new in zip(before, spans)
+            ]
+            all_items = [sorted({*old, *new}) for old, new in zip(had, items)]
+            own = [c for c in batch.schema.names if c not in ADDED]
+            added = (pa.array(n_words, pa.int64()), pa.array(all_spans, _SPANS), pa.array(all_items, pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *added], [*own, *ADDED])
+
+    return scan
 
 
 def mark_hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Adds ``n_words``, ``hit_spans`` (merged, in words, end exclusive) and ``item_ids`` to documents with a ``text``.
 
-    Documents are neither shuffled nor joined: each block's index is broadcast
-    (its size is bounded by ``block_bytes``) and scanned over all documents.
-    Null and empty texts have no words.  An empty benchmark hits nothing.
-    Columns of ``docs`` by the added names are replaced.
+    Documents are neither shuffled nor joined: an index of a block of the benchmark
+    is broadcast (its size is bounded by ``block_bytes``, whatever the benchmark's)
+    and scanned over all documents.  Of several blocks each scan but the last is
+    written, so that the driver and each executor hold one index at a time.  Null
+    and empty texts have no words.  An empty benchmark hits nothing.  Columns of
+    ``docs`` by the added names are replaced.
     """
     spark = docs.sparkSession
-    own = [c for c in docs.columns if c not in ("n_words", "hit_spans", "item_ids")]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(own).schema) + ", " + _ADDED
+    own = [c for c in docs.columns if c not in ADDED]
     marked = docs.select(
         *own,
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<struct<start:int,end:int>>").alias("hit_spans"),
         F.array().cast("array<string>").alias("item_ids"),
     )
-    span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for index in [*_blocks(benchmark, block_bytes)] or [WindowIndex([])]:
-        known = spark.sparkContext.broadcast(index)
-
-        def scan(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            index = known.value
-            for batch in batches:
-                texts = batch.column("text")
-                n_words, spans, items = [], [], []
-                chunk: list[list[bytes]] = []
-                size = 0
-
-                def flush():
-                    for found, of in _scan_chunk(index, chunk):
-                        spans.append([(a, a + n) for a, n in found])
-                        items.append(of)
-                    chunk.clear()
-
-                for text in texts:
-                    words = words_of(text.as_py())
-                    n_words.append(len(words))
-                    chunk.append(words)
-                    size += len(words)
-                    if size >= CHUNK_WORDS:
-                        flush()
-                        size = 0
-                flush()
-                before, had = batch.column("hit_spans").to_pylist(), batch.column("item_ids").to_pylist()
-                all_spans = [
-                    [{"start": a, "end": b} for a, b in merged([*((s["start"], s["end"]) for s in old), *new])]
-                    for old, new in zip(before, spans)
-                ]
-                all_items = [sorted({*old, *new}) for old, new in zip(had, items)]
-                columns = [batch.column(c) for c in own]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(n_words, pa.int64()), pa.array(all_spans, span_type), pa.array(all_items, pa.list_(pa.string()))],
-                    [*own, "n_words", "hit_spans", "item_ids"],
-                )
-
-        marked = marked.mapInArrow(scan, ddl)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema)
+    known = None
+    for index in chain(_blocks(benchmark, block_bytes), (None,)):
+        if index is None and known is not None:
+            break
+        if known is not None:
+            marked = materialize(marked, "scanned")
+            known.unpersist()
+        known = spark.sparkContext.broadcast(index or WindowIndex([]))
+        marked = marked.mapInArrow(_scan_with(known), ddl)
     return marked
 
 
@@ -218,8 +279,9 @@ def is_contaminated() -> Column:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    return mark_hits(docs, benchmark).where(~is_contaminated()).select(*docs.columns)
+    """The documents that are not contaminated, with their own columns, whatever their names."""
+    docs, own = put_aside(docs, ADDED)
+    return mark_hits(docs, benchmark).where(~is_contaminated()).select(*own)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -230,7 +292,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         pairs = zip(texts, spans)
         return pd.Series([without_words(t, [(s["start"], s["end"]) for s in hit]) if t and len(hit) else t for t, hit in pairs], dtype=object)
 
-    return mark_hits(docs, benchmark).withColumn("text", cut("text", "hit_spans")).select(*docs.columns)
+    docs, own = put_aside(docs, ADDED)
+    return mark_hits(docs, benchmark).withColumn("text", cut("text", "hit_spans")).select(*own)
 
 
 def op2_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
