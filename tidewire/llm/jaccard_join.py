@@ -56,12 +56,16 @@ def _mix(h: np.ndarray, by: np.uint64) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+#: Hashes of words kept by a task; frequent words come early.
+MAX_WORDS = 200_000
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < MAX_WORDS:
             self[word] = h
         return h
 
@@ -111,6 +115,7 @@ def _hash_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             rows.append((len(s), int(np.searchsorted(s, _LIMIT)), *set_key(s)))
         columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 4
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), *columns], ["doc_id", "t", "n", "few", "a", "b"])
+    _HASHES.clear()
 
 
 def _share_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +150,7 @@ def _share_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = 0
     if held:
         yield out()
+    _HASHES.clear()
 
 
 def _in_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,6 +427,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [*zip(*rows)] or [()] * 4
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["a", "b", "n", "s"])
+    _HASHES.clear()
 
 
 def _ids_repeat(light: DataFrame) -> bool:
