@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +24,11 @@ ENTITIES = (
 _TOKEN = "\\d+(?:[.,]\\d+)*|[a-z][a-z0-9]*(?:-[a-z0-9]+)*"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once, however often the expression names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_whitespace(c: Column) -> Column:
     """Runs of white space to one space, none at the ends."""
     return F.trim(F.regexp_replace(c, "[\\s\\u00a0\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+", " "))
