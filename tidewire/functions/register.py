@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -26,9 +26,10 @@ def register(spark: SparkSession, securities: Sequence[Security] = ()) -> list[s
         return text.map(lambda t: [dict(zip(names, f)) for f in figures_of(t)])
 
     @F.pandas_udf("array<string>")
-    def extract_tickers(text: pd.Series) -> pd.Series:
+    def extract_tickers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         finder = TickerFinder(master)
-        return text.map(lambda t: [x[0] for x in finder.find(t)])
+        for text in batches:
+            yield text.map(lambda t: [x[0] for x in finder.find(t)])
 
     spark.udf.register("extract_figures", extract_figures)
     spark.udf.register("extract_tickers", extract_tickers)

@@ -12,8 +12,13 @@ from tidewire.functions import text as X
 from tidewire.functions.figures import extract_figures
 from tidewire.functions.times import too_old
 from tidewire.operators import classify as C
+from tidewire.operators import extract as E
 from tidewire.operators import score as S
+from tidewire.operators.cluster import cluster_posts, with_blocks
 from tidewire.operators.dedupe import find_duplicates
+from tidewire.operators.earnings import earnings_headline, with_earnings
+from tidewire.operators.impact import assess_impact
+from tidewire.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -29,6 +34,14 @@ class Lexicon:
     medium: Sequence[str] = ()
     relevance: Mapping[str, float] = field(default_factory=dict)
     sub_relevance: Mapping[str, float] = field(default_factory=dict)
+    securities: Sequence[E.Security] = ()
+    #: Canonical name to the forms in which it stands in texts.
+    countries: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    organizations: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    people: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    commodities: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    #: Further evidence for categories, as columns over what ``extracted`` adds.
+    boosts: Mapping[str, Column] = field(default_factory=dict)
 
 
 def normalize(posts: DataFrame) -> DataFrame:
@@ -43,61 +56,131 @@ def normalize(posts: DataFrame) -> DataFrame:
             "headline": F.col("_parts.headline"),
             "body": F.col("_parts.body"),
             "tokens": X.tokenize(F.col("clean_text")),
-            "language": F.when((letters - latin) > 0.3 * F.greatest(letters, F.lit(1)), "non-latin").otherwise("latin"),
+            "language": F.when((letters - latin) > 0.3 * F.greatest(letters, F.lit(1)), "non-latin").otherwise("en"),
             "is_echo": raw.rlike("(?i)^\\s*RT\\s+@") & (F.col("clean_text") == ""),
         }
     )
     return df.withColumn("fingerprint", X.fingerprint(F.col("tokens"))).drop("_parts")
 
 
-def process(posts: DataFrame, sources: DataFrame, lexicon: Lexicon, now: Column, min_score: float = 50, max_age_minutes: float = 15) -> DataFrame:
-    """Posts (id, source_id, text, url, ts, published_at) to events with status, reason, category, score and band.
+def extracted(df: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Adds what a post names: tickers (with evidence), countries, organizations, people, commodities, and figures."""
+    text = F.col("clean_text")
+    given = F.col("provided") if "provided" in df.columns else None
+    found = {"tickers": E.extract_tickers(text, lexicon.securities, given), "figures": extract_figures(text)}
+    found |= {kind: E.extract_entities(text, dict(getattr(lexicon, kind))) for kind in ("countries", "organizations", "people", "commodities")}
+    return df.withColumns(found).withColumn("symbols", F.transform("tickers", lambda t: t["ticker"]))
+
+
+def _has(kind: str) -> Column:
+    return F.size(kind) > 0
+
+
+def classified(df: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Adds verdict, noise, facts, earnings, filing; category is EARNINGS where results are stated, and headline then tells them."""
+    text, tokens = F.col("clean_text"), F.col("tokens")
+    has_figures = _has("figures")
+    named = _has("symbols") | _has("organizations") | _has("commodities") | _has("people") | _has("countries")
+    df = df.withColumn("verdict", C.classify_category(text, tokens, lexicon.categories, named, F.col("manual"), lexicon.boosts, source_category=F.col("source_category")))
+    df = df.withColumn("noise", C.classify_noise(text, tokens, lexicon.noise, F.col("is_echo"), F.col("quality_score"), F.col("strict"), F.col("manual")))
+    df = df.withColumn("facts", C.classify_factuality(text, tokens, has_figures, lexicon.verbs, lexicon.factual, lexicon.commentary, F.col("official")))
+    df = with_earnings(df, "clean_text", "earnings").withColumn("earnings", F.when(F.col("verdict").isNotNull(), F.col("earnings")))
+    states = F.col("earnings").isNotNull()
+    df = df.withColumn("category", F.when(states, "EARNINGS").otherwise(F.col("verdict.category")))
+    df = df.withColumn("said", F.when(states, earnings_headline(F.col("earnings"), F.get("symbols", F.lit(0)), F.col("headline"))).otherwise(F.col("headline")))
+    return df.withColumn("filing", F.when(F.col("form").isNotNull(), C.filing_materiality(F.col("form"), F.col("items"), F.coalesce("title", "headline"))))
+
+
+def scored(df: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Adds ``fixed`` (the weighted parts that don't hang on the cluster) and ``credit`` (credibility before corroboration)."""
+    text, category = F.col("clean_text"), F.col("category")
+    names_asset = _has("symbols") | _has("commodities")
+    surprise = F.coalesce("earnings.eps_surprise", "earnings.revenue_surprise")
+    parts = {
+        "source_quality": S.source_quality(F.col("quality_score"), F.col("noise_score")),
+        "market_relevance": S.market_relevance(category, lexicon.relevance or {"": 60.0}, F.col("verdict.subcategory"), lexicon.sub_relevance, names_asset),
+        "magnitude": S.magnitude(X.count_terms(text, lexicon.high), X.count_terms(text, lexicon.medium), F.col("figures"), F.col("filing"), surprise),
+        "asset_exposure": S.asset_exposure(F.col("exposure"), category, _has("commodities"), _has("countries")),
+    }
+    fixed = sum((F.coalesce(c, F.lit(0.0)) * S.WEIGHTS[name] for name, c in parts.items()), F.lit(0.0))
+    factual = F.when(F.col("facts.verdict") == "FACTUAL_NEWS", F.col("facts.confidence") * 12).otherwise(-25.0)
+    credit = F.when(F.col("official"), 95.0).otherwise(60 + F.col("quality_score") * 0.25) + factual - F.col("noise.confidence") * 5
+    return df.withColumns({"fixed": fixed, "credit": F.coalesce(credit, F.lit(0.0))})
+
+
+def process(posts: DataFrame, sources: DataFrame, lexicon: Lexicon, now: Column | None = None, min_score: float = 50, max_age_minutes: float = 15) -> DataFrame:
+    """The whole way of posts (id, source_id, text, url, ts, published_at): status, reason, event, score, impact and channels.
 
     ``sources`` has a row a source: enabled, source_type, quality_score,
-    noise_score, official, filter_profile, category.  The first gate that a post
-    fails gives its reason; posts of manual sources pass the gates for
-    duplicates, noise, commentary and age.
+    noise_score, official, filter_profile, category.  Posts may have provided
+    (symbols), and form, items, title and cik of a filing.  The first gate that a
+    post fails gives its reason; posts of manual sources pass the gates for
+    duplicates, noise, commentary and age.  A duplicate corroborates the event of
+    what it repeats.  The age of a post is taken at its ``ts``, or at ``now``.
+
+    What needs one post only is computed for each; duplicates and clusters, which
+    need those before, are two ordered passes (see ``dedupe`` and ``cluster``).
     """
     known = sources.select(
         "source_id", "enabled", "source_type", "quality_score", "noise_score", "official", "filter_profile",
         F.col("category").alias("source_category"),
     )
-    df = normalize(posts).join(known, "source_id", "left")
-    twins = find_duplicates(df.select("id", "headline", F.col("clean_text").alias("text"), "url", "ts"))
-    twins = twins.select("id", "matched_id", F.col("reason").alias("twin_reason"), "similarity")
-    df = df.join(twins, "id", "left").withColumn("figures", extract_figures(F.col("clean_text")))
-    text, tokens = F.col("clean_text"), F.col("tokens")
-    manual = F.coalesce(F.col("source_type") == "manual", F.lit(False))
-    strict = F.coalesce(F.col("filter_profile") == "strict", F.lit(False))
-    has_figures = F.size("figures") > 0
-    df = df.withColumn("verdict", C.classify_category(text, tokens, lexicon.categories, has_figures, manual, source_category=F.col("source_category")))
-    df = df.withColumn("noise", C.classify_noise(text, tokens, lexicon.noise, F.col("is_echo"), F.col("quality_score"), strict, manual))
-    df = df.withColumn("facts", C.classify_factuality(text, tokens, has_figures, lexicon.verbs, lexicon.factual, lexicon.commentary, F.col("official")))
-    category = F.col("verdict.category")
-    parts = {
-        "source_quality": S.source_quality(F.col("quality_score"), F.col("noise_score")),
-        "market_relevance": S.market_relevance(category, lexicon.relevance or {"": 60.0}, F.col("verdict.subcategory"), lexicon.sub_relevance, has_figures),
-        "novelty": F.when(F.col("matched_id").isNull(), 100.0).otherwise(S.clamp(100 - 70 + (1 - F.col("similarity")) * 30)),
-        "magnitude": S.magnitude(X.count_terms(text, lexicon.high), X.count_terms(text, lexicon.medium), F.col("figures")),
-        "asset_exposure": S.asset_exposure(F.lit(None).cast("double"), category, F.lit(False), F.lit(False)),
-        "credibility": S.credibility(F.col("official"), F.col("quality_score"), F.col("facts.verdict"), F.col("facts.confidence"), F.lit(0), F.col("noise.confidence")),
-    }
-    df = df.withColumn("score", S.total_score(parts, F.col("source_type"), category))
+    none = {"form": "string", "items": "array<string>", "title": "string", "cik": "string"}
+    posts = posts.withColumns({c: F.lit(None).cast(t) for c, t in none.items() if c not in posts.columns})
+    df = normalize(posts).join(known, "source_id", "left").withColumns(
+        {
+            "manual": F.coalesce(F.col("source_type") == "manual", F.lit(False)), "strict": F.coalesce(F.col("filter_profile") == "strict", F.lit(False)),
+            "official": F.coalesce("official", F.lit(False)), "enabled": F.coalesce("enabled", F.lit(False)),
+        }
+    )
+    df = classified(extracted(df, lexicon), lexicon)
+    exposures = E.exposures(lexicon.securities)
+    best = F.array_max(F.transform("symbols", lambda t: F.try_element_at(exposures, t)))
+    heavy = F.array(*(F.lit(x) for x in sorted(E.heavyweights(lexicon.securities)))).cast("array<string>")
+    df = df.withColumns({"exposure": best, "has_mover": F.arrays_overlap("symbols", heavy)})
+    # Read by both ordered passes and by the last step.
+    df = written(scored(df, lexicon))
+
+    empty = F.length(F.trim("clean_text")) == 0
+    readable = F.col("enabled") & ~empty & F.col("verdict").isNotNull()
+    twins = find_duplicates(df.select("id", "headline", F.col("clean_text").alias("text"), "url", "ts", F.concat("symbols", "countries").alias("names"), readable.alias("readable")))
+    df = df.join(written(twins.select("id", "matched_id", F.col("reason").alias("twin_reason"), F.col("similarity").alias("twin_similarity"))), "id", "left")
+    manual = F.col("manual")
+    large = C.has_subject(F.col("category"), _has("symbols"), F.coalesce(F.trim("cik") != "", F.lit(False)), _has("organizations"), F.col("figures"))
     reason = S.first_rejection(
-        (~F.coalesce("enabled", F.lit(False)), "SOURCE_DISABLED"),
-        (F.length(F.trim("clean_text")) == 0, "EMPTY_TEXT"),
-        (F.col("twin_reason").isNotNull() & (F.col("twin_reason") == "DUPLICATE_URL") & ~manual, "DUPLICATE_URL"),
+        (~F.col("enabled"), "SOURCE_DISABLED"),
+        (empty, "EMPTY_TEXT"),
+        ((F.col("twin_reason") == "DUPLICATE_URL") & ~manual, "DUPLICATE_URL"),
         (F.col("twin_reason").isNotNull() & ~manual, "DUPLICATE_TEXT"),
         (F.col("verdict").isNull(), "NO_CATEGORY"),
         (F.col("noise.reason").isNotNull() & ~manual, "NOISE"),
-        (strict & ~manual & (F.col("facts.verdict") == "COMMENTARY"), "COMMENTARY"),
-        (~C.has_subject(category, F.lit(False), F.lit(False), F.lit(False), F.col("figures")), "NO_SUBJECT"),
-        (F.col("score") < min_score, "BELOW_THRESHOLD"),
-        (too_old(F.col("published_at"), now, max_age_minutes) & ~manual, "NOISE_OLD_NEWS"),
+        (F.col("strict") & ~manual & (F.col("facts.verdict") == "COMMENTARY"), "NOISE_COMMENTARY"),
+        (F.col("filing").isNotNull() & ~F.col("filing").isin("CRITICAL", "HIGH"), "FILING_IMMATERIAL"),
+        (~large, "NO_IDENTIFIED_SUBJECT"),
     )
-    df = df.withColumn("rejection_reason", F.when(reason == "NOISE", F.col("noise.reason")).otherwise(reason))
+    age = too_old(F.col("published_at"), now if now is not None else F.col("ts"), max_age_minutes)
+    df = df.withColumns({"gate": F.when(reason == "NOISE", F.col("noise.reason")).otherwise(reason), "stale": F.coalesce(age & ~manual, F.lit(False))})
+    sure = F.transform(F.filter("tickers", lambda t: t["confidence"] >= 0.8), lambda t: t["ticker"])
+    repeats = F.when(F.col("gate").startswith("DUPLICATE"), F.col("matched_id").cast("string"))
+    rows = df.where(F.col("gate").isNull() | repeats.isNotNull()).select(
+        "id", F.col("said").alias("headline"), "category", F.concat(sure, "countries", "organizations", "people", "commodities").alias("entities"),
+        F.lit(0.0).alias("importance"), "source_id", "ts", "fixed", "credit", "manual", "stale", F.lit(float(min_score)).alias("least"), repeats.alias("repeats"),
+    )
+    # A duplicate goes where what it repeats went, whatever its own words say.
+    blocks = with_blocks(rows)
+    own = blocks.where("repeats IS NULL").select(F.col("id").cast("string").alias("repeats"), F.col("block").alias("_block"))
+    blocks = blocks.join(own, "repeats", "left").withColumn("block", F.coalesce("_block", "block")).drop("_block")
+    events = cluster_posts(blocks).withColumnRenamed("id", "_id")
+    df = df.join(events, F.col("id").cast("string") == F.col("_id"), "left").withColumnRenamed("importance", "score")
+    late = F.when(F.col("gate").isNull() & (F.col("score") < min_score), "BELOW_THRESHOLD").when(F.col("gate").isNull() & F.col("stale"), "NOISE_OLD_NEWS")
+    df = df.withColumn("rejection_reason", F.coalesce("gate", late)).withColumn("band", S.band(F.col("score")))
+    published = F.col("rejection_reason").isNull()
+    impact = assess_impact(F.col("clean_text"), F.col("category"), F.col("verdict.subcategory"), F.col("band"), F.size("symbols"), F.col("has_mover"), F.col("countries"), F.col("commodities"))
+    df = df.withColumn("impact", F.when(published, impact))
+    channels = S.route(F.col("impact.market_moving"), F.col("impact.macro"), F.col("impact.relevance"), F.col("category"), F.size("symbols"))
     return df.select(
-        "id", "source_id", "ts", "published_at", "headline", "body", "fingerprint", "matched_id", "similarity",
-        category.alias("category"), F.col("verdict.subcategory").alias("subcategory"), "score", S.band(F.col("score")).alias("band"),
-        "rejection_reason", S.status_of(F.col("rejection_reason")).alias("status"),
+        "id", "source_id", "ts", "published_at", F.col("said").alias("headline"), "body", "fingerprint", "matched_id", F.col("twin_similarity").alias("similarity"),
+        "category", F.col("verdict.subcategory").alias("subcategory"), F.col("symbols").alias("tickers"), "countries", "score", F.when(F.col("score").isNotNull(), F.col("band")).alias("band"),
+        "rejection_reason", S.status_of(F.col("rejection_reason")).alias("status"), "event_id", "is_new", "supersedes", "novelty", "source_count",
+        F.col("impact.relevance").alias("relevance"), F.col("impact.market_moving").alias("market_moving"), F.when(published, channels).alias("channels"),
     )

@@ -19,6 +19,7 @@ from tidewire.functions.simhash import simhash64
 from tidewire.functions.urls import canonical_url, post_ids
 from tidewire.operators import calendar, classify, cluster, dedupe, earnings, health, impact, merge, provenance, render, replay, reports, score
 from tidewire.plans import posts as P
+from tidewire.plans import sql as Q
 from tidewire.plans.lexicons import SAMPLE
 from tidewire.sources import feeds, relay
 
@@ -265,7 +266,7 @@ def _(s, d):
     df = table(s, d, "events").select(
         F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.concat_ws("|", "user_id", "event_type").alias("k")
     )
-    return dedupe._pairs_by(df, F.col("k"), 90 * 60_000).select(F.col("post").alias("event_id")).distinct()
+    return dedupe.earlier_within(df, F.col("k"), 90 * 60_000).select(F.col("id").alias("event_id"))
 
 
 @query("cluster_sessions", """
@@ -343,8 +344,7 @@ def _(s, d):
     return calendar.due_reminders(events, fired, ts("1997-06-01 23:00:00")).select("id", "lead_minutes")
 
 
-_TOKENS = r"regexp_extract_all(regexp_replace(lower(translate(coalesce(text, ''), '‘’', '''''')), '([a-z0-9])''s\b', '\1', 'g'), '\d+(?:[.,]\d+)*|[a-z][a-z0-9]*(?:-[a-z0-9]+)*')"
-_STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+_TOKENS, _STOP = Q.tokens("text"), Q.STOP
 
 
 @query("token_counts", f"SELECT doc_id, len({_TOKENS}) AS n_tokens, len(list_filter({_TOKENS}, lambda t: length(t) > 1 AND t NOT IN ({_STOP}))) AS n_significant FROM documents")
@@ -362,29 +362,26 @@ def _(s, d):
 
 
 @query("jaccard_pairs", f"""
-WITH w AS (SELECT doc_id, list_distinct(list_filter({_TOKENS}, lambda t: length(t) > 1 AND t NOT IN ({_STOP}))) AS words FROM documents),
-e AS (SELECT doc_id, unnest(words) AS word FROM w),
-r AS (SELECT word FROM e GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20),
-p AS (SELECT DISTINCT a.doc_id AS key, b.doc_id AS other FROM e a JOIN r USING (word) JOIN e b USING (word) WHERE a.doc_id < b.doc_id),
-j AS (SELECT key, other, len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) AS similarity
-  FROM p JOIN w a ON a.doc_id = key JOIN w b ON b.doc_id = other)
-SELECT key, other, round(similarity, 6) AS similarity FROM j WHERE similarity >= 0.5""")
+WITH w AS (SELECT doc_id, list_sort(list_distinct({Q.significant(_TOKENS)})) AS words FROM documents),
+g AS (SELECT words, min(doc_id) AS key, count(*) AS n FROM w WHERE len(words) > 0 GROUP BY words),
+e AS (SELECT key, len(words) AS size, n, unnest(words) AS word FROM g),
+p AS (SELECT a.key, b.key AS other, count(*) / (any_value(a.size) + any_value(b.size) - count(*)) AS similarity, any_value(a.n) AS n_key, any_value(b.n) AS n_other
+  FROM e a JOIN e b USING (word) WHERE a.key < b.key GROUP BY 1, 2)
+SELECT key, other, round(similarity, 6) AS similarity, n_key, n_other FROM p WHERE similarity >= 0.5""")
 def _(s, d):
     words = X.significant(X.tokenize(F.coalesce("text", F.lit(""))))
-    df = dedupe.similar_pairs(table(s, d, "documents"), "doc_id", words, 0.5, 20)
+    df = dedupe.similar_pairs(table(s, d, "documents"), "doc_id", words, 0.5)
     return df.withColumn("similarity", F.round("similarity", 6))
 
 
-@query("simhash_near_dups")
+@query("simhash_near_dups", f"""
+WITH w AS (SELECT doc_id, {_TOKENS} AS t FROM documents), {Q.simhashes("s", "w", "doc_id", "t")},
+g AS (SELECT h, min(doc_id) AS key, count(*) AS n FROM s WHERE h <> 0 GROUP BY h)
+SELECT a.key, b.key AS other, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS bits, a.n AS n_key, b.n AS n_other
+FROM g a JOIN g b ON a.key < b.key WHERE bit_count(xor(a.h, b.h)) <= {dedupe.MOST_BITS}""")
 def _(s, d):
-    tokens = X.tokenize(F.coalesce("text", F.lit("")))
-    df = table(s, d, "documents").select("doc_id", simhash64(tokens).alias("h"))
-    bands = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", 16 * i).bitwiseAND(F.lit(65535)).alias("v")) for i in range(4)))
-    each = df.where("h <> 0").withColumn("band", F.explode(bands))
-    first = each.groupBy("band").agg(F.min("doc_id").alias("near"), F.min_by("h", "doc_id").alias("near_h"))
-    pairs = each.join(first, "band").where("doc_id <> near").select("doc_id", "near", "h", "near_h").distinct()
-    similarity = X.simhash_similarity(F.col("h"), F.col("near_h"))
-    return pairs.select("doc_id", "near", similarity.alias("similarity")).where("similarity >= 0.95")
+    df = table(s, d, "documents").select("doc_id", simhash64(X.tokenize(F.coalesce("text", F.lit("")))).alias("h"))
+    return dedupe.near_hashes(df, "doc_id", "h")
 
 
 @query("url_canonical_groups", r"""
@@ -559,7 +556,11 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", slug.alias("slug"))
 
 
-@query("wire_headlines")
+@query("wire_headlines", f"""
+WITH {Q.headlines()},
+l AS (SELECT *, length(regexp_replace(clean, '\\P{{L}}', '', 'g')) AS letters, length(regexp_replace(clean, '\\P{{Latin}}', '', 'g')) AS latin FROM posts)
+SELECT id AS doc_id, headline, CAST(length(body) AS INTEGER) AS body_chars,
+  CASE WHEN letters - latin > 0.3 * greatest(letters, 1) THEN 'non-latin' ELSE 'en' END AS language, {Q.fingerprint(Q.tokens("clean"))} AS fingerprint FROM l""")
 def _(s, d):
     df = P.normalize(table(s, d, "documents"))
     return df.select("doc_id", "headline", F.length("body").alias("body_chars"), "language", "fingerprint")
@@ -574,23 +575,54 @@ def _(s, d):
     return df.select("doc_id", text.alias("alert"), render.leaks_metadata(text).alias("blocked"))
 
 
-@query("duplicate_posts")
-def _(s, d):
-    return dedupe.find_duplicates(P.normalize(_posts(s, d)).select("id", "headline", "text", "url", "ts"))
+_NEGATIONS = ", ".join(f"'{w}'" for w in X.NEGATIONS)
+
+
+@query("duplicate_posts", f"""
+WITH {Q.headlines()},
+t AS (SELECT id, text, headline, doc_id // 2 * 60000 AS ms, CASE WHEN doc_id % 10 = 3 THEN doc_id // 20 % 50 END AS link,
+    {Q.equivalent("CASE WHEN headline = '' THEN coalesce(text, '') ELSE headline END")} AS equivalent
+  FROM posts JOIN documents ON doc_id = id),
+p AS (SELECT *, {Q.tokens("text")} AS tokens, {Q.tokens("equivalent")} AS h_tokens, row_number() OVER (ORDER BY ms, id) AS place FROM t),
+{Q.simhashes("hs", "p", "id", "h_tokens")}, {Q.simhashes("ts", "p", "id", "tokens")},
+r AS (SELECT p.id, ms, link, place, coalesce(hs.h, 0) AS hh, coalesce(ts.h, 0) AS th, {Q.fingerprint("tokens")} AS fingerprint,
+    list_distinct({Q.significant("h_tokens")}) AS words, list_filter({Q.significant("tokens")}, lambda w: length(w) >= 3) AS entities,
+    list_filter({Q.significant(Q.tokens("headline"))}, lambda w: length(w) >= 3) AS known_by,
+    list_filter(list_transform(regexp_extract_all(headline, '-?\\d[\\d,]*\\.?\\d*'), lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE)), lambda x: x IS NOT NULL) AS figures,
+    list_has_any(h_tokens, [{_NEGATIONS}]) AS negated
+  FROM p LEFT JOIN hs ON hs.id = p.id LEFT JOIN ts ON ts.id = p.id),
+j AS (SELECT a.id, b.id AS other, b.place AS newer, a.link = b.link AS same_link, a.fingerprint = b.fingerprint AS same_text, a.negated <> b.negated AS turned,
+    len(a.figures) > 0 AND len(b.figures) > 0 AND NOT list_has_any(a.figures, b.figures) AS parted, list_has_any(a.entities, b.known_by) AS known,
+    len(list_intersect(a.words, b.words)) AS c, len(a.words) + len(b.words) - len(list_intersect(a.words, b.words)) AS u,
+    1 - bit_count(xor(a.hh, b.hh)) / 64.0 AS hb, 1 - bit_count(xor(a.th, b.th)) / 64.0 AS tb
+  FROM r a JOIN r b ON b.place < a.place AND b.place >= a.place - {dedupe.NEWEST} AND a.ms - b.ms <= {dedupe.WINDOW_MINUTES} * 60000),
+h AS (SELECT *, 0.5 * CASE WHEN u = 0 THEN 1.0 ELSE c / u END + 0.5 * hb AS head FROM j),
+s AS (SELECT *, greatest(head, (head + tb) / 2) AS s FROM h),
+k AS (SELECT *, CASE WHEN same_link THEN 3 WHEN same_text THEN 2 WHEN s >= {dedupe.THRESHOLD} OR s >= {dedupe.ENTITY_FLOOR} AND known AND NOT parted THEN 1 END AS layer FROM s),
+m AS (SELECT * FROM k WHERE layer IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY layer DESC, CASE WHEN layer = 1 THEN s ELSE 1 END DESC, newer DESC) = 1)
+SELECT p.id, other AS matched_id, CASE layer WHEN 3 THEN 'DUPLICATE_URL' WHEN 2 THEN 'DUPLICATE_TEXT' WHEN 1 THEN 'DUPLICATE_TEXT' END AS reason,
+  round(CASE WHEN layer = 1 THEN s WHEN layer > 1 THEN 1.0 END, 6) AS similarity
+FROM p LEFT JOIN (SELECT * FROM m WHERE NOT (layer = 1 AND turned)) m ON m.id = p.id""")
+def _(s, d):
+    df = dedupe.find_duplicates(P.normalize(_posts(s, d)).select("id", "headline", "text", "url", "ts"))
+    return df.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("event_clusters")
 def _(s, d):
     df = P.normalize(_posts(s, d))
-    block = F.concat_ws("/", "source_id", F.date_trunc("day", "ts").cast("string"))
-    rows = df.select("id", block.alias("block"), "headline", F.lit("ECONOMIC").alias("category"), F.slice("tokens", 1, 3).alias("entities"), (F.col("id") % 100).cast("double").alias("importance"), "source_id", "ts")
+    names = sorted(cluster.COMPATIBLE)
+    kind = F.element_at(F.array(*(F.lit(c) for c in names)), (F.crc32(F.col("source_id").cast("binary")) % len(names) + 1).cast("int"))
+    rows = df.select("id", "headline", kind.alias("category"), F.slice("tokens", 1, 3).alias("entities"), (F.col("id") % 100).cast("double").alias("importance"), "source_id", "ts")
     return cluster.cluster_posts(rows)
 
 
 def _posts(s: SparkSession, d: str) -> DataFrame:
-    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.floor(F.col("doc_id") / 2) * 60)
+    key = F.col("doc_id")
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.floor(key / 2) * 60)
+    link = F.when(key % 10 == 3, F.concat(F.lit("https://www.wire.example/p/"), (F.floor(key / 20) % 50).cast("string"), F.lit("?utm_source=x")))
     return table(s, d, "documents").select(
-        F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("url"), at.alias("ts"), at.alias("published_at"),
+        key.alias("id"), F.col("source").alias("source_id"), F.coalesce("text", F.lit("")).alias("text"), link.alias("url"), at.alias("ts"), at.alias("published_at"),
     )
 
 
@@ -603,7 +635,8 @@ def _(s, d):
         "source_id", (n % 10 > 0).alias("enabled"), F.when(n % 7 == 0, "manual").otherwise("rss").alias("source_type"), (70.0 + n % 30).alias("quality_score"),
         (n % 20).cast("double").alias("noise_score"), (n % 5 == 0).alias("official"), F.when(n % 3 == 0, "strict").otherwise("standard").alias("filter_profile"), F.lit("ECONOMIC").alias("category"),
     )
-    return P.process(rows, sources, SAMPLE, F.lit("2024-01-01 08:00:00").cast("timestamp"), max_age_minutes=0)
+    df = P.process(rows, sources, SAMPLE)
+    return df.withColumns({c: F.array_join(c, ",") for c in ("tickers", "countries", "channels")})
 
 
 @query("stream_hourly_metrics", SQL["hourly_metrics"].replace("FROM events GROUP", "FROM events WHERE ts < (SELECT date_trunc('hour', max(ts) - INTERVAL 10 MINUTE) FROM events) GROUP"))
