@@ -9,15 +9,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialize, read_table
+from tidewire.llm.common import materialize, put_aside, read_table
 
 #: White space that separates words.
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Words of a window of the test for repeated passages.
 WINDOW = 8
-#: Rows, about, on which cost and selectivity of each rule are estimated.
-SAMPLE_ROWS = 2_000
+#: Rows, about, on which cost and selectivity of each rule are estimated, and how often each is timed.
+SAMPLE_ROWS, TIMINGS = 4_000, 2
 
 
 def _text() -> Column:
@@ -36,54 +36,69 @@ def n_dup_lines(text: Column) -> Column:
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
+def _joined(df: DataFrame, of: str, step: int, out: str) -> DataFrame:
+    """Adds hashes of runs twice as long as those of ``of``: of each run and the one ``step`` places on."""
+    n = F.size(of) - step
+    longer = F.zip_with(F.slice(of, F.lit(1), n), F.slice(of, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b))
+    return df.withColumn(out, longer)
+
+
 def with_repeat_words(df: DataFrame, words: str, out: str) -> DataFrame:
     """Counts words that lie in a window of 8 words found twice or more in the text.
 
-    Windows are compared by a 64-bit hash, computed for every row; only rows with
-    two equal hashes sort them, with their places, to find the words covered.
+    Windows are compared by a 64-bit hash: each word is hashed once, and hashes of
+    2, 4 and 8 words are made of two of half as many.  Only rows with two equal
+    hashes sort them, with their places, to find the words covered.
     """
-    n = F.size(words)
-    windows = F.when(
-        n >= WINDOW,
-        F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice(words, i, WINDOW))),
-    ).otherwise(F.array().cast("array<long>"))
-    df = df.withColumn("_windows", windows)
+    own = F.when(F.size(words) >= WINDOW, F.transform(words, lambda w: F.xxhash64(w)))
+    df = df.withColumn("__words1", own)
+    for step in (1, 2, 4):
+        df = _joined(df, f"__words{step}", step, f"__words{2 * step}")
+    df = df.withColumn("__windows", F.coalesce("__words8", F.array().cast("array<long>"))).drop("__words1", "__words2", "__words4", "__words8")
     placed = F.when(
-        F.size(F.array_distinct("_windows")) < F.size("_windows"),
-        F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+        F.size(F.array_distinct("__windows")) < F.size("__windows"),
+        F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
     )
-    df = df.withColumn("_placed", placed).drop("_windows")
+    df = df.withColumn("__placed", placed).drop("__windows")
 
     def same(a: Column, b: Column) -> Column:
         return a.eqNullSafe(b)
 
     def found(x: Column, i: Column) -> Column:
-        return same(F.get("_placed", i - 1)["h"], x["h"]) | same(F.get("_placed", i + 1)["h"], x["h"])
+        return same(F.get("__placed", i - 1)["h"], x["h"]) | same(F.get("__placed", i + 1)["h"], x["h"])
 
-    places = F.sort_array(F.transform(F.filter("_placed", found), lambda x: x["i"]))
-    df = df.withColumn("_places", places).drop("_placed")
+    places = F.sort_array(F.transform(F.filter("__placed", found), lambda x: x["i"]))
+    df = df.withColumn("__places", places).drop("__placed")
     steps = F.zip_with(
-        F.slice("_places", F.lit(2), F.size("_places")),
-        "_places",
+        F.slice("__places", F.lit(2), F.size("__places")),
+        "__places",
         lambda after, at: F.least(F.lit(WINDOW), F.coalesce(after - at, F.lit(WINDOW))),
     )
     total = F.aggregate(steps, F.lit(0), lambda a, x: a + x)
-    return df.withColumn(out, F.coalesce(total, F.lit(0)).cast("long")).drop("_places")
+    return df.withColumn(out, F.coalesce(total, F.lit(0)).cast("long")).drop("__places")
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; a null text counts as empty."""
+#: What ``with_counts`` and ``judge_quality`` add.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+ADDED = (*COUNTS, "base_failed", "kept")
+
+
+def with_light_counts(docs: DataFrame) -> DataFrame:
+    """Adds all counts but ``n_repeat_words``, which costs more than all others, and the words, as ``__words``."""
     text = _text()
-    df = docs.withColumn("_words", words_of(text))
-    df = with_repeat_words(df, "_words", "n_repeat_words")
-    return df.withColumns(
+    return docs.withColumn("__words", words_of(text)).withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
+            "n_words": F.size("__words").cast("long"),
             "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": n_dup_lines(text),
         }
-    ).drop("_words")
+    )
+
+
+def with_counts(docs: DataFrame) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; a null text counts as empty."""
+    return with_repeat_words(with_light_counts(docs), "__words", "n_repeat_words").drop("__words")
 
 
 #: Up to so many words, a tenth of them have to be different.
@@ -92,17 +107,18 @@ VARIETY_WORDS = 10_000
 
 @dataclass(frozen=True)
 class Rule:
-    """A named test; ``rejects`` is true for rows to be rejected and never null."""
+    """A named test; ``rejects`` is true for rows to be rejected and never null; ``heavy`` ones need ``n_repeat_words``."""
 
     name: str
     rejects: Column
+    heavy: bool = False
 
 
 def base_rules() -> list[Rule]:
     """Over the columns of ``with_counts``: too few words, and repeated passages."""
     return [
         Rule("few_words", F.col("n_words") < 20),
-        Rule("repeated_passages", 100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
+        Rule("repeated_passages", 100 * F.col("n_repeat_words") > 30 * F.col("n_words"), heavy=True),
     ]
 
 
@@ -124,29 +140,43 @@ def method_rules() -> list[Rule]:
     ]
 
 
+def _seconds(df: DataFrame) -> float:
+    """The least of several runs, each of which computes every row and keeps none; the first also compiles."""
+    def run() -> float:
+        began = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    run()
+    return min(run() for _ in range(TIMINGS))
+
+
 def order_rules(sample: DataFrame, rules: Sequence[Rule]) -> list[tuple[Rule, float, float]]:
-    """Rules with their rejected share and seconds on a sample, by rejection per second, best first.
+    """Rules with their rejected share and seconds on a sample of texts, by rejection per second, best first.
 
-    The order changes what is computed, never what is rejected.
+    A rule's cost is that of a job which computes it from the text, less that of a
+    job which only reads and counts the light measures that all rules share.  The
+    order changes what is computed, never what is rejected.
     """
-    rows = sample.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(r.rejects).alias(f"r{i}") for i, r in enumerate(rules)))
+    light = with_light_counts(sample)
+    counted = with_repeat_words(light, "__words", "n_repeat_words")
+    of = lambda r: (counted if r.heavy else light)
+    rows = counted.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(r.rejects).alias(f"r{i}") for i, r in enumerate(rules)))
     counts = rows.first()
+    shared = _seconds(light.select("n_words", "word_chars", "n_symbols", "n_dup_lines"))
     found = []
     for i, rule in enumerate(rules):
-        began = time.perf_counter()
-        sample.agg(F.count_if(rule.rejects)).collect()
-        took = max(time.perf_counter() - began, 1e-6)
-        found.append((rule, counts[f"r{i}"] / max(counts["n"], 1), took))
+        took = _seconds(of(rule).select("n_words", "word_chars", "n_symbols", "n_dup_lines", rule.rejects.alias("rejects"))) - shared
+        found.append((rule, counts[f"r{i}"] / max(counts["n"], 1), max(took, 1e-3)))
     return sorted(found, key=lambda x: -x[1] / x[2])
 
 
-def cascade(df: DataFrame, rules: Sequence[Rule], sample: DataFrame | None = None) -> Column:
+def cascade(rules: Sequence[Rule]) -> Column:
     """The name of the first rule that rejects, null if none does; later rules aren't computed for a row already rejected."""
-    ordered = [r for r, _, _ in order_rules(sample, rules)] if sample is not None else list(rules)
     first = None
-    for rule in ordered:
+    for rule in rules:
         first = F.when(rule.rejects, F.lit(rule.name)) if first is None else first.when(rule.rejects, F.lit(rule.name))
-    return first
+    return first if first is not None else F.lit(None).cast("string")
 
 
 def bounded_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -155,28 +185,50 @@ def bounded_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     return materialize(docs.sample(False, min(1.0, rows / max(total, 1)), 11), "sample")
 
 
+def all_rules() -> list[Rule]:
+    return [*base_rules(), *method_rules()]
+
+
+def _here() -> Column:
+    """Always true, but not known to be: a filter on what stands beside it stays above the measures, which
+    would else be spelled out in the filter at each use."""
+    return F.monotonically_increasing_id() >= 0
+
+
 def judge_quality(docs: DataFrame) -> DataFrame:
     """Every row with its counts, ``base_failed`` and ``kept``; needs ``doc_id`` and ``text``.
 
     Null and empty texts have no words and fail.  Equal texts fare alike and each
-    row stays.  Other columns pass through; one that has the name of a count is
-    replaced.
+    row stays; an empty table gives an empty table.  Other columns pass through; one
+    that has the name of a count is replaced.
     """
     counted = with_counts(docs)
-    sample = with_counts(bounded_sample(docs.select("text")))
+    ordered = [r for r, _, _ in order_rules(bounded_sample(docs.select("text")), all_rules())]
     base = F.lit(False)
     for rule in base_rules():
         base = base | rule.rejects
-    rejected_by = cascade(counted, [*base_rules(), *method_rules()], sample)
-    # Always true, but not known to be: a filter on ``kept`` then stays above the counts, where
-    # it would else be rewritten in terms of the text, with each count spelled out at each use.
-    here = F.monotonically_increasing_id() >= 0
-    return counted.withColumns({"base_failed": base, "kept": rejected_by.isNull() & here})
+    return counted.withColumns({"base_failed": base, "kept": cascade(ordered).isNull() & _here()})
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that no rule rejects, with their own columns."""
-    return judge_quality(docs).where("kept").select(*docs.columns)
+    """The rows that no rule rejects, with their own columns, whatever their names.
+
+    Rules are filters one after another, in the order found; the costly measure is
+    computed where the first rule that needs it stands, for the rows that are left.
+    """
+    ordered = [r for r, _, _ in order_rules(bounded_sample(docs.select("text")), all_rules())]
+    rows, own = put_aside(docs, ADDED)
+    rows, pending, counted = with_light_counts(rows), [], False
+
+    def passed(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+        return rows.withColumn("__good", cascade(rules).isNull() & _here()).where("__good").drop("__good") if rules else rows
+
+    for rule in ordered:
+        if rule.heavy and not counted:
+            rows = with_repeat_words(passed(rows, pending), "__words", "n_repeat_words")
+            pending, counted = [], True
+        pending.append(rule)
+    return passed(rows, pending).select(*own)
 
 
 def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,6 +267,6 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > m OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * m
     OR word_chars > 15 * m OR 2 * n_upper > greatest(word_chars, 1) OR 5 * n_marks > m
-    OR 10 * len(list_distinct(words)) < m) AS kept
+    OR 10 * len(list_distinct(words)) < least(m, sqrt(m * {VARIETY_WORDS}.0))) AS kept
 FROM f
 """
