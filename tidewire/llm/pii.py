@@ -6,6 +6,7 @@ import bisect
 import hashlib
 import ipaddress
 import re
+import secrets
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import BROADCAST_ROWS, materialize, read_table
 
-#: Used where the session has no ``spark.tidewire.pii.key``; set a secret of your own there.
-DEVELOPMENT_KEY = "tidewire development key"
+#: The setting that has the key of the surrogates.
+KEY_SETTING = "spark.tidewire.pii.key"
 #: Rounds of giving colliding entities another surrogate; each leaves a tiny share of the last.
 MAX_ATTEMPTS = 50
 #: Syllables of a made surname; more on later attempts.
@@ -42,7 +43,13 @@ SYLLABLES = {
     "cyrillic": "ба бер бо бра вол га гор да дол ер жу за зор ка кол ла лен ма мир но пе ра ров са сол та тор ук фе хо че ша".split(),
     "greek": "βα γα γρη δα δη ζα θα θε κα κο λα λε μα μι νι ξε πα πε ρα ρο σα στα τα τρι φι φω χα χρι ψα ωρ αν ελ".split(),
 }
-ENDINGS = {"latin": "", "cyrillic": "ов", "greek": "ης"}
+#: How surnames of families end by script, for a man and for a woman; the longest that fits counts.
+#: What stands before the ending is the family's, so that both forms have one surrogate.
+ENDINGS = {
+    "latin": (),
+    "cyrillic": (("ский", "ская"), ("цкий", "цкая"), ("ов", "ова"), ("ев", "ева"), ("ёв", "ёва"), ("ин", "ина"), ("ын", "ына")),
+    "greek": (("όπουλος", "οπούλου"), ("ίδης", "ίδου"), ("άδης", "άδου"), ("άκης", "άκη"), ("ης", "η"), ("ος", "ου"), ("ας", "α")),
+}
 
 _GENDER = {name: (script, gender) for (script, gender), names in GIVEN.items() for name in names.split()}
 _LISTS = {k: v.split() for k, v in GIVEN.items()}
@@ -56,6 +63,8 @@ _DIGITS = re.compile(
     # E.164 with or without groups, then national numbers from their 0 on.
     r"|\+[1-9](?:[ .-]?\d|[ .-]?\(\d{1,4}\)){7,14}|0\d{1,4}[ /-]\d{5,8}|0\d(?:[ .-]\d{2}){4})(?![\w-]))"
 )
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]|\.\d)")
 _CAPITALISED = re.compile(r"(?<!\w)[^\W\d_a-zа-яα-ω][\w'’-]*\w")
 _HAS_DIGITS = re.compile(r"\d[\d .()-]{5,}\d")
 
@@ -68,45 +77,104 @@ def _script(word: str) -> str:
 
 
 def normal_form(kind: str, raw: str) -> str:
-    """What mentions of one entity share: emails in lower case, numbers as digits, names as written."""
+    """What mentions of one entity share: emails in lower case, numbers as digits, surnames as their family's masculine form."""
     if kind == "email":
         return raw.lower()
+    if kind == "given":
+        return as_written(raw)
+    if kind == "surname":
+        return family_of(as_written(raw))[0]
+    if kind == "iban":
+        return raw.replace(" ", "")
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(raw).exploded
     if kind in ("card", "ssn", "phone"):
         return ("+" if raw[0] == "+" else "") + re.sub(r"\D", "", raw)
     return str(ipaddress.IPv4Address(".".join(str(int(x)) for x in raw.split(".")))) if kind == "ip" else raw
 
 
+def as_written(name: str) -> str:
+    """A name in capitals only, of four letters or more, as it is written elsewhere."""
+    return name.capitalize() if len(name) > 3 and name.isupper() and name.isalpha() else name
+
+
+def family_of(surname: str) -> tuple[str, str]:
+    """What a surname is without its gendered ending, in its masculine form, and its gender ("" where the form tells none)."""
+    for endings in ENDINGS[_script(surname)]:
+        for ending, gender in zip(endings, "mf"):
+            if surname.endswith(ending) and len(surname) > len(ending) + 1:
+                return surname[: -len(ending)] + endings[0], gender
+    return surname, ""
+
+
 def _without_possessive(m: re.Match) -> tuple[int, int, str]:
     """Start, end and word; a final 's stays in the text behind the name."""
     word = m[0][:-2] if m[0].endswith(("'s", "’s")) else m[0]
     return m.start(), m.start() + len(word), word
 
 
+def _shouted(words: list[tuple[int, int, str]], i: int, text: str) -> bool:
+    """A word in capitals with another such word before or behind it, names apart: then capitals tell no name."""
+    def loud(j: int) -> bool:
+        return 0 <= j < len(words) and words[j][2].isupper() and len(words[j][2]) > 1
+
+    before = loud(i - 1) and text[words[i - 1][1] : words[i][0]] == " "
+    return loud(i) and (before or loud(i + 2) and text[words[i + 1][1] : words[i + 2][0]] == " ")
+
+
 def _names(text: str) -> list[Mention]:
-    """Given names before a surname, names after titles, and later mentions of these surnames alone."""
+    """Given names before a surname, names after titles, and later mentions of these families' surnames alone."""
     words = [_without_possessive(m) for m in _CAPITALISED.finditer(text)]
-    if not any(w in _GENDER or w in TITLES for _, _, w in words):
+    plain = [as_written(w) for _, _, w in words]
+    if not any(w in _GENDER or w in TITLES for w in plain):
         return []
     found: dict[int, Mention] = {}
-    surnames: set[str] = set()
-    for (a, b, w), after in zip(words, [*words[1:], None]):
-        gap = text[b : after[0]] if after else ""
+    families: set[str] = set()
+
+    def take(kind: str, i: int) -> None:
+        a, b, w = words[i]
+        found[a] = (kind, normal_form(kind, w), a, b)
+        if kind == "surname":
+            families.add(found[a][1])
+
+    for i in range(len(words) - 1):
+        gap = text[words[i][1] : words[i + 1][0]]
+        w, after = plain[i], plain[i + 1]
+        if after in TITLES or after in _GENDER or _shouted(words, i, text):
+            continue
         if w in TITLES and gap in (" ", ". "):
-            start, end, name = after
-            if name in _GENDER or name in TITLES:
-                continue
-            found[start] = ("surname", name, start, end)
-            surnames.add(name)
-        elif w in _GENDER and gap == " " and after[2] not in TITLES and after[2] not in _GENDER:
-            found[a] = ("given", w, a, b)
-            found[after[0]] = ("surname", after[2], after[0], after[1])
-            surnames.add(after[2])
-    for a, b, w in words:
-        if w in surnames and a not in found:
-            found[a] = ("surname", w, a, b)
+            take("surname", i + 1)
+        elif w in _GENDER and gap == " ":
+            take("given", i)
+            take("surname", i + 1)
+    for i, (a, _, w) in enumerate(words):
+        if a not in found and family_of(plain[i])[0] in families:
+            take("surname", i)
     return list(found.values())
 
 
+def _check_97(iban: str) -> int:
+    """The remainder of an account number that tells whether its check digits are right: 1 if they are."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def _numbered(text: str) -> list[Mention]:
+    """Account numbers with right check digits, and addresses of 128 bits."""
+    found: list[Mention] = []
+    for m in _IBAN.finditer(text):
+        if _check_97(m[0].replace(" ", "")) == 1:
+            found.append(("iban", normal_form("iban", m[0]), *m.span()))
+    if "::" in text or text.count(":") >= 7:
+        for m in _IPV6.finditer(text):
+            try:
+                value = normal_form("ipv6", m[0])
+            except ValueError:
+                continue
+            if any(c.isdigit() for c in m[0]) and len(m[0].replace(":", "")) >= 3:
+                found.append(("ipv6", value, *m.span()))
+    return found
+
+
 def mentions(text: str | None) -> list[Mention]:
     """(kind, normal form, start, end) of personal data in a text, in order, without overlaps; emails win over numbers, numbers over names."""
     if not text:
@@ -114,6 +182,7 @@ def mentions(text: str | None) -> list[Mention]:
     found: list[Mention] = []
     if "@" in text:
         found += [("email", normal_form("email", m[0]), *m.span()) for m in _EMAIL.finditer(text)]
+    found += _numbered(text)
     if _HAS_DIGITS.search(text):
         found += [(m.lastgroup, normal_form(m.lastgroup, m[0]), *m.span()) for m in _DIGITS.finditer(text)]
     found += _names(text)
@@ -211,6 +280,13 @@ class Surrogates:
                 x = self.permute(x, 1 << 32, "ip", attempt)
                 if not any(a <= x < b for a, b in _NETWORKS):
                     return str(ipaddress.IPv4Address(x))
+        if kind == "ipv6":
+            # The first 16 bits tell the kind of network and stay.
+            x = int(ipaddress.IPv6Address(value))
+            return ipaddress.IPv6Address(x >> 112 << 112 | self.permute(x & (1 << 112) - 1, 1 << 112, "ipv6", x >> 112, attempt)).exploded
+        if kind == "iban":
+            body = self._text(value[4:].lower(), "iban", value[:2], attempt).upper()
+            return f"{value[:2]}{98 - _check_97(value[:2] + '00' + body):02d}{body}"
         if kind == "given":
             names = _LISTS[_GENDER[value]]
             # One more place on each attempt; a shift of a keyed order has no fixed point.
@@ -222,10 +298,24 @@ class Surrogates:
         for _ in range(self._syllables + attempt // 2):
             x, i = divmod(x, len(syllables))
             word.append(syllables[i])
-        return "".join(word).capitalize() + ENDINGS[_script(value)]
+        # The ending is that of the family's form, so that a woman's form can be told from it.
+        ending = next((m for m, _ in ENDINGS[_script(value)] if value.endswith(m) and len(value) > len(m) + 1), "")
+        return "".join(word).capitalize() + ending
 
     def render(self, kind: str, raw: str, surrogate: str) -> str:
-        """A surrogate in the form of the mention: its separators and its upper and lower case."""
+        """A surrogate in the form of the mention: its separators, its upper and lower case, and a surname's gender."""
+        if kind in ("given", "surname"):
+            gender = family_of(as_written(raw))[1] if kind == "surname" else ""
+            if gender == "f":
+                man, woman = next(e for e in ENDINGS[_script(surrogate)] if surrogate.endswith(e[0]))
+                surrogate = surrogate[: -len(man)] + woman
+            return surrogate.upper() if as_written(raw) != raw else surrogate
+        if kind == "ipv6":
+            short = ipaddress.IPv6Address(surrogate).compressed if "::" in raw else ":".join(f"{int(x, 16):x}" for x in surrogate.split(":"))
+            return short.upper() if raw.upper() == raw and any(c.isalpha() for c in raw) else short
+        if kind == "iban":
+            letters = iter(surrogate)
+            return "".join(c if c == " " else next(letters) for c in raw)
         if kind in ("card", "ssn", "phone"):
             digits = iter(surrogate.lstrip("+"))
             return "".join(next(digits) if c.isdigit() else c for c in raw)
@@ -292,6 +382,10 @@ def changed_attempts(entities: DataFrame, key: str, syllables: int = NAME_SYLLAB
     raise RuntimeError(f"surrogates collide after {MAX_ATTEMPTS} attempts")
 
 
+#: What ``replace_pii`` adds.
+ADDED = ("n_entities", "kinds")
+
+
 def replace_pii(docs: DataFrame, key: str, syllables: int = NAME_SYLLABLES) -> DataFrame:
     """Replaces personal data in ``text``; adds ``n_entities`` (mentions) and ``kinds`` (sorted, comma-joined).
 
@@ -302,6 +396,8 @@ def replace_pii(docs: DataFrame, key: str, syllables: int = NAME_SYLLABLES) -> D
     rows change alike.  Other columns pass through; ones by the added names are
     replaced.
     """
+    if not key:
+        raise ValueError("surrogates need a key")
     spark = docs.sparkSession
     entities = docs.select("text").mapInArrow(_entities, "kind string, value string").distinct()
     changed = changed_attempts(materialize(entities, "entities"), key, syllables)
@@ -358,7 +454,16 @@ def _with_attempts(rows: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def session_key(spark: SparkSession) -> str:
-    return spark.conf.get("spark.tidewire.pii.key", DEVELOPMENT_KEY)
+    """The key set for the session; where none is, a random one that the session keeps.
+
+    Without a key of one's own, surrogates are the same within a session and other
+    in the next.
+    """
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
