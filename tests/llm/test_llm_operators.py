@@ -19,6 +19,7 @@ from tidewire.llm import (
     secrets,
     sharding,
     token_files,
+    tokenization,
     url_filter,
 )
 from tidewire.llm.tokenization import vocabulary
@@ -93,7 +94,7 @@ def brute_hits(text, items):
     return len(d), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(d)
 
 
-@pytest.mark.parametrize("block", [1 << 24, 200])
+@pytest.mark.parametrize("block", [1 << 24, 200, 40])
 def test_benchmark_windows(spark, block):
     items = [(7, BASE), (8, "one two three"), (10, "word5 word6"), (9, None), (11, ""), (12, "é日本 x1"), (7, LONG[:300])]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -109,6 +110,33 @@ def test_benchmark_windows(spark, block):
     assert decontaminate.mark_hits(docs(spark, TEXTS), bench.limit(0)).where("size(item_ids) > 0").count() == 0
 
 
+def test_one_item_larger_than_a_block(spark, monkeypatch):
+    text = " ".join(f"long{i % 700}" for i in range(3000))
+    pieces = [t for _, t in decontaminate._pieces(1, text, 500)]
+    assert len(pieces) > 40 and max(map(len, pieces)) < 700
+    bench = spark.createDataFrame([(1, text), (2, BASE)], "item_id long, text string")
+    built = []
+    real = decontaminate.WindowIndex.__init__
+    monkeypatch.setattr(decontaminate.WindowIndex, "__init__", lambda self, items: built.append(sum(len(t) for _, t in items)) or real(self, items))
+    texts = [*(" ".join(f"long{i % 700}" for i in range(k, k + 40)) for k in range(0, 700, 9)), BASE + " tail", "none of it", None]
+    df = docs(spark, texts).withColumn("hit_spans", decontaminate.F.lit("mine"))
+    got = {r.doc_id: (r.n_words, r.h, len(r.item_ids)) for r in decontaminate.mark_hits(df, bench, 12_000).select("doc_id", "n_words", decontaminate.n_hit().alias("h"), "item_ids").collect()}
+    assert len(built) > 1 and max(built) <= 12_000
+    assert got == {i: brute_hits(t, [(1, text), (2, BASE)])[:3] for i, t in enumerate(texts)}
+    kept = decontaminate.remove_contaminated(df, bench).collect()
+    assert {(r.doc_id, r.hit_spans) for r in kept} == {(len(texts) - 2, "mine"), (len(texts) - 1, "mine")}
+
+
+def test_equal_hashes_are_told_apart_by_words(monkeypatch):
+    monkeypatch.setattr(decontaminate, "_hashes", lambda ids, n: np.zeros(max(0, len(ids) - n + 1), dtype=np.uint64))
+    items = [(1, " ".join(f"a{i}" for i in range(30))), (2, " ".join(f"a{i}" for i in range(5, 25)))]
+    index = decontaminate.WindowIndex(items)
+    for text in (" ".join(f"a{i}" for i in range(3, 22)), "a1 a2", " ".join(f"a{i}" for i in range(30, 0, -1))):
+        hits, found = decontaminate._scan_chunk(index, [decontaminate.words_of(text)])[0]
+        want = brute_hits(text, items)
+        assert (len({j for a, n in hits for j in range(a, a + n)}), len(found)) == want[1:3]
+
+
 def test_spans_are_cut_out(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     got = decontaminate.remove_spans(docs(spark, ["say alpha, beta; gamma now", None, "clean"]), bench).orderBy("doc_id").collect()
@@ -168,7 +196,6 @@ def encoded(name, texts, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return [np.array([*e.ids, end], dtype="<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -199,12 +226,60 @@ def test_token_files_with_repeated_and_null_keys(spark, tmp_path):
     assert token_files.look_up(empty, token_files.write_token_files(empty, path, vocabulary("byte_bpe_50k.json"), "byte", 0), path).count() == 0
 
 
+def test_ids_are_the_library_s_own():
+    r = np.random.default_rng(11)
+    bits = ["word", "été", "naïve", "x", "7", "42nd", "it's", "don’t", "”", "“", "…", "×", "÷", "ª", "-", "_", "é", "ß", "Ÿ", "<|endoftext|>", "<|ENDOFTEXT|>", "|", "日本", "İ", "€", "¿", "a,b"]
+    marks = ["", ",", ".", ";", ":", "!", "?", "?!", "..", ")", "'", "”,", "…."]
+    texts = [" ".join(bits[i] + bits[k] * int(k < 9) + marks[j] for i, k, j in zip(r.integers(0, len(bits), n), r.integers(0, 27, n), r.integers(0, len(marks), n))) for n in r.integers(1, 30, 300)]
+    texts += [t.replace(" ", "\n", 1) for t in texts[:60]] + [t + " " for t in texts[:20]] + ["  " + t for t in texts[:20]] + [",", "a,", "é.", "", ". .", "\n", " "]
+    texts += [" ".join(t for t in texts if t.isascii())] * 2
+    for name, style in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
+        coder = tokenization.Encoder(vocabulary(name), style)
+        want = [e[:-1] for e in encoded(name, texts, 0)]
+        for most in (tokenization.MAX_WORDS, 3):
+            coder._known._most = coder._pieces._most = most
+            for text, got, ids in zip(texts, coder.encode(texts), want):
+                assert np.frombuffer(got, dtype="<u2").tolist() == ids.tolist(), (name, text)
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 5000))
     index, slots = token_files.KeyIndex.build(keys)
     assert sorted(slots.tolist()) == list(range(len(keys)))
-    assert (index.find(keys) == slots).all()
-    assert (index.find(np.arange(3000) + 2**62 + 1) >= 0).sum() <= 1
+    h = token_files.key_hash(keys)
+    assert (token_files._slots(h, index.seeds[token_files.bucket_of(h, len(index.seeds))], index.n) == slots).all()
+
+
+def test_a_look_up_reads_a_few_bytes_of_any_shard(tmp_path):
+    read = []
+    for n in (10, 5000):
+        writer = token_files.ShardWriter(f"file://{tmp_path}/{n}")
+        for key in range(n):
+            writer.add(key, np.array([key % 100, 0], dtype="<u2").tobytes())
+        name, *_ = writer.close()
+        shard = token_files.ShardReader(f"file://{tmp_path}/{n}", name)
+        sizes = []
+        real = shard._index
+
+        class Counted:
+            def read_at(self, size, place, real=real, sizes=sizes):
+                sizes.append(size)
+                return real.read_at(size, place)
+
+        shard._index = Counted()
+        shard.WHOLE_SHARE = 0.5
+        assert [shard.ids(r)[1].tolist() for r in shard.rows(np.array([7]))[0]] == [[7, 0]]
+        read.append(list(sizes))
+        assert sum(map(len, shard.rows(np.arange(2**40, 2**40 + 500)))) == 0 and shard.rows(np.arange(n)) == [range(k, k + 1) for k in range(n)]
+    assert read[0] == read[1] == [4, 16, 16]
+
+
+def test_odd_keys_are_refused(spark, tmp_path):
+    path, name = f"file://{tmp_path}/tokens", vocabulary("byte_bpe_50k.json")
+    with pytest.raises(TypeError):
+        token_files.write_token_files(docs(spark, ["x"]).withColumn("doc_id", token_files.F.lit("a")), path, name, "byte", 0)
+    with pytest.raises(Exception, match="stands for a null id"):
+        token_files.write_token_files(docs(spark, ["x"], [-(2**63)]), path, name, "byte", 0)
 
 
 # ---------------------------------------------------------------- 6
@@ -264,6 +339,57 @@ def test_surrogates(spark):
     assert pii.replace_pii(docs(spark, []), "k").count() == 0
 
 
+def test_surrogates_keep_gender_script_and_form(spark):
+    texts = [
+        "Анна Петрова и Иван Петров, потом Петрова. Мария Достоевская", "ANNA SMITH wrote; later Smith left.", "SEE ANNA AND GO HOME NOW",
+        "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, not GB00WEST12345698765432", "from 2001:db8:0:1:1:1:1:1 and fe80::1ff:fe23:4567:890a at 12:34:56, std::vector",
+    ]
+    out = {r.doc_id: r.text for r in pii.replace_pii(docs(spark, texts), "k").collect()}
+    m = re.fullmatch(r"(\w+) (\w+)ова и (\w+) (\w+)ов, потом (\w+)ова\. (\w+) (\w+)ская", out[0])
+    assert m and m[2] == m[4] == m[5] != "Петр" and m[7] != "Достоев"
+    assert m[1] in pii.GIVEN["cyrillic", "f"].split() and m[3] in pii.GIVEN["cyrillic", "m"].split() and m[6] in pii.GIVEN["cyrillic", "f"].split()
+    m = re.fullmatch(r"([A-Z]+) ([A-Z]+) wrote; later (\w+) left\.", out[1])
+    assert m and m[2] == m[3].upper() != "SMITH" and m[1].capitalize() in pii.GIVEN["latin", "f"].split()
+    assert out[2] == texts[2]
+    m = re.fullmatch(r"IBAN (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) and (GB\d\d[A-Z]{4}\d{14}), not GB00WEST12345698765432", out[3])
+    assert m and all(pii._check_97(x.replace(" ", "")) == 1 for x in m.groups()) and m[1] not in texts[3] and m[2] not in texts[3]
+    m = re.fullmatch(r"from (2001(?::[0-9a-f]{1,4}){7}) and (fe80:[0-9a-f:]+) at 12:34:56, std::vector", out[4])
+    assert m and m[1] not in texts[4] and m[2] not in texts[4]
+
+
+def test_surrogates_need_a_key(spark):
+    with pytest.raises(ValueError):
+        pii.replace_pii(docs(spark, ["x"]), "")
+    old = spark.conf.get(pii.KEY_SETTING, None)
+    spark.conf.unset(pii.KEY_SETTING)
+    key = pii.session_key(spark)
+    assert len(key) == 64 and pii.session_key(spark) == key
+    spark.conf.set(pii.KEY_SETTING, old) if old else spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_surrogates_against_brute_force(spark):
+    """Every mention stands in the output as the surrogate of its entity, all else as it was, and different entities differ."""
+    r = np.random.default_rng(9)
+    kinds = [
+        lambda i: f"u{i % 40}.x@host{i % 9}.org", lambda i: f"415-55{i % 10}-01{i % 90 + 10}", lambda i: f"10.{i % 5}.{i % 7}.{i % 50}", lambda i: f"123-4{i % 10}-67{i % 90 + 10}",
+        lambda i: f"Mr. Family{chr(97 + i % 26)}", lambda i: f"Anna {'Берг' if i % 2 else 'Berg'}", lambda i: "plain words",
+    ]
+    texts = [" then ".join(kinds[k](int(i)) for k, i in zip(r.integers(0, len(kinds), 6), r.integers(0, 500, 6))) for _ in range(150)]
+    out = {x.doc_id: x.text for x in pii.replace_pii(docs(spark, texts), "k").collect()}
+    made = {}
+    for i, text in enumerate(texts):
+        pieces, at = [], 0
+        for kind, value, a, b in pii.mentions(text):
+            pieces.append((re.escape(text[at:a]), kind, value))
+            at = b
+        m = re.fullmatch("".join(f"{p}(.+?)" for p, _, _ in pieces) + re.escape(text[at:]), out[i])
+        assert m, (text, out[i])
+        for (_, kind, value), new in zip(pieces, m.groups()):
+            assert made.setdefault((kind, value), pii.normal_form(kind, new)) == pii.normal_form(kind, new)
+    others = [(k, x) for (k, _), x in made.items() if k != "given"]
+    assert len(set(others)) == len(others) and all(v != x for (_, v), x in made.items())
+
+
 def test_surrogates_differ(spark, monkeypatch):
     texts = [f"mail u{i}@host{i % 7}.com or 10.0.{i // 250}.{i % 250} and Mr. Name{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
     s = pii.Surrogates("k", 1)  # few surnames, so that they collide
@@ -403,12 +529,32 @@ def test_long_texts_may_repeat_more_words(spark):
 
 def test_order_changes_no_verdict(spark):
     df = quality.with_counts(docs(spark, TEXTS))
-    rules = [*quality.base_rules(), *quality.method_rules()]
-    a = df.select("doc_id", quality.cascade(df, rules).isNull().alias("k"))
-    b = df.select("doc_id", quality.cascade(df, rules[::-1]).isNull().alias("k"))
+    rules = quality.all_rules()
+    a = df.select("doc_id", quality.cascade(rules).isNull().alias("k"))
+    b = df.select("doc_id", quality.cascade(rules[::-1]).isNull().alias("k"))
     assert rows(a, "doc_id", "k") == rows(b, "doc_id", "k")
 
 
+def test_good_rows_keep_columns_of_any_name(spark):
+    texts = [*TEXTS, "a b c d e f g h " * 6, "x ### " * 40]
+    df = docs(spark, texts).withColumns({c: quality.F.lit("mine") for c in ("n_words", "kept", "_words", "base_failed", "n_repeat_words")})
+    kept = quality.keep_good(df)
+    judged = {r.doc_id for r in quality.judge_quality(docs(spark, texts)).where("kept").collect()}
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == judged
+    assert {(r.n_words, r.kept, r._words) for r in kept.select("n_words", "kept", "_words").collect()} == {("mine",) * 3}
+    assert quality.keep_good(docs(spark, [])).count() == 0
+    plan = kept._jdf.queryExecution().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan
+
+
+def test_the_costly_rule_comes_last(spark):
+    texts = [" ".join(f"w{(i * 7 + j) % 997}" for j in range(400)) for i in range(300)] + ["short"] * 30
+    ordered = quality.order_rules(docs(spark, texts).select("text"), quality.all_rules())
+    assert ordered[0][0].name == "few_words" and ordered[0][1] == pytest.approx(30 / 330)
+    cost = {r.name: c for r, _, c in ordered}
+    assert cost["repeated_passages"] > cost["few_words"]
+
+
 # ---------------------------------------------------------------- 10
 
 
