@@ -679,3 +679,15 @@ def test_slots_do_not_depend_on_how_the_table_is_cut(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sum(map(len, slots.values())) == 500 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_regions_that_pivots_do_not_divide_stay_whole(spark):
+    """Documents alike in a common part: each is as far from one pivot as from another, so cells would hold them all again and again."""
+    texts = [" ".join([*(f"common{i}" for i in range(60)), *(f"own{k}x{i}" for i in range(45))]) for k in range(60)]
+    sets = [jaccard_join.shingles(t) for t in texts]
+    members = spark.createDataFrame([("r", *jaccard_join.set_key(s), len(s), s.tobytes()) for s in sets], "region string, a long, b long, n long, s binary")
+    _, cells, whole = jaccard_join._divide(members, jaccard_join._sizes(members), 0)
+    assert cells.count() == 0 and [r.region for r in whole.collect()] == ["r"]
+    near = texts + [texts[7] + " more"]
+    got = rows(jaccard_join.link_documents(docs(spark, near), 1500), "doc_id", "component_id")
+    assert sorted(got) == [(i, i if i < 60 else 7) for i in range(61)]

@@ -44,6 +44,8 @@ REGION_SHINGLES = 2_000_000
 SHARE = 0.35
 #: Pivots of a division, distances kept in a task's join, and divisions before a region is joined by blocks.
 PIVOTS, KEPT_DISTANCES, DIVISIONS = 12, 32, 4
+#: A division counts if its cells hold at most so many times the region, and the largest at most such a share of it.
+REPLICATION, LARGEST_CELL = 2.0, 0.75
 #: Pivots of all regions are broadcast up to so many bytes, else joined.
 PIVOT_BYTES = 32 << 20
 
@@ -329,14 +331,18 @@ def _distances_to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, kind)], [*names, "d"])
 
 
-def _divide(members: DataFrame, sizes: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """Divides each region into cells: (links found with pivots, members of the cells with ``parent``).
+def _divide(members: DataFrame, sizes: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Divides each region into cells: (links found with pivots, members of the cells, regions that pivots don't divide).
 
     A pivot's cell has the documents nearest to it and, as visitors, those whose
     distance to it is at most two radii more than to their own pivot: a linked
     pair of different cells meets in both.  Documents linked with the pivot are
     linked with each other through it; they stay only if some other document of
     the cell is within a radius of them by distances to the pivot.
+
+    Where most documents are as far from one pivot as from another, nearly all would
+    visit nearly every cell.  So cells are counted first, by distances alone, and a
+    region whose cells come out too large or too many times over is left whole.
     """
     chance = F.lit(float(2 * PIVOTS)) / F.col("n_sets")
     picked = (
@@ -373,11 +379,24 @@ def _divide(members: DataFrame, sizes: DataFrame, level: int) -> tuple[DataFrame
     if nearest.count() <= BROADCAST_ROWS:
         nearest = F.broadcast(nearest)
     kept = placed.join(nearest, "region").where(~F.col("settled") | (F.col("d") >= F.col("open_d") - RADIUS - 1e-9))
-    return links, materialize(kept.select("parent", "region", "a", "b", "n", "s"), "cells")
+    cells = kept.groupBy("parent", "region").agg(F.sum("n").alias("total")).groupBy("parent").agg(F.sum("total").alias("all"), F.max("total").alias("most"))
+    gauge = sizes.select(F.col("region").alias("parent"), F.col("total")).join(cells, "parent", "left")
+    # A region of which nothing is left to be joined is divided.
+    fits = F.coalesce((F.col("all") <= REPLICATION * F.col("total")) & (F.col("most") <= LARGEST_CELL * F.col("total")), F.lit(True))
+    gauge = materialize(gauge.select("parent", fits.alias("fits")), "gauge")
+    whole = gauge.where("NOT fits").select(F.col("parent").alias("region"))
+    divided = gauge.where("fits").select("parent")
+    divided = F.broadcast(divided) if gauge.count() <= BROADCAST_ROWS else divided
+    return links, materialize(kept.join(divided, "parent", "left_semi").select("region", "a", "b", "n", "s"), "cells"), whole
 
 
 def _blocks(members: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
-    """Regions that pivots don't divide, as pairs of blocks: every pair of documents meets in one, in bounded memory."""
+    """Regions that pivots don't divide, as pairs of blocks: every pair of documents meets in one, in bounded memory.
+
+    The work grows with the square of a region's size over that of a task: of
+    documents that are alike in a common part and linked with none, each two have
+    to be compared by any exact join.
+    """
     n = F.ceil(2 * F.col("total") / limit).cast("int")
     rows = members.join(sizes.select("region", "total"), "region").withColumn("blocks", n)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int"))
@@ -408,8 +427,12 @@ def join_members(members: DataFrame, limit: int = REGION_SHINGLES) -> tuple[Data
         if level == DIVISIONS:
             found.append(_joined(_blocks(big, large, limit)))
             break
-        links, members = _divide(big, large, level)
+        links, members, whole = _divide(big, large, level)
         found.append(links)
+        n_whole = whole.count()
+        if n_whole:
+            side = F.broadcast(whole) if n_whole <= BROADCAST_ROWS else whole
+            found.append(_joined(_blocks(big.join(side, "region", "left_semi"), large, limit)))
     links = found[0]
     for more in found[1:]:
         links = links.union(more)
@@ -476,15 +499,27 @@ def link_documents(docs: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
     their own id.  Repeated rows each get a row; null ids count as larger than
     any; other columns are ignored; an empty table gives an empty table.
     """
-    rows = _linked(docs, limit)
-    least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    rows = materialize(_linked(docs, limit), "components")
+    least = _of_groups(rows, F.min("doc_id"))
     return rows.join(least, "root", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
+def _of_groups(rows: DataFrame, what: Column) -> DataFrame:
+    """``least`` of each component of two rows or more, one small row a component.
+
+    Broadcast up to ``BROADCAST_ROWS``; beyond it it is read from a written table,
+    so that a join by component is one of two plain shuffles, and Spark can split a
+    component with a large part of all rows.
+    """
+    groups = rows.where("n > 0").groupBy("root").agg(what.alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    groups = materialize(groups.drop("rows"), "least")
+    return F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, that of the least ``doc_id`` (nulls last), then of the least hash of text, with its own columns.
 
@@ -493,8 +528,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = materialize(_linked(docs, REGION_SHINGLES).where("n > 0"), "components")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
-    least = found.groupBy("root").agg(F.min(rank).alias("least"))
-    found = found.join(least, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("t") == F.col("least.t")))
+    # Rows alone in their component stay without further ado, unless another row has the same id and text.
+    found = found.join(_of_groups(found, F.min(rank)), "root", "left")
+    least = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("t") == F.col("least.t"))
+    found = found.withColumn("stays", F.col("least").isNull() | least)
     dropped = found.where("NOT stays").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
     again = found.where("stays").groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).count().where("count > 1").drop("count")
 
