@@ -7,6 +7,7 @@ that suppliers report.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +18,7 @@ from tidewire.functions import times as T
 from tidewire.functions.figures import extract_figures
 from tidewire.functions.simhash import simhash64
 from tidewire.functions.urls import canonical_url, post_ids
-from tidewire.operators import calendar, classify, cluster, dedupe, earnings, health, impact, merge, provenance, render, replay, reports, score
+from tidewire.operators import calendar, classify, cluster, dedupe, desk, earnings, extract, health, impact, merge, provenance, render, replay, reports, score
 from tidewire.plans import posts as P
 from tidewire.plans import sql as Q
 from tidewire.plans.lexicons import SAMPLE
@@ -419,10 +420,20 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", F.size(figures).cast("long").alias("n_figures"))
 
 
-@query("figure_kinds")
+_FIGURES = "CPI up %d.5%% vs 25 bps; revenue of $%d.25bn at %dx, a half point"
+
+
+@query("figure_kinds", """
+WITH p AS (SELECT p_partkey, p_size FROM part)
+SELECT p_partkey, 'BPS' AS kind, '25 bps' AS raw, 25.0::DOUBLE AS value, 'bps' AS unit, 'cpi' AS label FROM p
+UNION ALL SELECT p_partkey, 'BPS', 'half point', 50.0, 'bps', NULL FROM p
+UNION ALL SELECT p_partkey, 'PERCENT', p_size || '.5%', p_size + 0.5, '%', 'cpi' FROM p
+UNION ALL SELECT p_partkey, 'CURRENCY', '$' || p_size || '.25bn', (p_size + 0.25) * 1e9, 'USD', 'revenue' FROM p
+UNION ALL SELECT p_partkey, 'MULTIPLE', p_size % 9 || 'x', p_size % 9, 'x', 'revenue' FROM p""")
 def _(s, d):
-    df = table(s, d, "documents").select("doc_id", F.explode(extract_figures(F.col("text"))).alias("f"))
-    return df.select("doc_id", "f.kind", "f.raw", "f.value", "f.unit", "f.label")
+    text = F.format_string(_FIGURES, "p_size", "p_size", F.col("p_size") % 9)
+    df = table(s, d, "part").select("p_partkey", F.explode(extract_figures(text)).alias("f"))
+    return df.select("p_partkey", "f.kind", "f.raw", "f.value", "f.unit", "f.label")
 
 
 def _terms(terms: str) -> str:
@@ -455,7 +466,21 @@ def _(s, d):
     return df.select("doc_id", *(classify.category_score(F.col("text"), F.col("t"), c).alias(c.name) for c in SAMPLE.categories))
 
 
-@query("category_verdicts")
+def _verdict_sql() -> str:
+    rank = {c: i for i, c in enumerate(classify.PRECEDENCE)}
+    scores = ", ".join(f"{{'score': \"{c.name}\", 'rank': {rank.get(c.name, 99)}, 'name': '{c.name}'}}" for c in SAMPLE.categories)
+    case = " ".join(f"WHEN name = '{c.name}' AND {_terms('|'.join(terms))} THEN '{sub}'" for c in SAMPLE.categories for sub, terms in c.subcategories.items())
+    return f"""
+WITH c AS ({_category_sql()}), e AS (SELECT doc_id, unnest([{scores}], recursive := true) FROM c),
+t AS (SELECT doc_id, max(score) AS top FROM e WHERE score > 0 GROUP BY 1),
+w AS (SELECT doc_id, score, name, top, row_number() OVER (PARTITION BY doc_id ORDER BY rank, score) AS place FROM e JOIN t USING (doc_id) WHERE score > 0 AND score >= top * {classify.NEAR_TIE}),
+v AS (SELECT w.*, coalesce(text, '') AS text FROM w JOIN documents USING (doc_id) WHERE place = 1),
+g AS (SELECT * FROM v WHERE top >= {classify.WEAK} AND (top >= {classify.STRONG} OR regexp_matches(text, '\\d')))
+SELECT d.doc_id, name AS category, CASE {case.replace('(text,', '(g.text,')} END AS subcategory, CASE WHEN name IS NOT NULL THEN least(1.0, score / 12) END * CASE WHEN top < {classify.STRONG} THEN 0.5 ELSE 1.0 END AS confidence
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id"""
+
+
+@query("category_verdicts", _verdict_sql())
 def _(s, d):
     text = F.coalesce("text", F.lit(""))
     df = table(s, d, "documents").select("doc_id", text.alias("text"), X.tokenize(text).alias("t"))
@@ -463,6 +488,46 @@ def _(s, d):
     return df.select("doc_id", verdict.alias("v")).select("doc_id", "v.category", "v.subcategory", "v.confidence")
 
 
+def _ticker_sql() -> str:
+    context = ", ".join(f"'{w}'" for w in extract.CONTEXT)
+    parts = []
+    for s in SAMPLE.securities:
+        names = "|".join(re.escape(f) for f in extract.name_forms(s))
+        alone = rf"(^|[^A-Za-z0-9\-/''’.$]){s.ticker}($|[^A-Za-z0-9\-/''’.]|\.(\s|$))"
+        bare = {"safe": f"WHEN regexp_matches(text, '{alone}') THEN {extract.SAFE}", "blocked": ""}.get(
+            s.ambiguity, f"WHEN about AND regexp_matches(text, '{alone}') THEN CASE WHEN caps THEN {extract.AMBIGUOUS_CAPS} ELSE {extract.AMBIGUOUS} END"
+        )
+        named = f"WHEN regexp_matches(text, '(?i)(^|[^A-Za-z0-9])(?:{names})($|[^A-Za-z0-9])') THEN {extract.NAME}" if names else ""
+        parts.append(rf"{{'ticker': '{s.ticker}', 'confidence': CAST(CASE WHEN regexp_matches(text, '(?i)\${s.ticker}\b') THEN {extract.CASHTAG} {named} {bare} END AS DOUBLE)}}")
+    return f"""
+WITH l AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') AS letters FROM documents),
+x AS (SELECT *, length(letters) >= 3 AND letters = upper(letters) AS caps, list_has_any(regexp_extract_all(lower(text), '[a-z]+'), [{context}]) AS about FROM l)
+SELECT doc_id, ticker, confidence FROM (SELECT doc_id, unnest([{", ".join(parts)}], recursive := true) FROM x) WHERE confidence IS NOT NULL"""
+
+
+@query("ticker_mentions", _ticker_sql())
+def _(s, d):
+    df = table(s, d, "documents").select("doc_id", F.explode(extract.extract_tickers(F.col("text"), SAMPLE.securities)).alias("t"))
+    return df.select("doc_id", "t.ticker", "t.confidence")
+
+
+def _entity_sql() -> str:
+    def fits(form: str) -> str:
+        case = "" if re.fullmatch("[A-Z]{2,5}", form) else "(?i)"
+        return f"regexp_matches(text, '{case}(^|[^A-Za-z0-9]){re.escape(form)}($|[^A-Za-z0-9])')"
+
+    names = {c: {c, *forms} for kind in (SAMPLE.countries, SAMPLE.organizations, SAMPLE.people, SAMPLE.commodities) for c, forms in kind.items()}
+    parts = ", ".join(f"CASE WHEN {' OR '.join(fits(f) for f in sorted(forms))} THEN '{c}' END" for c, forms in names.items())
+    return f"SELECT doc_id, array_to_string(list_sort(list_filter([{parts}], lambda x: x IS NOT NULL)), ',') AS names FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+
+
+@query("entity_mentions", _entity_sql())
+def _(s, d):
+    kinds = (SAMPLE.countries, SAMPLE.organizations, SAMPLE.people, SAMPLE.commodities)
+    found = F.concat(*(extract.extract_entities(F.col("text"), dict(k)) for k in kinds))
+    return table(s, d, "documents").select("doc_id", F.array_join(F.array_sort(found), ",").alias("names"))
+
+
 def _noise_sql() -> str:
     among = lambda words: f"len(list_filter(t, lambda x: x IN ({', '.join(repr(w) for w in words)})))"
     case = f"CASE WHEN len(t) >= 6 AND {among(classify.FOREIGN)} >= 2 AND {among(classify.ENGLISH)} = 0 THEN 'NOISE_FOREIGN_LANGUAGE'"
@@ -566,7 +631,24 @@ def _(s, d):
     return df.select("doc_id", "headline", F.length("body").alias("body_chars"), "language", "fingerprint")
 
 
-@query("rendered_alerts")
+_MARKED = "regexp_replace({0}, '([\\\\*_`~|>])', '\\\\\\1', 'g')"
+
+
+def _short(text: str, limit: int) -> str:
+    head = f"substr({text}, 1, {limit})"
+    space = f"length({head}) - strpos(reverse({head}), ' ')"
+    cut = f"CASE WHEN strpos({head}, ' ') > 0 AND {space} > {limit} * 0.6 THEN substr({head}, 1, {space}) ELSE {head} END"
+    return f"CASE WHEN length({text}) <= {limit} THEN {text} ELSE regexp_replace({cut}, '[\\s.,;:—–-]+$', '') || '...' END"
+
+
+@query("rendered_alerts", f"""
+WITH {Q.headlines()},
+o AS (SELECT id, {Q.one_space("headline")} AS h, {Q.one_space("body")} AS b, headline FROM posts),
+r AS (SELECT id, {Q.upper(_short("h", 60))} AS h, CASE WHEN len(list_filter({Q.tokens("b")}, lambda x: NOT list_contains({Q.tokens("headline")}, x))) = 0 THEN '' ELSE {_short("b", 320)} END AS b FROM o),
+a AS (SELECT id, '**NEWS**' || chr(10) || chr(10) || '**' || {_MARKED.format("h")} || '**' || chr(10) || chr(10) || '5:14 PM · May 24, 2024'
+  || CASE WHEN b <> '' THEN chr(10) || chr(10) || {_MARKED.format("b")} ELSE '' END AS alert FROM r)
+SELECT id AS doc_id, alert, regexp_matches(alert, '(^|\\s)@[A-Za-z0-9_]{{2,}}') OR regexp_matches(alert, '(?i)https?://')
+  OR regexp_matches(alert, '(?m)^(?:SOURCE|SCORE|CATEGORY|BAND|CONFIDENCE)\\s*:') AS blocked FROM a""")
 def _(s, d):
     df = P.normalize(table(s, d, "documents"))
     when = T.alert_time(F.lit("2024-05-24 21:14:00").cast("timestamp"))
@@ -756,10 +838,20 @@ def _(s, d):
     return relay.recover_origin(df).select("conv_id", "turn", "method", "origin_author", "origin_channel")
 
 
-@query("relay_bodies")
+@query("relay_bodies", """
+SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'Macro Alert' WHEN role = 'user' THEN 'Wire' END AS author,
+  CASE WHEN role = 'assistant' THEN '@desk' || conv_id WHEN role = 'user' THEN '@a_' || turn END AS handle,
+  CASE WHEN role = 'assistant' THEN 'line ' || turn || chr(10) || chr(10) || 'more' || chr(10) || '2024-01-01 08:30' WHEN role = 'user' THEN 'HEADLINE' || chr(10) || 'of @someone else' ELSE 'plain words' END AS text,
+  CASE WHEN role = 'assistant' THEN TIMESTAMP '2024-01-01 08:30:00' END AS published_at FROM conversations""")
 def _(s, d):
-    body = relay.parse_relay_body(F.col("text"), ts(NOW).cast("timestamp"))
-    return table(s, d, "conversations").select("conv_id", "turn", body.alias("b")).select("conv_id", "turn", "b.author", "b.handle", "b.text", "b.published_at")
+    role, conv, turn = F.col("role"), F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    text = (
+        F.when(role == "assistant", F.concat(F.lit("Macro Alert (@desk"), conv, F.lit("):\nline "), turn, F.lit("\n\nmore\n2024-01-01 08:30\nhttps://x.com/a/status/1")))
+        .when(role == "user", F.concat(F.lit("**Wire (@a_"), turn, F.lit("): HEADLINE\nof @someone else"))).otherwise("plain words")
+    )
+    body = relay.parse_relay_body(text, ts(NOW).cast("timestamp"))
+    df = table(s, d, "conversations").select("conv_id", "turn", body.alias("b")).select("conv_id", "turn", "b.author", "b.handle", "b.text", "b.published_at")
+    return df.withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
 
 
 @query("link_strip", r"""SELECT doc_id, regexp_replace(regexp_replace(text, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), 'https?://\S+|www\.\S+', '', 'g') AS text FROM documents""")
@@ -772,12 +864,18 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", X.names_contract(F.col("text")).alias("has_contract"))
 
 
-@query("boilerplate_strip")
+@query("boilerplate_strip", r"""
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(?:All rights reserved|Licensed under)', '', 'g'),
+  '(?i)<t:\d+(?::[a-z])?>\s*[-—–:]?\s*', '', 'g'), '(?i)\b\d{1,2}:\d{2}\s*(?:AM|PM)?\s*[-—–:]\s*', '', 'g'), '\*\*\[[^\]]*\]\(\s*\)[^\n]*?\*\*\s*_\*\s*\*_\s*$', ''),
+  '^[\s*:-]+|[\s*:-]+$', '', 'g')) AS text FROM documents""")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", X.strip_boilerplate(F.col("text"), ("All rights reserved", "Licensed under")).alias("text"))
 
 
-@query("listed_headlines")
+@query("listed_headlines", r"""
+WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\b(\d{1,2}:\d{2}\s*[AP]M\b)', chr(10) || '\1', 'g'), chr(10)),
+  lambda x: regexp_replace(trim(x), '^[•\-\s]+', '')), lambda x: length(x) > 5) AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(place - 1 AS INTEGER) AS place, l[place] AS headline FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS place FROM p)""")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", F.posexplode(X.headlines_in(F.col("text"))).alias("place", "headline"))
 
@@ -811,10 +909,111 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", feeds.describe_filing(company, F.lit("8-K"), items, F.col("p_name"), F.col("p_type")).alias("sentence"))
 
 
-@query("metrics_document")
+def _counted(table: str, key: str) -> str:
+    return f"(SELECT '{{' || string_agg('\"' || k || '\":' || n, ',' ORDER BY k) || '}}' FROM (SELECT {key} AS k, count(*) AS n FROM {table} GROUP BY 1))"
+
+
+@query("metrics_document", _HEALTH + f""",
+r AS (SELECT *, CASE WHEN event_type = 'error' THEN 'FILTERED' ELSE 'PUBLISHED' END AS status FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY)
+SELECT {_counted("r", "status")} AS events, {_counted("(SELECT 'NOISE' AS x FROM r WHERE status = 'FILTERED')", "x")} AS rejections,
+  {_counted("r", "event_type || '/' || status")} AS deliveries, {_counted("e", "state")} AS health""")
 def _(s, d):
     kind = F.col("event_type")
     status = F.when(kind == "error", "FILTERED").otherwise("PUBLISHED")
     events = table(s, d, "events").select(status.alias("status"), F.when(kind == "error", "NOISE").alias("rejection_reason"), "ts")
     deliveries = table(s, d, "events").select(kind.alias("destination"), status.alias("status"), F.col("ts").alias("created_at"))
     return reports.metrics_document(events, deliveries, _health(s, d), "ts", ts(NOW))
+
+
+@query("desk_payloads", """
+SELECT 'e' || p_partkey AS event_id, '{"eventId":"e' || p_partkey || '","slug":"","postId":null,"headline":"' || p_name || '","body":"","category":"EQUITY","subcategory":null,"severity":"'
+  || CASE WHEN p_size % 2 = 0 THEN 'HIGH' ELSE 'LOW' END || '","macro":false,"marketRelevance":"none","marketMoving":' || (p_size % 3 = 0) || ',"tickers":["' || p_brand || '"],"countries":[],"entities":[],'
+  || '"publishedAt":"2024-01-01T00:' || lpad(CAST(p_size % 60 AS VARCHAR), 2, '0') || ':00.000Z","detectedAt":null,"sentAt":"2024-01-30T12:00:00.000Z","sourceCount":' || p_size % 4 + 1 || '}' AS payload FROM part""")
+def _(s, d):
+    size = F.col("p_size")
+    at = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=(size % 60).cast("int"))
+    events = table(s, d, "part").select(
+        F.concat(F.lit("e"), F.col("p_partkey").cast("string")).alias("event_id"), F.col("p_name").alias("headline"), F.lit("EQUITY").alias("category"),
+        F.when(size % 2 == 0, "HIGH").alias("band"), (size % 3 == 0).alias("market_moving"), F.array("p_brand").alias("tickers"), at.alias("published_at"), (size % 4 + 1).alias("source_count"),
+    )
+    return desk.payload(events.withColumn("id", F.col("event_id")), ts(NOW))
+
+
+@query("relay_routes", """
+SELECT DISTINCT conv_id, turn, destination FROM conversations JOIN (VALUES ('user', 'a', '', 'all users with an a'), ('user', NULL, 'the', 'users who say the'), ('assistant', 'ANSWER', NULL, 'answers'),
+  ('assistant', 'nobody', NULL, 'none')) r(channel, author, contains, destination) ON channel = role
+WHERE (coalesce(author, '') = '' OR contains(lower('answerer' || conv_id % 3), lower(author))) AND (coalesce(contains, '') = '' OR contains(lower(coalesce(text, '')), lower(contains)))""")
+def _(s, d):
+    rows = [("user", "a", "", "all users with an a"), ("user", None, "the", "users who say the"), ("assistant", "ANSWER", None, "answers"), ("assistant", "nobody", None, "none")]
+    routes = s.createDataFrame(rows, "channel string, author string, contains string, destination string")
+    author = F.concat(F.lit("answerer"), (F.col("conv_id") % 3).cast("string"))
+    messages = table(s, d, "conversations").select("conv_id", "turn", F.col("role").alias("channel"), author.alias("author"), "text")
+    return desk.routed(messages, routes).select("conv_id", "turn", "destination").distinct()
+
+
+@query("run_budget", """
+SELECT o_orderkey, coalesce(sum(o_orderkey % 3 + 1.5) OVER (ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 60 AS deferred
+FROM (SELECT * FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 100)""")
+def _(s, d):
+    due = table(s, d, "orders").where("o_orderstatus = 'P'").withColumn("seconds", F.col("o_orderkey") % 3 + F.lit(1.5))
+    return desk.within_run(due, ["o_orderdate", "o_orderkey"], "seconds", 60).select("o_orderkey", "deferred")
+
+
+@query("as_of_join", """
+SELECT a.event_id, CASE WHEN epoch_ms(a.ts) - epoch_ms(b.ts) <= 6 * 3600000 THEN b.view_id END AS view_id
+FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') a
+ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.ts >= b.ts""")
+def _(s, d):
+    df = table(s, d, "events")
+    views = df.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
+    found = desk.as_of(df.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, ["user_id"], "ts", 6 * 3_600_000)
+    return found.select("event_id", F.col("match.view_id").alias("view_id"))
+
+
+@query("since_times", f"""
+SELECT p_partkey, CASE p_size % 5 WHEN 4 THEN NULL ELSE TIMESTAMP '{NOW}' - to_seconds(p_size * [1, 60, 3600, 86400][p_size % 5 + 1]) END AS since FROM part""")
+def _(s, d):
+    size = F.col("p_size")
+    unit = F.element_at(F.array(*(F.lit(u) for u in ("s", "m", "H", "d", "weeks"))), size % 5 + 1)
+    since = desk.since_time(F.concat(size.cast("string"), unit), ts(NOW))
+    return table(s, d, "part").select("p_partkey", since.cast("timestamp_ntz").alias("since"))
+
+
+@query("logged_documents", """
+SELECT p_partkey, '{"id":' || p_partkey || ',"apiKey":"[redacted]","deep":{"a":{"b":{"c":{"d":{"e":"[truncated]"}}}}},"list":[{"Token":"[redacted]"},"' || p_brand || '"]}' AS document FROM part""")
+def _(s, d):
+    text = F.format_string('{"id": %d, "apiKey": "k%d", "deep": {"a": {"b": {"c": {"d": {"e": {"f": 1}}}}}}, "list": [{"Token": {"x": 1}}, "%s"]}', "p_partkey", "p_partkey", "p_brand")
+    return table(s, d, "part").select("p_partkey", desk.without_secrets(text).alias("document"))
+
+
+@query("mastheads", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN 'Wire-Desk' ELSE NULL END AS masthead FROM supplier")
+def _(s, d):
+    key = F.col("s_suppkey") % 3
+    name = F.when(key == 0, F.concat(F.lit(" "), "s_name", F.lit(" — Markets - more"))).when(key == 1, "Wire-Desk").otherwise("  ")
+    return table(s, d, "supplier").select("s_suppkey", desk.masthead(name).alias("masthead"))
+
+
+@query("tolerant_arrays", """
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_brand || ',2' ELSE '' END AS items FROM part""")
+def _(s, d):
+    size = F.col("p_size") % 4
+    text = F.when(size == 0, F.format_string('["%s", 2, null]', "p_brand")).when(size == 1, "{broken").when(size == 2, '{"a": 1}')
+    return table(s, d, "part").select("p_partkey", F.array_join(desk.strings_of(text), ",").alias("items"))
+
+
+@query("retained_rows", "SELECT 'events' AS name, count(*) AS rows FROM events UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'pages', count(*) FROM pages")
+def _(s, d):
+    return desk.retained_rows({n: table(s, d, n) for n in ("events", "orders", "pages")})
+
+
+@query("verdict_changes", """
+WITH v AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'NOISE_MEME' WHEN value < 5 THEN 'BELOW_THRESHOLD' ELSE 'PUBLISHED' END AS was,
+  CASE WHEN event_type = 'error' AND value < 50 THEN 'NOISE_MEME' WHEN value < 10 THEN 'BELOW_THRESHOLD' ELSE 'PUBLISHED' END AS now FROM events)
+SELECT was, now, count(*) AS n, CAST(now = 'PUBLISHED' AS DOUBLE) AS acceptance_rate FROM v GROUP BY 1, 2""")
+def _(s, d):
+    kind, value = F.col("event_type"), F.col("value")
+    def judged(noise, least):
+        reason = F.when(noise, "NOISE_MEME").when(value < least, "BELOW_THRESHOLD")
+        return table(s, d, "events").select(F.col("event_id").alias("id"), reason.alias("rejection_reason"), score.status_of(reason).alias("status"))
+
+    return desk.verdict_changes(judged(kind == "error", 5), judged((kind == "error") & (value < 50), 10))
