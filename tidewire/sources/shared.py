@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; under a local temporary folder where that is unset."""
+    """A new folder under ``spark.checkpoint.dir``; where that is unset and all runs in one process, under a local temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tidewire-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
