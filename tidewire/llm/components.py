@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialize
+from tidewire.llm.common import BROADCAST_ROWS, materialize
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
@@ -20,7 +20,10 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     state = None
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        # A table of its own: a join with what is aggregated above its shuffle could not be split at a node with many links.
+        least = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), name)
+        if least.count() <= BROADCAST_ROWS:
+            least = F.broadcast(least)
         # Large star: neighbours above a node go to the least of its neighbours and itself.
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: a node and its neighbours below go to the least of them; links point down here.
