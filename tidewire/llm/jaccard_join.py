@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import BROADCAST_ROWS, materialize, read_table, shuffle_partitions
+from tidewire.llm.common import BROADCAST_ROWS, materialize, put_aside, read_table, shuffle_partitions
 from tidewire.llm.components import components
 
 #: Words of a shingle.
@@ -520,6 +520,10 @@ def _of_groups(rows: DataFrame, what: Column) -> DataFrame:
     return F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
 
 
+#: What tells rows apart where one of each component is kept: id and hash of the text.
+_KEY = ("__key_id", "__key_text")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, that of the least ``doc_id`` (nulls last), then of the least hash of text, with its own columns.
 
@@ -532,21 +536,22 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = found.join(_of_groups(found, F.min(rank)), "root", "left")
     least = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("t") == F.col("least.t"))
     found = found.withColumn("stays", F.col("least").isNull() | least)
-    dropped = found.where("NOT stays").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
-    again = found.where("stays").groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).count().where("count > 1").drop("count")
+    dropped = found.where("NOT stays").select(F.col("doc_id").alias(_KEY[0]), F.col("t").alias(_KEY[1])).distinct()
+    again = found.where("stays").groupBy(F.col("doc_id").alias(_KEY[0]), F.col("t").alias(_KEY[1])).count().where("count > 1").drop("count")
+    docs, own = put_aside(docs, _KEY)
 
     def same() -> Column:
-        return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
+        return F.col("doc_id").eqNullSafe(F.col(_KEY[0])) & (F.xxhash64("text") == F.col(_KEY[1]))
 
     def side(keys: DataFrame) -> DataFrame:
         return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
     kept = docs.join(side(dropped), same(), "left_anti")
     if not again.limit(1).count():
-        return kept.select(*docs.columns)
+        return kept.select(own)
     again = side(again)
-    one = kept.join(again, same(), "left_semi").withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"])
-    return kept.join(again, same(), "left_anti").select(*docs.columns).union(one.select(*docs.columns))
+    one = kept.join(again, same(), "left_semi").withColumn(_KEY[1], F.xxhash64("text")).dropDuplicates(["doc_id", _KEY[1]])
+    return kept.join(again, same(), "left_anti").select(own).union(one.select(own))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
