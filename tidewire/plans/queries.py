@@ -1017,3 +1017,109 @@ def _(s, d):
         return table(s, d, "events").select(F.col("event_id").alias("id"), reason.alias("rejection_reason"), score.status_of(reason).alias("status"))
 
     return desk.verdict_changes(judged(kind == "error", 5), judged((kind == "error") & (value < 50), 10))
+
+
+def _event_stream(s: SparkSession, d: str) -> DataFrame:
+    # As a pattern, the table may be one file.
+    return s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _drained(s: SparkSession, stream: DataFrame) -> DataFrame:
+    from tidewire.sources.shared import work_dir
+    from tidewire.streaming.queries import drain
+
+    return drain(stream, work_dir(s), s)
+
+
+@query("stream_landing", "SELECT DISTINCT user_id, event_type FROM events")
+def _(s, d):
+    from tidewire.streaming.queries import land_stream
+
+    return _drained(s, land_stream(_event_stream(s, d).select("user_id", "event_type", "ts"), ("user_id", "event_type"), "ts")).select("user_id", "event_type")
+
+
+@query("stream_health", """
+WITH e AS (SELECT user_id, ts, event_type = 'error' AS bad, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island, event_id FROM events),
+n AS (SELECT *, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS INTEGER) AS failures FROM e),
+t AS (SELECT *, CASE WHEN failures >= 3 THEN 'DISCONNECTED' WHEN failures > 0 THEN 'ERROR' ELSE 'ACTIVE' END AS state FROM n),
+l AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'ACTIVE') AS before FROM t)
+SELECT CAST(user_id AS VARCHAR) AS source_id, ts, failures AS consecutive_failures, state FROM l WHERE state <> before""")
+def _(s, d):
+    from tidewire.streaming.queries import health_stream
+
+    polls = _event_stream(s, d).select(F.col("user_id").cast("string").alias("source_id"), "ts", (F.col("event_type") != "error").alias("ok"))
+    return _drained(s, health_stream(polls)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("stream_recent_duplicates", """
+SELECT a.event_id AS id, b.event_id AS earlier_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.ts < a.ts AND b.ts >= a.ts - INTERVAL 90 MINUTE""")
+def _(s, d):
+    from tidewire.streaming.queries import recent_duplicates_stream
+
+    posts = _event_stream(s, d).select(F.col("event_id").alias("id"), F.concat_ws("|", "user_id", "event_type").alias("key"), "ts")
+    return _drained(s, recent_duplicates_stream(posts, "key", "ts")).select("id", "earlier_id")
+
+
+@query("feed_items", """
+SELECT 'feed' || p_partkey AS source_id, CASE WHEN p_size % 3 = 0 THEN 'http://a.com/' || p_partkey ELSE 'g' || p_partkey END AS source_post_id, p_name || ' & more' AS title,
+  p_name || ' & more — ' || p_type AS text, 'http://a.com/' || p_partkey AS url,
+  CASE WHEN p_size % 2 = 0 THEN make_timestamp(2026, 5, p_size % 28 + 1, 12, 0, 0) WHEN p_size % 5 > 0 THEN make_timestamp(2026, 5, p_size % 28 + 1, 12, 0, 0) END AS published_at FROM part""")
+def _(s, d):
+    size, day = F.col("p_size"), F.col("p_size") % 28 + 1
+    guid = F.when(size % 3 > 0, F.format_string("<guid isPermaLink=\"false\">g%d</guid>", "p_partkey")).otherwise("")
+    dated = F.when(size % 5 > 0, F.format_string("<pubDate>%d May 2026 12:00:00 GMT</pubDate>", day)).otherwise("")
+    item = "<title>%s &amp; more</title><link>http://a.com/%d</link>%s%s<description>&lt;p&gt;%s&lt;/p&gt;</description>"
+    rss = F.concat(F.lit("<rss><channel><title>t</title><item>"), F.format_string(item, "p_name", "p_partkey", guid, dated, "p_type"), F.lit("</item></channel></rss>"))
+    entry = "<feed><title>f</title><entry><title>%s &amp; more</title><id>%s</id><updated>2026-05-%02dT12:00:00Z</updated><link href=\"http://a.com/%d\" rel=\"alternate\"/><summary>%s</summary></entry></feed>"
+    id_ = F.when(size % 3 > 0, F.format_string("g%d", "p_partkey")).otherwise("")
+    atom = F.format_string(entry, "p_name", id_, day, "p_partkey", "p_type")
+    docs = table(s, d, "part").select(F.format_string("feed%d", "p_partkey").alias("source_id"), F.when(size % 2 == 0, atom).otherwise(rss).alias("xml"))
+    return feeds.parse_feed(docs).withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+
+
+@query("filing_entries", """
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '8-K' ELSE 'SC 13D/A' END AS form, upper(p_name) AS company, lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS cik,
+  lpad(CAST(p_partkey AS VARCHAR), 10, '0') || '-26-000012' AS accession FROM part""")
+def _(s, d):
+    form = F.when(F.col("p_size") % 2 == 0, "8-K").otherwise("SC 13D/A")
+    title = F.format_string("%s - %s (%010d) (Filer)", form, F.upper("p_name"), "p_partkey")
+    url = F.format_string("https://filings.example/data/%010d-26-000012-index.htm", "p_partkey")
+    df = table(s, d, "part").select("p_partkey", feeds.filing_title(title).alias("f"), feeds.accession(url).alias("accession"))
+    return df.select("p_partkey", "f.form", "f.company", "f.cik", "accession")
+
+
+@query("chat_messages", """
+SELECT CASE WHEN turn % 4 = 1 THEN NULL ELSE conv_id || '-' || turn END AS source_post_id,
+  CASE turn % 4 WHEN 0 THEN 'hello ' || conv_id || chr(10) || chr(10) || 'T' || chr(10) || chr(10) || 'n: v' WHEN 2 THEN 'x' ELSE '' END AS text,
+  CASE turn % 4 WHEN 1 THEN 'malformed' WHEN 2 THEN 'version' WHEN 3 THEN 'empty' END AS reject_reason FROM conversations""")
+def _(s, d):
+    turn = F.col("turn") % 4
+    good = '{"version":1,"id":"%d-%d","channel_id":"c","author":"Ann","content":"hello %d","embeds":[{"title":"T","fields":[{"name":"n","value":"v"}]}]}'
+    payload = (
+        F.when(turn == 0, F.format_string(good, "conv_id", "turn", "conv_id")).when(turn == 1, "{broken")
+        .when(turn == 2, F.format_string('{"version":2,"id":"%d-%d","content":"x"}', "conv_id", "turn")).otherwise(F.format_string('{"version":1,"id":"%d-%d"}', "conv_id", "turn"))
+    )
+    df = feeds.parse_chat(table(s, d, "conversations").select(payload.alias("payload")))
+    return df.select("source_post_id", F.coalesce("text", F.lit("")).alias("text"), "reject_reason")
+
+
+@query("news_items", f"""
+SELECT 'agg:' || CASE WHEN p_size % 2 = 0 THEN 'crypto' ELSE 'other' END AS source_id, 'news:' || p_partkey AS source_post_id, CASE WHEN p_size % 2 = 0 THEN 'crypto' ELSE 'general' END AS category,
+  p_name || ' & co — ' || p_type AS text, lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS publisher_org, 'A,B' AS tickers,
+  CASE WHEN p_size % 7 > 0 THEN TIMESTAMP '{NOW}' - to_minutes(CAST(p_size AS BIGINT)) END AS published_at FROM part WHERE p_size <= 30 OR p_size % 7 = 0""")
+def _(s, d):
+    size = F.col("p_size")
+    at = F.when(size % 7 == 0, 0).otherwise(F.unix_timestamp(ts(NOW).cast("timestamp")) - size * 60)
+    item = '[{"id":%d,"datetime":%d,"headline":"%s &amp; co","source":"%s","summary":"%s","related":"A,B"},{"id":%d,"datetime":0,"headline":""}]'
+    text = F.format_string(item, "p_partkey", at, "p_name", "p_brand", "p_type", "p_partkey")
+    df = table(s, d, "part").select(F.concat(F.lit("agg:"), F.when(size % 2 == 0, "crypto").otherwise("other")).alias("source_id"), text.alias("payload"))
+    rows = feeds.parse_news(df, ts(NOW), 30)
+    return rows.select("source_id", "source_post_id", "category", "text", "publisher_org", F.array_join("tickers", ",").alias("tickers"), F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+
+
+@query("feed_summaries", f"""
+WITH g AS (SELECT user_id AS source_id, count(*) AS n_items, max(CASE WHEN user_id % 4 > 0 THEN ts END) AS newest FROM events GROUP BY 1)
+SELECT source_id, n_items, (epoch_us(TIMESTAMP '{NOW}') // 1000 - epoch_us(newest) // 1000) / 60000.0 AS newest_age_minutes, CASE WHEN newest IS NULL THEN 'undated' ELSE 'usable' END AS kind FROM g""")
+def _(s, d):
+    items = table(s, d, "events").select(F.col("user_id").alias("source_id"), F.col("event_id").cast("string").alias("source_post_id"), F.when(F.col("user_id") % 4 > 0, F.col("ts")).alias("published_at"))
+    return feeds.summarize_feeds(items.withColumn("published_at", F.col("published_at").cast("timestamp")), ts(NOW))

@@ -48,7 +48,8 @@ def health_stream(polls: DataFrame) -> DataFrame:
                 current = new
         held.update((failures, current))
         held.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), held.getCurrentWatermarkMs()) + 24 * 3600 * 1000)
-        yield pd.DataFrame(changes, columns=["source_id", "ts", "consecutive_failures", "state"])
+        if changes:
+            yield pd.DataFrame(changes, columns=["source_id", "ts", "consecutive_failures", "state"])
 
     polls = polls.withWatermark("ts", "1 hour")
     return polls.groupBy("source_id").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
