@@ -94,10 +94,8 @@ def corroboration(reports: DataFrame, event: str, org: str, source: str) -> Data
 
 
 def contributors(reports: DataFrame, event: str, identity: str, seen: str, fill: Sequence[str]) -> DataFrame:
-    """One row an event and reporter: first seen, and the earliest known value of each other column."""
-    first = [
-        F.min_by(c, F.when(F.col(c).isNotNull(), F.col(seen))).alias(c) for c in fill
-    ]
+    """One row an event and reporter: first seen, and the earliest known value of each other column; of values at one time the least."""
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col(seen), F.col(c).alias("value")))).alias(c) for c in fill]
     return reports.groupBy(event, identity).agg(F.min(seen).alias("first_seen_at"), *first)
 
 

@@ -173,12 +173,13 @@ def _(s, d):
 
 
 @query("contributor_merge", """
-SELECT l_partkey, l_suppkey, min(l_shipdate) AS first_seen_at, min(l_linenumber) AS lines FROM lineitem GROUP BY 1, 2""")
+WITH r AS (SELECT l_partkey, l_suppkey, l_shipdate, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag, CASE WHEN l_linenumber > 2 THEN l_quantity END AS quantity FROM lineitem)
+SELECT l_partkey, l_suppkey, min(l_shipdate) AS first_seen_at, arg_min(flag, {'t': l_shipdate, 'v': flag}) FILTER (flag IS NOT NULL) AS flag,
+  arg_min(quantity, {'t': l_shipdate, 'v': quantity}) FILTER (quantity IS NOT NULL) AS quantity FROM r GROUP BY 1, 2""")
 def _(s, d):
-    df = table(s, d, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_linenumber")
-    merged = reports.contributors(df, "l_partkey", "l_suppkey", "l_shipdate", [])
-    lines = df.groupBy("l_partkey", "l_suppkey").agg(F.min("l_linenumber").alias("lines"))
-    return merged.join(lines, ["l_partkey", "l_suppkey"])
+    flag, quantity = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")), F.when(F.col("l_linenumber") > 2, F.col("l_quantity"))
+    df = table(s, d, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", flag.alias("flag"), quantity.alias("quantity"))
+    return reports.contributors(df, "l_partkey", "l_suppkey", "l_shipdate", ["flag", "quantity"])
 
 
 @query("newest_n_per_key", """
@@ -398,10 +399,13 @@ def _(s, d):
     return df.groupBy("canonical").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_key"))
 
 
-@query("post_links", r"""
-SELECT page_id, len(list_distinct(regexp_extract_all(html, '(?i)https?://(?:www\.|mobile\.)?(?:x\.com|twitter\.com|vxtwitter\.com|fxtwitter\.com|fixupx\.com)/[A-Za-z0-9_]+/status(?:es)?/(\d+)', 1))) AS n FROM pages""")
+@query("post_links", """
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN array_to_string(list_sort(['x:' || p_partkey, 'x:' || (p_partkey + 1000)]), ',') WHEN 1 THEN 'x:' || p_partkey ELSE '' END AS ids FROM part""")
 def _(s, d):
-    return table(s, d, "pages").select("page_id", F.size(post_ids(F.col("html"))).cast("long").alias("n"))
+    size, key = F.col("p_size") % 4, F.col("p_partkey")
+    both = F.format_string("https://x.com/a/status/%d, https://www.twitter.com/b_c/statuses/%d?s=1 and HTTPS://fxtwitter.com/a/status/%d", key, key + 1000, key)
+    text = F.when(size == 0, both).when(size == 1, F.format_string("(http://mobile.vxtwitter.com/a/status/%d)", key)).when(size == 2, F.format_string("https://x.com/a/likes/%d", key))
+    return table(s, d, "part").select("p_partkey", F.array_join(F.array_sort(F.coalesce(post_ids(text), F.array().cast("array<string>"))), ",").alias("ids"))
 
 
 @query("html_strip", r"""
@@ -413,11 +417,12 @@ def _(s, d):
 
 
 @query("figures_extract", r"""
-SELECT doc_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '-?\d[\d,]*\.?\d*'), lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE)),
-  lambda x: x IS NOT NULL))) AS n_figures FROM documents""")
+WITH f AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '-?\d[\d,]*\.?\d*'), lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE)), lambda x: x IS NOT NULL)) AS n FROM documents)
+SELECT doc_id, len(n) AS n_figures, round(list_sum(list_transform(n, lambda x: ln(1 + abs(x)))), 4) AS logs, list_min(n) AS least, list_max(n) AS greatest FROM f""")
 def _(s, d):
-    figures = X.figures_in(F.coalesce("text", F.lit("")))
-    return table(s, d, "documents").select("doc_id", F.size(figures).cast("long").alias("n_figures"))
+    df = table(s, d, "documents").select("doc_id", X.figures_in(F.coalesce("text", F.lit(""))).alias("n"))
+    logs = F.aggregate("n", F.lit(0.0), lambda a, x: a + F.log(1 + F.abs(x)))
+    return df.select("doc_id", F.size("n").cast("long").alias("n_figures"), F.when(F.size("n") > 0, r4(logs)).alias("logs"), F.array_min("n").alias("least"), F.array_max("n").alias("greatest"))
 
 
 _FIGURES = "CPI up %d.5%% vs 25 bps; revenue of $%d.25bn at %dx, a half point"
