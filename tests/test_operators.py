@@ -96,6 +96,7 @@ def test_noise_and_factuality(spark):
 
     assert noise("I think rates fall") == "NOISE_OPINION" and noise("I think rates fall", 99.0) is None
     assert noise("la casa de los gatos es grande por favor") == "NOISE_FOREIGN_LANGUAGE"
+    assert noise("one 🚀 two ☕ three ⏰") == "NOISE_MEME" and noise("flags 🇺🇸🇺🇸 are none 🚀🚀") is None
     assert noise("to the moon 🚀🚀🚀") == "NOISE_MEME" and noise("Fed cuts rates") is None and noise("subscribers grew") is None
 
     def fact(text):
