@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns memory that a task no longer uses to the system: Python workers are kept, and other stages use them next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def put_aside(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, list[Column]]:
     """Rows whose columns by names that an operator adds are renamed meanwhile, and what selects the rows' own columns again."""
     aside = {c: f"__own_{c}" for c in docs.columns if c in set(names)}

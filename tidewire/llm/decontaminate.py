@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm.common import materialize, put_aside, read_table
+from tidewire.llm.common import give_back, materialize, put_aside, read_table
 
 #: Words of a window.
 WINDOW = 13
@@ -234,6 +234,7 @@ def _scan_with(index_of) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             own = [c for c in batch.schema.names if c not in ADDED]
             added = (pa.array(n_words, pa.int64()), pa.array(all_spans, _SPANS), pa.array(all_items, pa.list_(pa.string())))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *added], [*own, *ADDED])
+        give_back()
 
     return scan
 

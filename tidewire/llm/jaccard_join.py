@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import BROADCAST_ROWS, materialize, put_aside, read_table, shuffle_partitions
+from tidewire.llm.common import BROADCAST_ROWS, give_back, materialize, put_aside, read_table, shuffle_partitions
 from tidewire.llm.components import components
 
 #: Words of a shingle.
@@ -118,6 +118,7 @@ def _hash_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 4
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), *columns], ["doc_id", "t", "n", "few", "a", "b"])
     _HASHES.clear()
+    give_back()
 
 
 def _share_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +154,7 @@ def _share_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held:
         yield out()
     _HASHES.clear()
+    give_back()
 
 
 def _in_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,6 +453,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["a", "b", "n", "s"])
     _HASHES.clear()
+    give_back()
 
 
 def _ids_repeat(light: DataFrame) -> bool:

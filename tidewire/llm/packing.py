@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialize, read_table
+from tidewire.llm.common import give_back, materialize, read_table
 from tidewire.llm.tokenization import encoder, vocabulary
 
 #: Ids of a sequence.
@@ -35,7 +35,7 @@ VECTOR, TREE_SAMPLE, LEAST_SPLIT = 64, 16_384, 8
 #: Share of a shard that a range holds on average, so that few ranges outgrow a shard.
 RANGE_SHARE = 0.8
 #: Texts encoded at once.
-_TEXTS = 4096
+_TEXTS = 2048
 VOCABULARY = 1 << 16
 
 
@@ -261,6 +261,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> Encoded:
                     n_ids += len(own)
                 n_docs += len(packed)
                 yield row(part.column("doc_id"), pa.array(packed, pa.binary()), None, None, None)
+        give_back()
         if n_docs:
             yield row(pa.array([None], key_type), pa.array([None], pa.binary()), counts.tobytes(), n_docs, n_ids)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import BROADCAST_ROWS, materialize, read_table
+from tidewire.llm.common import BROADCAST_ROWS, give_back, materialize, read_table
 
 #: The setting that has the key of the surrogates.
 KEY_SETTING = "spark.tidewire.pii.key"
@@ -431,6 +431,7 @@ def replace_pii(docs: DataFrame, key: str, syllables: int = NAME_SYLLABLES) -> D
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(counts, pa.int64()), pa.array(kinds, pa.string())], [*own, "n_entities", "kinds"]
             )
+        give_back()
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(own).schema)
     return rows.mapInArrow(replace, ddl + ", n_entities long, kinds string")

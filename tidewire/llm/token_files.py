@@ -41,7 +41,7 @@ BUCKET_KEYS = 4
 #: stream ids to the file and hold 16 bytes a document.
 SHARD_BYTES, MAX_SHARDS = 24 << 20, 100_000
 #: Texts encoded at once.
-_TEXTS = 4096
+_TEXTS = 2048
 #: Stands for a null key in files, which is less than any other; an id of this number is refused.
 NULL_KEY = -(2**63)
 

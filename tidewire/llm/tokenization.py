@@ -34,11 +34,11 @@ _BYTE_PIECES = re.compile(
 _WORD_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 #: Words, and pieces of mixed words, in one generation of a dictionary; the last one and the one before are kept.
-MAX_WORDS, MAX_PIECES = 400_000, 50_000
+MAX_WORDS, MAX_PIECES = 250_000, 50_000
 #: Longer words are encoded but not kept.
 MAX_WORD_CHARS = 64
 #: Characters of texts that are cut into words at once.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
 #: Marks that mostly stand behind words.
 _MARKS = b",.;:!?"
 _IS_MARK = np.isin(np.arange(256), list(_MARKS))
