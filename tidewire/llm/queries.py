@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewire.llm import (
     decontaminate,
     jaccard_join,
+    merkle,
     packing,
     pii,
     preference,
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_quality_cascade": quality.op9_quality_cascade,
         "op10_retrieval_packing": packing.op10_retrieval_packing,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
     }
 
 
@@ -42,4 +44,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_vocabulary": url_filter.op3_sql(),
         "op8_jaccard_join": jaccard_join.op8_sql(),
         "op9_quality_cascade": quality.op9_sql(),
+        "op11_merkle_manifest": merkle.op11_sql(),
     }
