@@ -14,10 +14,12 @@ from tidewire.llm import (
     pii,
     preference,
     quality,
+    ranked_search,
     secrets,
     sharding,
     token_files,
     url_filter,
+    warc,
 )
 
 
@@ -34,6 +36,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_cascade": quality.op9_quality_cascade,
         "op10_retrieval_packing": packing.op10_retrieval_packing,
         "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_warc_source": warc.op12_warc_source,
+        "op13_threshold_search": ranked_search.op13_threshold_search,
     }
 
 
@@ -45,4 +49,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_jaccard_join": jaccard_join.op8_sql(),
         "op9_quality_cascade": quality.op9_sql(),
         "op11_merkle_manifest": merkle.op11_sql(),
+        "op12_warc_source": warc.op12_sql(),
+        "op13_threshold_search": ranked_search.op13_sql(),
     }
