@@ -1,12 +1,13 @@
 """The whole way of posts, clusters and duplicates, against independent versions written post by post."""
 
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.operators import classify, cluster, dedupe, desk
+from tidewire.operators import classify, cluster, dedupe, desk, links
 from tidewire.operators.extract import Security
 from tidewire.plans.posts import Lexicon, process
 from tidewire.sources import shared
@@ -32,48 +33,123 @@ def test_near_ties_go_to_the_earlier(spark, first, second):
     assert v.category == first and v.secondary == [second]
 
 
-def random_posts(n, seed):
+POSTS = "id string, headline string, category string, entities array<string>, kept array<string>, importance double, source_id string, ts timestamp"
+
+
+def random_posts(n, seed, n_words=14, names=("IRAN", "US", "FED", "ACME", "OIL"), step=6, pause=97, kinds=tuple(sorted(cluster.COMPATIBLE))):
     r = np.random.default_rng(seed)
-    words, names = [f"word{chr(97 + i)}" for i in range(14)], ["IRAN", "US", "FED", "ACME", "OIL"]
-    kinds, out, minute = sorted(cluster.COMPATIBLE), [], 0
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n_words)]
+    out, minute = [], 0
     for i in range(n):
-        minute += int(r.integers(0, 6)) if i % 97 else 900
+        minute += int(r.integers(0, step)) if i % pause else 900
         text = " ".join(words[k] for k in r.integers(0, len(words), int(r.integers(1, 7)))) + (f" {int(r.integers(1, 4))}" if r.random() < 0.3 else "")
+        if i > 3 and r.random() < 0.2:
+            text = out[-int(r.integers(1, 4))][1]
         entities = [names[k] for k in r.integers(0, len(names), int(r.integers(0, 3)))]
-        out.append((str(i), text.upper(), kinds[int(r.integers(0, len(kinds)))], entities, float(r.integers(20, 100)), f"s{int(r.integers(0, 4))}", T0 + timedelta(minutes=minute)))
+        kept = [e for e in entities if e not in ("OIL", "n3")]
+        out.append((str(i), text.upper(), kinds[int(r.integers(0, len(kinds)))], entities, kept, float(r.integers(20, 100)), f"s{int(r.integers(0, 4))}", T0 + timedelta(minutes=minute)))
     return out
 
 
-def test_clusters_against_comparison_with_all(spark):
+def clusters_post_by_post(rows, made):
     """Every post compared with every open cluster, in one list, without blocks or an index."""
-    rows = random_posts(400, 3)
-    df = spark.createDataFrame(rows, "id string, headline string, category string, entities array<string>, importance double, source_id string, ts timestamp")
-    got = {r.id: (r.event_id, r.is_new, r.supersedes, r.shared, r.source_count, round(r.novelty, 6), r.importance) for r in cluster.cluster_posts(df).collect()}
-    made = {r.id: r for r in cluster.prepare(df.withColumn("block", F.lit(0))).collect()}
     clusters, want = [], {}
-    for key, _, category, entities, importance, source, ts in rows:
-        p = {"words": frozenset(made[key].words), "simhash": made[key].simhash, "figures": set(made[key].figures), "entities": {e.upper() for e in entities}, "ms": made[key].ms}
+    for key, _, category, entities, kept, importance, source, ts in sorted(rows, key=lambda x: (x[-1], x[0])):
+        p = {"words": frozenset(made[key].words), "simhash": made[key].simhash, "figures": set(made[key].figures), "entities": {e.upper() for e in entities}, "kept": {e.upper() for e in kept}, "ms": made[key].ms}
         best = None
         for c in clusters:
             if p["ms"] - c["ms"] > 240 * 60_000 or c["category"] not in cluster.COMPATIBLE[category] or (p["figures"] and c["figures"] and not p["figures"] & c["figures"]):
                 continue
-            shared_, s = len(p["entities"] & c["entities"]), cluster.similar(p, c)
-            if s >= (0.55, 0.3, 0.12)[min(shared_, 2)] and (best is None or (shared_, s) > best[:2]):
-                best = (shared_, s, c)
+            shared_, s = len(p["entities"] & c["kept"]), cluster.similar(p, c)
+            if s >= (0.55, 0.3, 0.12)[min(shared_, 2)] and (best is None or (shared_, s, c["ms"], c["number"]) > best[:4]):
+                best = (shared_, s, c["ms"], c["number"], c)
         if best is None:
-            clusters.append(p | {"id": key, "category": category, "first": p["ms"], "importance": importance, "sources": {source}})
+            clusters.append(p | {"id": key, "number": len(clusters), "category": category, "first": p["ms"], "importance": importance, "sources": {source}})
             want[key] = (key, True, False, 0, 1, 100.0, importance)
             continue
-        shared_, s, c = best
+        shared_, s, _, _, c = best
         novelty = 100 - min(70, 18 * len(c["sources"])) - min(20, (p["ms"] - c["first"]) / 60_000 * 0.25) + (1 - s) * 30
         takes = importance >= c["importance"] + 5 or s < 0.5 and importance >= c["importance"]
         if takes:
             c |= {k: p[k] for k in ("words", "simhash", "figures")}
-        c |= {"importance": max(c["importance"], importance), "ms": p["ms"], "entities": c["entities"] | p["entities"], "sources": c["sources"] | {source}}
+        c |= {"importance": max(c["importance"], importance), "ms": p["ms"], "kept": c["kept"] | p["kept"], "sources": c["sources"] | {source}}
         want[key] = (c["id"], False, takes, shared_, len(c["sources"]), round(min(100, max(0, novelty)), 6), c["importance"])
-    assert got == want and 30 < len({v[0] for v in want.values()}) < 390
-    blocks = cluster.with_blocks(df).select("block").distinct().count()
-    assert blocks > 3
+    return want
+
+
+def told(rows):
+    return {r.id: (r.event_id, r.is_new, r.supersedes, r.shared, r.source_count, round(r.novelty, 6), r.importance) for r in rows}
+
+
+#: Few words and names, so that all hangs together; many of both, so that blocks are small; slow ones, whose clusters outlive the window.
+STREAMS = {
+    "dense": lambda: random_posts(300, 3),
+    "sparse": lambda: random_posts(400, 5, 300, [f"n{i}" for i in range(250)], 4),
+    "lasting": lambda: random_posts(300, 8, 60, [f"n{i}" for i in range(10)], 150, 40, ("CRYPTO", "EQUITY", "FED")),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(STREAMS))
+def test_clusters_against_comparison_with_all(spark, monkeypatch, kind):
+    monkeypatch.setattr(cluster, "SLICE", 7)
+    rows = STREAMS[kind]()
+    df = spark.createDataFrame(rows, POSTS)
+    prepared = cluster.prepare(df)
+    want = clusters_post_by_post(rows, {r.id: r for r in prepared.collect()})
+    assert told(cluster.cluster_posts(df.repartition(3)).collect()) == want
+    blocks = {r.id: r.block for r in cluster.fold_apart(prepared).collect()}
+    largest = max(Counter(blocks.values()).values())
+    assert len(blocks) == len(rows) and all(blocks[k] == blocks[v[0]] for k, v in want.items())
+    lasting = sum(ts - rows[int(want[k][0])][-1] > timedelta(minutes=240) for k, *_, ts in rows)
+    assert {"dense": len(set(blocks.values())) > 3, "sparse": largest < 60 and len(rows) - len({v[0] for v in want.values()}) > 20, "lasting": lasting > 2 and largest < 200}[kind], (largest, lasting, len(set(blocks.values())))
+
+
+def test_blocks_of_clusters_that_outlive_the_window(spark):
+    """A post that has nothing in common with the cluster's last posts, but with its first: by name, and by headline; and a duplicate that keeps one open."""
+    def at(m):
+        return T0 + timedelta(minutes=m)
+
+    rows = [
+        ("1", "ACME OPENS PLANT IN OHIO", "EQUITY", ["ACME"], ["ACME"], 90.0, "a", at(0)), ("2", "ACME OPENS PLANT IN OHIO TODAY", "EQUITY", [], [], 20.0, "b", at(200)),
+        ("3", "FACTORY NEWS", "EQUITY", ["ACME"], [], 95.0, "c", at(420)), ("4", "GOLD FALLS SHARPLY AGAIN", "COMMODITY", ["X", "Y"], ["X", "Y"], 90.0, "a", at(0)),
+        ("5", "ANOTHER MATTER OF X", "COMMODITY", ["X", "Y"], ["X", "Y"], 10.0, "a", at(230)), ("6", "GOLD FALLS SHARPLY AGAIN", "COMMODITY", [], [], 10.0, "a", at(460)),
+    ]
+    df = spark.createDataFrame(rows, POSTS)
+    got = told(cluster.cluster_posts(df).collect())
+    assert got == clusters_post_by_post(rows, {r.id: r for r in cluster.prepare(df).collect()})
+    assert got["2"][0] == "1" and got["6"][0] == got["5"][0] == "4"
+    extra = [("1", "SOME NEWS", "EQUITY", ["A"], ["A"], 50.0, "a", at(0), None), ("2", "OTHER", "CRYPTO", [], [], 0.0, "b", at(200), "1"), ("3", "SOME NEWS", "EQUITY", ["A"], ["A"], 50.0, "a", at(400), None)]
+    got = {r.id: r for r in cluster.cluster_posts(spark.createDataFrame(extra, POSTS + ", repeats string")).collect()}
+    assert {r.event_id for r in got.values()} == {"1"} and got["2"].source_count == 2
+
+
+def test_clusters_of_odd_tables(spark):
+    rows = [("1", None, None, None, None, None, None, None), ("2", "", "NONE", [], [], None, "a", T0), ("2", "", "NONE", [], [], None, "a", T0), ("3", "word " * 5000, "FED", ["e"] * 50, ["e"], 1.0, "a", T0)]
+    got = cluster.cluster_posts(spark.createDataFrame(rows, POSTS)).collect()
+    assert Counter(r.id for r in got) == {"1": 1, "2": 2, "3": 1} and sorted(r.event_id for r in got) == ["1", "2", "2", "3"]
+    assert cluster.cluster_posts(spark.createDataFrame(rows, POSTS).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("one_task", [links.ONE_TASK, 0])
+def test_connected_against_search(spark, one_task):
+    r = np.random.default_rng(2)
+    pairs = [(f"n{a:03}", f"n{b:03}") for a, b in r.integers(0, 150, (90, 2))] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(40)] + [("hub", f"h{i}") for i in range(30)]
+    mates = {}
+    for a, b in pairs:
+        if a != b:
+            mates.setdefault(a, set()).add(b)
+            mates.setdefault(b, set()).add(a)
+    want = {}
+    for node in mates:
+        seen, todo = {node}, [node]
+        while todo:
+            for m in mates[todo.pop()] - seen:
+                seen.add(m)
+                todo.append(m)
+        want[node] = min(seen)
+    got = links.connected(spark.createDataFrame(pairs, "u string, v string"), one_task).collect()
+    assert {r.node: r.root for r in got} == want and len(got) == len(want)
+    assert links.connected(spark.createDataFrame([], "u string, v string"), one_task).count() == 0
 
 
 def test_duplicates_across_tasks_and_of_late_posts(spark):

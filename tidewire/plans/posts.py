@@ -14,7 +14,7 @@ from tidewire.functions.times import too_old
 from tidewire.operators import classify as C
 from tidewire.operators import extract as E
 from tidewire.operators import score as S
-from tidewire.operators.cluster import cluster_posts, with_blocks
+from tidewire.operators.cluster import cluster_posts
 from tidewire.operators.dedupe import find_duplicates
 from tidewire.operators.earnings import earnings_headline, with_earnings
 from tidewire.operators.impact import assess_impact
@@ -164,13 +164,9 @@ def process(posts: DataFrame, sources: DataFrame, lexicon: Lexicon, now: Column
     repeats = F.when(F.col("gate").startswith("DUPLICATE"), F.col("matched_id").cast("string"))
     rows = df.where(F.col("gate").isNull() | repeats.isNotNull()).select(
         "id", F.col("said").alias("headline"), "category", F.concat(sure, "countries", "organizations", "people", "commodities").alias("entities"),
-        F.lit(0.0).alias("importance"), "source_id", "ts", "fixed", "credit", "manual", "stale", F.lit(float(min_score)).alias("least"), repeats.alias("repeats"),
+        F.concat("symbols", "countries", "organizations", "people").alias("kept"), F.lit(0.0).alias("importance"), "source_id", "ts", "fixed", "credit", "manual", "stale", F.lit(float(min_score)).alias("least"), repeats.alias("repeats"),
     )
-    # A duplicate goes where what it repeats went, whatever its own words say.
-    blocks = with_blocks(rows)
-    own = blocks.where("repeats IS NULL").select(F.col("id").cast("string").alias("repeats"), F.col("block").alias("_block"))
-    blocks = blocks.join(own, "repeats", "left").withColumn("block", F.coalesce("_block", "block")).drop("_block")
-    events = cluster_posts(blocks).withColumnRenamed("id", "_id")
+    events = cluster_posts(rows).withColumnRenamed("id", "_id")
     df = df.join(events, F.col("id").cast("string") == F.col("_id"), "left").withColumnRenamed("importance", "score")
     late = F.when(F.col("gate").isNull() & (F.col("score") < min_score), "BELOW_THRESHOLD").when(F.col("gate").isNull() & F.col("stale"), "NOISE_OLD_NEWS")
     df = df.withColumn("rejection_reason", F.coalesce("gate", late)).withColumn("band", S.band(F.col("score")))

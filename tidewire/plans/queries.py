@@ -23,6 +23,7 @@ from tidewire.plans import posts as P
 from tidewire.plans import sql as Q
 from tidewire.plans.lexicons import SAMPLE
 from tidewire.sources import feeds, relay
+from tidewire.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -695,13 +696,29 @@ def _(s, d):
     return df.withColumn("similarity", F.round("similarity", 6))
 
 
-@query("event_clusters")
-def _(s, d):
-    df = P.normalize(_posts(s, d))
+def _clustered(s: SparkSession, d: str) -> DataFrame:
+    """Documents as posts to be clustered: a headline's two rarest words that stand in 2 to 20 headlines are its names, and words and figures its weight."""
+    df = written(P.normalize(_posts(s, d)).select("id", "headline", "source_id", "ts"))
+    each = df.select("id", F.explode(F.array_distinct(X.significant(X.tokenize(F.col("headline"))))).alias("word"))
+    rare = each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n BETWEEN 2 AND 20")
+    named = each.join(rare, "word").groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "word"))), 1, 2)["word"].alias("entities"))
     names = sorted(cluster.COMPATIBLE)
     kind = F.element_at(F.array(*(F.lit(c) for c in names)), (F.crc32(F.col("source_id").cast("binary")) % len(names) + 1).cast("int"))
-    rows = df.select("id", "headline", kind.alias("category"), F.slice("tokens", 1, 3).alias("entities"), (F.col("id") % 100).cast("double").alias("importance"), "source_id", "ts")
-    return cluster.cluster_posts(rows)
+    weight = F.least(F.lit(100.0), 40.0 + 2 * F.size(F.split("headline", " ")) + 5 * F.size(X.figures_in(F.col("headline"))))
+    return df.join(named, "id", "left").select("id", "headline", kind.alias("category"), F.coalesce("entities", F.array().cast("array<string>")).alias("entities"), weight.alias("importance"), "source_id", "ts")
+
+
+@query("event_clusters")
+def _(s, d):
+    return cluster.cluster_posts(_clustered(s, d))
+
+
+@query("stream_event_clusters")
+def _(s, d):
+    from tidewire.streaming.clusters import cluster_stream
+    from tidewire.streaming.queries import drain_in_pieces
+
+    return drain_in_pieces(written(_clustered(s, d)), "ts", cluster_stream)
 
 
 def _posts(s: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewire.operators.health import DISCONNECT_AFTER
+from tidewire.sources.shared import work_dir
 
 
 def land_stream(posts: DataFrame, keys: tuple[str, ...], ts: str, late: str = "1 hour") -> DataFrame:
@@ -76,3 +77,15 @@ def drain(stream: DataFrame, path: str, spark: SparkSession) -> DataFrame:
     query = write_idempotent(stream, f"{path}/out", f"{path}/checkpoint", availableNow=True)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out").drop("batch")
+
+
+def drain_in_pieces(rows: DataFrame, ts: str, job: Callable[[DataFrame], DataFrame], pieces: int = 3) -> DataFrame:
+    """Runs a job over rows that arrive in order of time: a stream that is stopped after each piece of time, and goes on from its checkpoint."""
+    spark, path = rows.sparkSession, work_dir(rows.sparkSession)
+    low, high = rows.agg(F.min(F.unix_micros(F.col(ts).cast("timestamp"))), F.max(F.unix_micros(F.col(ts).cast("timestamp")))).first()
+    at = F.floor((F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(low)) - F.lit(low)) * pieces / F.lit((high or 0) - (low or 0) + 1))
+    found = None
+    for i in range(pieces):
+        rows.where(F.coalesce(at, F.lit(0)) == i).write.mode("append").parquet(f"{path}/in")
+        found = drain(job(spark.readStream.schema(rows.schema).parquet(f"{path}/in")), path, spark)
+    return found
