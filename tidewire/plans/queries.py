@@ -1145,3 +1145,99 @@ SELECT source_id, n_items, (epoch_us(TIMESTAMP '{NOW}') // 1000 - epoch_us(newes
 def _(s, d):
     items = table(s, d, "events").select(F.col("user_id").alias("source_id"), F.col("event_id").cast("string").alias("source_post_id"), F.when(F.col("user_id") % 4 > 0, F.col("ts")).alias("published_at"))
     return feeds.summarize_feeds(items.withColumn("published_at", F.col("published_at").cast("timestamp")), ts(NOW))
+
+
+@query("stream_feed_outcomes", """
+WITH p AS (SELECT page_id, page_id % 20 AS feed, page_id // 20 AS k, page_id % 11 = 0 AS bad, page_id % 13 = 0 AS same, page_id // 40 AS v FROM pages),
+d AS (SELECT *, lag(CASE WHEN NOT bad AND NOT same THEN v END IGNORE NULLS) OVER (PARTITION BY feed ORDER BY k) AS before FROM p),
+q AS (SELECT *, NOT bad AND (same OR v IS NOT DISTINCT FROM before) AS quiet FROM d)
+SELECT 'feed ' || feed AS source_id, make_timestamp(1704067200000000 + page_id * 60000000) AS polled_at, NOT bad AS ok, quiet,
+  CAST(CASE WHEN bad OR quiet THEN 0 ELSE v % 4 + 1 END AS INTEGER) AS items, CASE WHEN bad THEN 'HTTP ' || (400 + page_id % 100) END AS error FROM q""")
+def _(s, d):
+    from tidewire.sources import polls
+    from tidewire.sources.shared import work_dir
+    from tidewire.streaming.queries import drain
+
+    polls.register(s)
+    path, key = work_dir(s), F.col("page_id")
+    version = F.floor(key / 40)
+    item = lambda i: F.format_string("<item><title>story %d of %d</title><guid>%d-%d</guid></item>", i, version, version, i)
+    xml = F.concat(F.lit("<rss><channel><title>t</title>"), F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), version % 4), item), ""), F.lit("</channel></rss>"))
+    rows = table(s, d, "pages").select(
+        F.format_string("feed %d", key % 20).alias("source_id"), F.timestamp_seconds(F.lit(1_704_067_200) + key * 60).alias("polled_at"),
+        F.when(key % 13 == 0, "").otherwise(xml).alias("xml"), F.when(key % 11 == 0, F.format_string("HTTP %d", 400 + key % 100)).alias("error"), "page_id",
+    )
+    half = rows.agg(F.max("page_id")).first()[0]
+    found = None
+    for part in (F.col("page_id") <= F.lit(half) / 2, F.col("page_id") > F.lit(half) / 2):
+        polls.write_polls(rows.where(part), f"{path}/feeds")
+        found = drain(polls.outcomes(s.readStream.format("feed_polls").load(f"{path}/feeds")), path, s)
+    return found.withColumn("polled_at", F.col("polled_at").cast("timestamp_ntz"))
+
+
+@query("stream_new_items", """
+WITH i AS (SELECT user_id, event_id, event_type || '-' || (event_id // 60) AS item, epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) // 1000 AS poll, ts AS place,
+    CASE WHEN event_id % 9 > 0 THEN epoch_us(ts) // 1000 - CASE WHEN event_id % 7 = 0 THEN 86400000 * (event_id % 3) ELSE 0 END END AS published FROM events),
+w AS (SELECT *, max(published) OVER (PARTITION BY user_id ORDER BY poll RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest, min(poll) OVER (PARTITION BY user_id) AS first FROM i),
+a AS (SELECT *, row_number() OVER (PARTITION BY user_id, item ORDER BY poll, place, event_id) AS n FROM w WHERE poll = first OR newest IS NULL OR published IS NULL OR published >= newest),
+f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(published, poll) DESC, place DESC, event_id DESC) AS back FROM a WHERE n = 1 AND poll = first AND (published IS NULL OR poll - published <= 900000))
+SELECT CAST(user_id AS VARCHAR) AS source_id, item AS item_id, poll AS polled_ms, published AS published_ms, poll = first AS first FROM a WHERE n = 1 AND poll > first
+UNION ALL SELECT CAST(user_id AS VARCHAR), item, poll, published, true FROM f WHERE back <= 5""")
+def _(s, d):
+    from tidewire.streaming.queries import drain_in_pieces
+    from tidewire.streaming.stateful import new_items_stream
+
+    at, key = F.col("ts").cast("timestamp"), F.col("event_id")
+    late = F.when(key % 7 == 0, F.make_interval(days=(key % 3).cast("int"))).otherwise(F.make_interval())
+    rows = table(s, d, "events").select(
+        F.col("user_id").cast("string").alias("source_id"), F.concat_ws("-", "event_type", F.floor(key / 60)).alias("item_id"), F.window(at, "6 hours")["start"].alias("polled_at"),
+        F.unix_micros(at).alias("place"), F.when(key % 9 > 0, at - late).alias("published_at"), "event_id",
+    )
+    return drain_in_pieces(rows, "polled_at", new_items_stream)
+
+
+@query("stream_health_timers", """
+WITH p AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, bool_and(event_type <> 'error') AS ok, bool_or(event_type IN ('purchase', 'signup')) AS item FROM events GROUP BY ALL),
+n AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ms) AS island FROM p),
+f AS (SELECT *, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, island ORDER BY ms) AS INTEGER) AS failures,
+    max(CASE WHEN item THEN ms END) OVER (PARTITION BY user_id ORDER BY ms) AS last, lead(ms) OVER (PARTITION BY user_id ORDER BY ms) AS next FROM n),
+ticks AS (SELECT user_id, ms AS at_ms, failures, last FROM f
+  UNION ALL SELECT user_id, last + 21600001 * 1, failures, last FROM f WHERE last + 21600001 > ms AND last + 21600001 < coalesce(next, (SELECT max(epoch_us(ts) // 1000) - 600000 FROM events) + 1)
+  UNION ALL SELECT user_id, last + 64800001, failures, last FROM f WHERE last + 64800001 > ms AND last + 64800001 < coalesce(next, (SELECT max(epoch_us(ts) // 1000) - 600000 FROM events) + 1)),
+t AS (SELECT *, CASE WHEN failures >= 3 THEN 'DISCONNECTED' WHEN failures > 0 THEN 'ERROR' WHEN last IS NULL OR at_ms - last > 64800000 THEN 'STALE' WHEN at_ms - last > 21600000 THEN 'DELAYED' ELSE 'ACTIVE' END AS state FROM ticks),
+c AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY at_ms), 'ACTIVE') AS before FROM t)
+SELECT CAST(user_id AS VARCHAR) AS source_id, at_ms, state, failures AS consecutive_failures FROM c WHERE state <> before""")
+def _(s, d):
+    from tidewire.streaming.queries import drain_in_pieces
+    from tidewire.streaming.stateful import health_timers_stream
+
+    rows = table(s, d, "events").groupBy(F.col("user_id").cast("string").alias("source_id"), F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp"))).alias("ts"))
+    rows = rows.agg(F.bool_and(F.col("event_type") != "error").alias("ok"), F.max(F.col("event_type").isin("purchase", "signup").cast("int")).alias("items"))
+    return drain_in_pieces(rows, "ts", lambda x: health_timers_stream(x, 21_600_000))
+
+
+@query("stream_retries")
+def _(s, d):
+    """Jobs of users: sign-ups queue them, errors and purchases are outcomes; times are a thousandth of the events', so that retries fall between them."""
+    from tidewire.streaming.queries import drain_in_pieces
+    from tidewire.streaming.stateful import retries_stream
+
+    kind = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "ok").otherwise("queued")
+    at = F.timestamp_millis(F.lit(1_704_067_200_000) + F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1_704_067_200_000_000)) / 1_000_000))
+    return drain_in_pieces(table(s, d, "events").select(F.col("user_id").alias("job_id"), at.alias("ts"), F.col("event_id").alias("place"), kind.alias("kind")), "ts", retries_stream)
+
+
+@query("stream_ledger", """
+SELECT event_id, min(payload) AS payload FROM (SELECT 'event ' || (p_partkey // 3) AS event_id, '{"part":' || p_partkey || ',"name":"' || p_name || '"}' AS payload FROM part) GROUP BY 1""")
+def _(s, d):
+    from tidewire.sources.shared import work_dir
+    from tidewire.streaming import ledger
+
+    path = work_dir(s)
+    parts = s.readStream.schema(table(s, d, "part").schema).parquet(f"{d}/part.parque[t]")
+    event = F.format_string("event %d", F.floor(F.col("p_partkey") / 3)).alias("event_id")
+    payloads = parts.select(event, F.to_json(F.struct(F.col("p_partkey").alias("part"), F.col("p_name").alias("name"))).alias("payload"))
+    for _ in range(2):
+        # The second run finds nothing new, and delivers nothing twice.
+        ledger.deliver(payloads, f"{path}/ledger", f"{path}/checkpoint").awaitTermination()
+    return ledger.delivered(s, f"{path}/ledger").select("event_id", "payload")

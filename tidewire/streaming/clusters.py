@@ -28,51 +28,48 @@ def _unpacked(text: str) -> dict[str, Any]:
 
 
 class Clusters(StatefulProcessor):
-    """Folds a key's posts as they come: a map of its open clusters, and a map of the events of their posts.
+    """Folds a key's posts as they come: a list of its open clusters, each with its posts, which is written anew after each batch.
 
-    A timer at the end of each cluster's window takes it out of the state when the
-    watermark has passed, whether or not the key gets further posts.
+    A timer at the end of the newest cluster's window empties the state when the
+    watermark has passed and the key gets no further posts.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "number long", "cluster string")
-        self.of = handle.getMapState("of", "id string", "number long")
+        self.open = handle.getListState("open", "number long, cluster string, posts array<string>")
         self.next = handle.getValueState("next", "number long")
 
     def _loaded(self) -> OpenClusters:
-        held = {int(k[0]): _unpacked(v[0]) for k, v in self.open.iterator()}
+        held, of = {}, {}
+        for number, cluster, posts in self.open.get():
+            held[int(number)] = _unpacked(cluster)
+            of |= dict.fromkeys(posts, int(number))
         number = self.next.get()
-        return OpenClusters(held, {k[0]: int(v[0]) for k, v in self.of.iterator()}, int(number[0]) if number else 0)
+        return OpenClusters(held, of, int(number[0]) if number else 0)
+
+    def _save(self, clusters: OpenClusters) -> None:
+        posts: dict[int, list[str]] = {n: [] for n in clusters.clusters}
+        for post, number in clusters.of.items():
+            posts[number].append(post)
+        if posts:
+            self.open.put([(n, _packed(c), posts[n]) for n, c in clusters.clusters.items()])
+        else:
+            self.open.clear()
+        self.next.update((clusters.next,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         posts = pd.concat(list(rows)).sort_values(["ms", "id"], kind="stable")
-        clusters = self._loaded()
-        before = dict(clusters.clusters)
+        clusters, last = self._loaded(), int(posts["ms"].max())
         out = [clusters.take(as_post(p)) for p in posts.to_dict("records")]
-        clusters.sweep(max(int(posts["ms"].max()), timerValues.getCurrentWatermarkInMs()))
-        self._save(clusters, before, set(posts["id"]))
+        clusters.sweep(max(last, timerValues.getCurrentWatermarkInMs()))
+        self._save(clusters)
+        self.handle.registerTimer(last + WINDOW_MINUTES * 60_000 + 1)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
-    def _save(self, clusters: OpenClusters, before: dict, ids: set) -> None:
-        for number in before.keys() - clusters.clusters.keys():
-            self.open.removeKey((number,))
-        for number in clusters.touched & clusters.clusters.keys():
-            c = clusters.clusters[number]
-            self.open.updateValue((number,), (_packed(c),))
-            self.handle.registerTimer(int(c["ms"]) + WINDOW_MINUTES * 60_000 + 1)
-        for post, number in clusters.of.items():
-            if post in ids:
-                self.of.updateValue((post,), (number,))
-        for post in clusters.forgotten:
-            self.of.removeKey((post,))
-        self.next.update((clusters.next,))
-
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         clusters = self._loaded()
-        before = dict(clusters.clusters)
         clusters.sweep(expiredTimerInfo.getExpiryTimeInMs())
-        self._save(clusters, before, set())
+        self._save(clusters)
         return iter(())
 
     def close(self) -> None:
