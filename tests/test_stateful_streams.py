@@ -173,7 +173,7 @@ def test_retries_wait_and_end(spark, pieces):
     got = {k: sorted(v) for k, v in got.items()}
     assert got["done"][:5] == [(0, 1, "RUN"), (1, 1, "FAILED"), (2, 2, "RUN"), (3, 2, "DONE"), (5, 1, "RUN")]
     assert got["bad"] == [(0, 1, "RUN"), (1, 1, "FAILED"), (2, 2, "FAILED"), (2, 2, "RUN"), (5, 3, "RUN"), (6, 3, "FAILED"), (16, 4, "RUN"), (17, 4, "FAILED"), (17, 4, "GIVEN_UP"), (18, 1, "DONE"), (18, 1, "RUN")]
-    assert got["hung"] == got["twice"] == [(0, 1, "RUN"), (600, 1, "STUCK"), (601, 2, "RUN"), (1201, 2, "STUCK"), (1204, 3, "RUN"), (1804, 3, "STUCK"), (1814, 4, "RUN"), (2414, 4, "STUCK"), (2414, 4, "GIVEN_UP")]
+    assert got["hung"] == got["twice"] == sorted([(0, 1, "RUN"), (600, 1, "STUCK"), (601, 2, "RUN"), (1201, 2, "STUCK"), (1204, 3, "RUN"), (1804, 3, "STUCK"), (1814, 4, "RUN"), (2414, 4, "STUCK"), (2414, 4, "GIVEN_UP")])
 
 
 # ---------------------------------------------------------------- the ledger
