@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as X
@@ -56,6 +57,20 @@ def test_similarity(spark):
     assert one(spark, simhash64(X.tokenize(F.col("x"))), x="the of") == 0
 
 
+@pytest.mark.parametrize("text, want", [
+    ("Revenue of $(1,200.5) million, EPS -$0.10", [("CURRENCY", "$(1,200.5) million", -1200.5e6, "USD", "revenue"), ("CURRENCY", "$0.10", 0.1, "USD", "eps")]),
+    ("€ 5bn vs £-3k, ¥7 trillion.", [("CURRENCY", "€ 5bn", 5e9, "EUR", None), ("CURRENCY", "£-3k", -3e3, "GBP", None), ("CURRENCY", "¥7 trillion", 7e12, "JPY", None)]),
+    ("rate cut by 1,250bps or a Half-Point", [("BPS", "250bps", 250.0, "bps", "rate"), ("BPS", "Half-Point", 50.0, "bps", "rate")]),
+    ("+5.5 pct, -3 percent; 12 percents", [("PERCENT", "+5.5 pct", 5.5, "%", None), ("PERCENT", "-3 percent", -3.0, "%", None)]),
+    ("trading at 30x or a30x, 2.3.4x", [("MULTIPLE", "30x", 30.0, "x", None), ("MULTIPLE", "3.4x", 3.4, "x", None)]),
+    ("$5.5mx $5mx $1.2.3", [("CURRENCY", "$5", 5.0, "USD", None)]),
+    ("cpi one two three four five 4%", [("PERCENT", "4%", 4.0, "%", None)]), ("cpi " + "x" * 70 + " 4%", [("PERCENT", "4%", 4.0, "%", None)]),
+    ("", []), (None, []), ("3 basis points " * 500, [("BPS", "3 basis points", 3.0, "bps", None)] * 500),
+])
+def test_figures_of_odd_texts(text, want):
+    assert figures_of(text) == want
+
+
 def test_figures(spark):
     assert [f[:4] for f in figures_of("revenue of $3.5B, EPS $(0.15), up 25 bps and 7% at 30x, half-point")] == [
         ("BPS", "25 bps", 25.0, "bps"), ("BPS", "half-point", 50.0, "bps"), ("PERCENT", "7%", 7.0, "%"),

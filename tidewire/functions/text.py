@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 #: Words without weight in comparisons.
 STOPWORDS = (
-    "a an and are as at be been but by for from had has have he her his in into is it its "
-    "not of on or she that the their they this to was were will with would after over says say said "
-    "new more than about up down out we you i"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "for", "from", "had", "has", "have", "he", "her", "his", "in", "into", "is",
+    "it", "its", "not", "of", "on", "or", "she", "that", "the", "their", "they", "this", "to", "was", "were", "will", "with", "would", "after",
+    "over", "says", "say", "said", "new", "more", "than", "about", "up", "down", "out", "we", "you", "i",
+)
 
 #: Named entities that occur in feed titles, with what they stand for.
 ENTITIES = (
