@@ -60,7 +60,7 @@ def test_similarity(spark):
 @pytest.mark.parametrize("text, want", [
     ("Revenue of $(1,200.5) million, EPS -$0.10", [("CURRENCY", "$(1,200.5) million", -1200.5e6, "USD", "revenue"), ("CURRENCY", "$0.10", 0.1, "USD", "eps")]),
     ("€ 5bn vs £-3k, ¥7 trillion.", [("CURRENCY", "€ 5bn", 5e9, "EUR", None), ("CURRENCY", "£-3k", -3e3, "GBP", None), ("CURRENCY", "¥7 trillion", 7e12, "JPY", None)]),
-    ("rate cut by 1,250bps or a Half-Point", [("BPS", "250bps", 250.0, "bps", "rate"), ("BPS", "Half-Point", 50.0, "bps", "rate")]),
+    ("rate cut by 1,250bps or a Half-Point", [("BPS", "250bps", 250.0, "bps", "rate"), ("BPS", "Half-Point", 50.0, "bps", None)]),
     ("+5.5 pct, -3 percent; 12 percents", [("PERCENT", "+5.5 pct", 5.5, "%", None), ("PERCENT", "-3 percent", -3.0, "%", None)]),
     ("trading at 30x or a30x, 2.3.4x", [("MULTIPLE", "30x", 30.0, "x", None), ("MULTIPLE", "3.4x", 3.4, "x", None)]),
     ("$5.5mx $5mx $1.2.3", [("CURRENCY", "$5", 5.0, "USD", None)]),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.figures import FIGURE, figures_of
+from tidewire.functions.terms import once_a_worker
 from tidewire.operators.extract import Security, TickerFinder
 
 
@@ -18,7 +20,7 @@ def register(spark: SparkSession, securities: Sequence[Security] = ()) -> list[s
     Tokens, fingerprints, similarities and earnings are expressions of Spark
     (``tidewire.functions.text``, ``tidewire.operators.earnings``) and need none.
     """
-    master = list(securities)
+    master, lexicon = list(securities), uuid.uuid4().hex
     names = ("kind", "raw", "value", "unit", "label")
 
     @F.pandas_udf(f"array<{FIGURE.simpleString()}>")
@@ -27,7 +29,7 @@ def register(spark: SparkSession, securities: Sequence[Security] = ()) -> list[s
 
     @F.pandas_udf("array<string>")
     def extract_tickers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        finder = TickerFinder(master)
+        finder = once_a_worker(lexicon, lambda: TickerFinder(master))
         for text in batches:
             yield text.map(lambda t: [x[0] for x in finder.find(t)])
 

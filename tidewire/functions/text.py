@@ -8,6 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewire.functions.terms import Matched
+
 #: Words without weight in comparisons.
 STOPWORDS = (
     "a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "for", "from", "had", "has", "have", "he", "her", "his", "in", "into", "is",
@@ -144,13 +146,16 @@ def term_pattern(terms: Sequence[str]) -> str:
     return f"(?i)(?<![A-Za-z0-9])(?:{body})(?![A-Za-z0-9])"
 
 
-def has_term(c: Column, *terms: str) -> Column:
+def has_term(c: Column | Matched, *terms: str) -> Column:
+    """Whether a text has one of the terms: by a pattern, or of a text that was searched for all terms at once by what was found."""
+    if isinstance(c, Matched):
+        return c.has(terms)
     return c.rlike(term_pattern(terms)) if terms else F.lit(False)
 
 
-def count_terms(c: Column, terms: Sequence[str]) -> Column:
+def count_terms(c: Column | Matched, terms: Sequence[str]) -> Column:
     """How many different terms a text has."""
-    return sum((has_term(c, t).cast("int") for t in terms), F.lit(0))
+    return c.count(terms) if isinstance(c, Matched) else sum((has_term(c, t).cast("int") for t in terms), F.lit(0))
 
 
 def fold_apostrophes(c: Column) -> Column:

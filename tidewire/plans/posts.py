@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as X
 from tidewire.functions.figures import extract_figures
+from tidewire.functions.terms import with_terms
 from tidewire.functions.times import too_old
 from tidewire.operators import classify as C
 from tidewire.operators import extract as E
@@ -78,12 +79,15 @@ def _has(kind: str) -> Column:
 
 def classified(df: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Adds verdict, noise, facts, earnings, filing; category is EARNINGS where results are stated, and headline then tells them."""
-    text, tokens = F.col("clean_text"), F.col("tokens")
-    has_figures = _has("figures")
+    df, text = with_terms(
+        df, "clean_text", [*C.category_terms(lexicon.categories), *lexicon.high, *lexicon.medium], [*C.noise_terms(lexicon.noise), *lexicon.factual, *lexicon.commentary]
+    )
+    tokens, has_figures = F.col("tokens"), _has("figures")
     named = _has("symbols") | _has("organizations") | _has("commodities") | _has("people") | _has("countries")
     df = df.withColumn("verdict", C.classify_category(text, tokens, lexicon.categories, named, F.col("manual"), lexicon.boosts, source_category=F.col("source_category")))
     df = df.withColumn("noise", C.classify_noise(text, tokens, lexicon.noise, F.col("is_echo"), F.col("quality_score"), F.col("strict"), F.col("manual")))
     df = df.withColumn("facts", C.classify_factuality(text, tokens, has_figures, lexicon.verbs, lexicon.factual, lexicon.commentary, F.col("official")))
+    df = df.withColumns({"n_high": X.count_terms(text, lexicon.high), "n_medium": X.count_terms(text, lexicon.medium)}).drop(*(c for c in df.columns if c.startswith("_terms_")))
     df = with_earnings(df, "clean_text", "earnings").withColumn("earnings", F.when(F.col("verdict").isNotNull(), F.col("earnings")))
     states = F.col("earnings").isNotNull()
     df = df.withColumn("category", F.when(states, "EARNINGS").otherwise(F.col("verdict.category")))
@@ -93,13 +97,13 @@ def classified(df: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def scored(df: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Adds ``fixed`` (the weighted parts that don't hang on the cluster) and ``credit`` (credibility before corroboration)."""
-    text, category = F.col("clean_text"), F.col("category")
+    category = F.col("category")
     names_asset = _has("symbols") | _has("commodities")
     surprise = F.coalesce("earnings.eps_surprise", "earnings.revenue_surprise")
     parts = {
         "source_quality": S.source_quality(F.col("quality_score"), F.col("noise_score")),
         "market_relevance": S.market_relevance(category, lexicon.relevance or {"": 60.0}, F.col("verdict.subcategory"), lexicon.sub_relevance, names_asset),
-        "magnitude": S.magnitude(X.count_terms(text, lexicon.high), X.count_terms(text, lexicon.medium), F.col("figures"), F.col("filing"), surprise),
+        "magnitude": S.magnitude(F.col("n_high"), F.col("n_medium"), F.col("figures"), F.col("filing"), surprise),
         "asset_exposure": S.asset_exposure(F.col("exposure"), category, _has("commodities"), _has("countries")),
     }
     fixed = sum((F.coalesce(c, F.lit(0.0)) * S.WEIGHTS[name] for name, c in parts.items()), F.lit(0.0))

@@ -17,6 +17,7 @@ from tidewire.functions import text as X
 from tidewire.functions import times as T
 from tidewire.functions.figures import extract_figures
 from tidewire.functions.simhash import simhash64
+from tidewire.functions.terms import with_terms
 from tidewire.functions.urls import canonical_url, post_ids
 from tidewire.operators import calendar, classify, cluster, dedupe, desk, earnings, extract, health, impact, merge, provenance, render, replay, reports, score
 from tidewire.plans import posts as P
@@ -469,7 +470,8 @@ def _category_sql() -> str:
 def _(s, d):
     text = F.coalesce("text", F.lit(""))
     df = table(s, d, "documents").select("doc_id", text.alias("text"), X.tokenize(text).alias("t"))
-    return df.select("doc_id", *(classify.category_score(F.col("text"), F.col("t"), c).alias(c.name) for c in SAMPLE.categories))
+    df, found = with_terms(df, "text", classify.category_terms(SAMPLE.categories))
+    return df.select("doc_id", *(classify.category_score(found, F.col("t"), c).alias(c.name) for c in SAMPLE.categories))
 
 
 def _verdict_sql() -> str:
@@ -490,7 +492,8 @@ FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id"""
 def _(s, d):
     text = F.coalesce("text", F.lit(""))
     df = table(s, d, "documents").select("doc_id", text.alias("text"), X.tokenize(text).alias("t"))
-    verdict = classify.classify_category(F.col("text"), F.col("t"), SAMPLE.categories, F.col("text").rlike("\\d"))
+    df, found = with_terms(df, "text", classify.category_terms(SAMPLE.categories))
+    verdict = classify.classify_category(found, F.col("t"), SAMPLE.categories, F.col("text").rlike("\\d"))
     return df.select("doc_id", verdict.alias("v")).select("doc_id", "v.category", "v.subcategory", "v.confidence")
 
 
@@ -549,7 +552,8 @@ def _noise_sql() -> str:
 def _(s, d):
     text = F.coalesce("text", F.lit(""))
     df = table(s, d, "documents").select("doc_id", text.alias("text"), X.tokenize(text).alias("t"))
-    return df.select("doc_id", classify.classify_noise(F.col("text"), F.col("t"), SAMPLE.noise)["reason"].alias("reason"))
+    df, found = with_terms(df, "text", (), classify.noise_terms(SAMPLE.noise))
+    return df.select("doc_id", classify.classify_noise(found, F.col("t"), SAMPLE.noise)["reason"].alias("reason"))
 
 
 @query("factuality", f"""
@@ -564,7 +568,8 @@ SELECT doc_id, CASE WHEN f >= c THEN 'FACTUAL_NEWS' ELSE 'COMMENTARY' END AS ver
 def _(s, d):
     text = F.coalesce("text", F.lit(""))
     df = table(s, d, "documents").select("doc_id", text.alias("text"), X.tokenize(text).alias("t"))
-    v = classify.classify_factuality(F.col("text"), F.col("t"), F.col("text").rlike("\\d"), SAMPLE.verbs, SAMPLE.factual, SAMPLE.commentary)
+    df, found = with_terms(df, "text", (), [*SAMPLE.factual, *SAMPLE.commentary])
+    v = classify.classify_factuality(found, F.col("t"), F.col("text").rlike("\\d"), SAMPLE.verbs, SAMPLE.factual, SAMPLE.commentary)
     return df.select("doc_id", v.alias("v")).select("doc_id", "v.verdict", F.round("v.confidence", 6).alias("confidence"))
 
 
