@@ -82,7 +82,7 @@ def classified(df: DataFrame, lexicon: Lexicon) -> DataFrame:
     df, text = with_terms(
         df, "clean_text", [*C.category_terms(lexicon.categories), *lexicon.high, *lexicon.medium], [*C.noise_terms(lexicon.noise), *lexicon.factual, *lexicon.commentary]
     )
-    tokens, has_figures = F.col("tokens"), _has("figures")
+    df, tokens, has_figures = written(df), F.col("tokens"), _has("figures")
     named = _has("symbols") | _has("organizations") | _has("commodities") | _has("people") | _has("countries")
     df = df.withColumn("verdict", C.classify_category(text, tokens, lexicon.categories, named, F.col("manual"), lexicon.boosts, source_category=F.col("source_category")))
     df = df.withColumn("noise", C.classify_noise(text, tokens, lexicon.noise, F.col("is_echo"), F.col("quality_score"), F.col("strict"), F.col("manual")))
@@ -131,13 +131,14 @@ def process(posts: DataFrame, sources: DataFrame, lexicon: Lexicon, now: Column
     )
     none = {"form": "string", "items": "array<string>", "title": "string", "cik": "string"}
     posts = posts.withColumns({c: F.lit(None).cast(t) for c, t in none.items() if c not in posts.columns})
-    df = normalize(posts).join(known, "source_id", "left").withColumns(
+    # Each step is written before the next: its columns are used many times over, and would be spelled out at each use.
+    df = written(normalize(posts)).join(known, "source_id", "left").withColumns(
         {
             "manual": F.coalesce(F.col("source_type") == "manual", F.lit(False)), "strict": F.coalesce(F.col("filter_profile") == "strict", F.lit(False)),
             "official": F.coalesce("official", F.lit(False)), "enabled": F.coalesce("enabled", F.lit(False)),
         }
     )
-    df = classified(extracted(df, lexicon), lexicon)
+    df = classified(written(extracted(df, lexicon)), lexicon)
     exposures = E.exposures(lexicon.securities)
     best = F.array_max(F.transform("symbols", lambda t: F.try_element_at(exposures, t)))
     heavy = F.array(*(F.lit(x) for x in sorted(E.heavyweights(lexicon.securities)))).cast("array<string>")
@@ -147,7 +148,7 @@ def process(posts: DataFrame, sources: DataFrame, lexicon: Lexicon, now: Column
 
     empty = F.length(F.trim("clean_text")) == 0
     readable = F.col("enabled") & ~empty & F.col("verdict").isNotNull()
-    twins = find_duplicates(df.select("id", "headline", F.col("clean_text").alias("text"), "url", "ts", F.concat("symbols", "countries").alias("names"), readable.alias("readable")))
+    twins = find_duplicates(df.select("id", "headline", F.col("clean_text").alias("text"), "tokens", "url", "ts", F.concat("symbols", "countries").alias("names"), readable.alias("readable")))
     df = df.join(written(twins.select("id", "matched_id", F.col("reason").alias("twin_reason"), F.col("similarity").alias("twin_similarity"))), "id", "left")
     manual = F.col("manual")
     large = C.has_subject(F.col("category"), _has("symbols"), F.coalesce(F.trim("cik") != "", F.lit(False)), _has("organizations"), F.col("figures"))

@@ -24,7 +24,7 @@ from tidewire.plans import posts as P
 from tidewire.plans import sql as Q
 from tidewire.plans.lexicons import SAMPLE
 from tidewire.sources import feeds, relay
-from tidewire.sources.shared import written
+from tidewire.sources.shared import spread, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,7 +44,9 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A table; texts, on which most work is done row by row, over all cores however few their files are."""
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def ts(text: str) -> Column:

@@ -25,3 +25,12 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The table, dealt over all cores where it comes in fewer pieces: a small table in one file would keep one core busy.
+
+    A table of as many pieces as there are cores, or more, is left as it is, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
