@@ -169,15 +169,15 @@ def test_urls(spark):
 
 def test_vocabulary_from_a_table(spark, tmp_path):
     path = f"file://{tmp_path}/terms"
-    rows = [("Darkshop", True, None), ("deal", False, 0.5), ("win", None, 1.5), ("deal", False, 0.25), ("both", False, 9.0), ("both", True, None), (None, True, None), ("", False, 1.0)]
+    rows = [("Darkshop", True, None), ("deal", False, 0.5), ("win", None, 1.5), ("deal", False, 0.25), ("heavy", False, 5.0), ("both", False, 9.0), ("both", True, None), (None, True, None), ("", False, 1.0)]
     spark.createDataFrame(rows, "term string, strict boolean, weight double").write.parquet(path)
     own = url_filter.read_vocabulary(spark.read.parquet(path))
-    assert own.strict == {"darkshop", "both"} and own.soft == {"deal": 0.5, "win": 1.5}
+    assert own.strict == {"darkshop", "both"} and own.soft == {"deal": 0.5, "win": 1.5, "heavy": 5.0}
     long_ = "http://a.org/" + "x/" * 60_000 + "win/deal"
-    urls = ["http://a.org/deal/deal", "http://a.org/win?x=deal", "http://a.org/DARKSHOP", "http://a.org/darkshops", long_, None]
+    urls = ["http://a.org/deal/deal", "http://a.org/win?x=deal", "http://a.org/DARKSHOP", "http://a.org/darkshops", long_, None, "http://a.org/heavy/heavy"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
     got = {r.page_id: (r.verdict, r.n_soft) for r in url_filter.judge_urls(df, vocabulary=own).collect()}
-    assert got == {0: ("allow", 2), 1: ("block", 2), 2: ("block", 0), 3: ("allow", 0), 4: ("block", 2), 5: ("allow", 0)}
+    assert got == {0: ("allow", 2), 1: ("block", 2), 2: ("block", 0), 3: ("allow", 0), 4: ("block", 2), 5: ("allow", 0), 6: ("allow", 2)}
     none = url_filter.Vocabulary.of((), ())
     assert {r.verdict for r in url_filter.judge_urls(df, vocabulary=none).collect()} == {"allow"}
 

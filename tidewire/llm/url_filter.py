@@ -139,7 +139,7 @@ def judge_urls(
     """Judges ``url`` of each row of (``page_id``, ``url``); other columns are ignored.
 
     The rule that fits decides; without one, the vocabulary does: ``block`` on
-    one strict term or different soft terms that weigh ``soft_weight`` together,
+    one strict term, or two different soft terms or more that weigh ``soft_weight`` together,
     else ``allow``.  Null and malformed URLs have an empty host and path, fit no
     rule, and are judged by their terms (null: none).  Repeated rows are judged
     alike, and each stays; an empty table gives an empty table.
@@ -147,7 +147,7 @@ def judge_urls(
     rows = count_terms(pages.select("page_id", "url"), "url", vocabulary)
     rows = rows.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
     rows = rows.withColumn("_rule", host_rule(F.col("host"), F.col("path"), rules))
-    own = F.when((F.col("n_strict") > 0) | (F.col("soft_weight") >= soft_weight), "block").otherwise("allow")
+    own = F.when((F.col("n_strict") > 0) | ((F.col("n_soft_terms") >= 2) & (F.col("soft_weight") >= soft_weight)), "block").otherwise("allow")
     return rows.select(
         "page_id", "host", "path",
         F.col("_rule.rule").alias("rule"),
