@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import classify, cluster, dedupe, desk, links
 from tidewire.operators.extract import Security
-from tidewire.plans.posts import Lexicon, process
+from tidewire.plans.posts import Lexicon, normalize, process
 from tidewire.sources import shared
 
 T0 = datetime(2026, 5, 28, 12, 0)
@@ -264,3 +264,28 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         shared.work_dir(Session())
+
+
+def test_names_speak_for_categories(spark):
+    schema = "i int, tickers array<struct<ticker:string,confidence:double>>, countries array<string>, organizations array<string>, people array<string>, commodities array<string>"
+    rows = [
+        (0, [("A", 0.8)], ["US", "IR"], ["Fed", "BLS"], ["Trump", "POWELL"], ["OIL"]), (1, [("A", 0.7)], ["US"], ["ACME"], ["ANNA"], []), (2, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    boosts = classify.entity_boosts(*(F.col(c) for c in df.columns[1:]))
+    got = {r.i: r.asDict() for r in df.select("i", *(c.alias(n) for n, c in boosts.items())).collect()}
+    assert got[0] == {"i": 0, "EQUITY": 2.0, "EARNINGS": 2.0, "GEOPOLITICAL": 3.0, "COMMODITY": 2.0, "FED": 4.5, "ECONOMIC": 2.0}
+    assert set(got[1].values()) == {1, 0.0} and set(got[2].values()) == {2, 0.0}
+    c = classify.Category("EARNINGS", ["eps"])
+    said = spark.createDataFrame([("eps up", 0), ("shares up", 1)], "x string, i int")
+    score = classify.category_score(F.col("x"), F.split("x", " "), c, F.lit(2.0))
+    assert [r.s for r in said.orderBy("i").select(score.alias("s")).collect()] == [3.0, 0.0]
+
+
+def test_a_quote_that_copies_is_an_echo(spark):
+    rows = [
+        (1, "Iran and US reach nuclear deal after talks", "Iran and US reach nuclear deal after talks"), (2, "Sources tell us the deal excludes missiles", "Iran and US reach nuclear deal after talks"),
+        (3, "RT @wire: https://x.example/1", None), (4, "Plain post", None), (5, "", "Iran"), (6, None, None),
+    ]
+    got = {r.id: r.is_echo for r in normalize(spark.createDataFrame(rows, "id int, text string, quoted_text string")).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: False, 6: False}

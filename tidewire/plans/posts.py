@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as X
 from tidewire.functions.figures import extract_figures
+from tidewire.functions.simhash import simhash64, text_similarity
 from tidewire.functions.terms import with_terms
 from tidewire.functions.times import too_old
 from tidewire.operators import classify as C
@@ -41,12 +42,16 @@ class Lexicon:
     organizations: Mapping[str, Sequence[str]] = field(default_factory=dict)
     people: Mapping[str, Sequence[str]] = field(default_factory=dict)
     commodities: Mapping[str, Sequence[str]] = field(default_factory=dict)
-    #: Further evidence for categories, as columns over what ``extracted`` adds.
+    #: Further evidence for categories beside the names in a post, as columns over what ``extracted`` adds.
     boosts: Mapping[str, Column] = field(default_factory=dict)
 
 
 def normalize(posts: DataFrame) -> DataFrame:
-    """Adds clean_text, headline, body, tokens, fingerprint, language to posts with a ``text``."""
+    """Adds clean_text, headline, body, tokens, fingerprint, language, is_echo to posts with a ``text``.
+
+    An echo is a relayed post without words of its own, or one (with ``quoted_text``)
+    whose own words are a copy of what it quotes.
+    """
     raw = F.coalesce("text", F.lit(""))
     clean = X.strip_trailing_hashtags(X.strip_handles(X.strip_urls(X.decode_entities(raw))))
     df = posts.withColumn("clean_text", X.normalize_whitespace(clean)).withColumn("_parts", X.headline_and_body(F.col("clean_text")))
@@ -61,6 +66,11 @@ def normalize(posts: DataFrame) -> DataFrame:
             "is_echo": raw.rlike("(?i)^\\s*RT\\s+@") & (F.col("clean_text") == ""),
         }
     )
+    if "quoted_text" in posts.columns:
+        quoted = X.tokenize(F.coalesce("quoted_text", F.lit("")))
+        alike = text_similarity(F.col("tokens"), simhash64(F.col("tokens")), quoted, simhash64(quoted)) > 0.9
+        copies = (F.coalesce("quoted_text", F.lit("")) != "") & (F.col("clean_text") != "") & alike
+        df = df.withColumn("is_echo", F.col("is_echo") | copies)
     return df.withColumn("fingerprint", X.fingerprint(F.col("tokens"))).drop("_parts")
 
 
@@ -84,7 +94,9 @@ def classified(df: DataFrame, lexicon: Lexicon) -> DataFrame:
     )
     df, tokens, has_figures = written(df), F.col("tokens"), _has("figures")
     named = _has("symbols") | _has("organizations") | _has("commodities") | _has("people") | _has("countries")
-    df = df.withColumn("verdict", C.classify_category(text, tokens, lexicon.categories, named, F.col("manual"), lexicon.boosts, source_category=F.col("source_category")))
+    boosts = C.entity_boosts(*(F.col(c) for c in ("tickers", "countries", "organizations", "people", "commodities")))
+    boosts |= {c: boosts[c] + more if c in boosts else more for c, more in lexicon.boosts.items()}
+    df = df.withColumn("verdict", C.classify_category(text, tokens, lexicon.categories, named, F.col("manual"), boosts, source_category=F.col("source_category")))
     df = df.withColumn("noise", C.classify_noise(text, tokens, lexicon.noise, F.col("is_echo"), F.col("quality_score"), F.col("strict"), F.col("manual")))
     df = df.withColumn("facts", C.classify_factuality(text, tokens, has_figures, lexicon.verbs, lexicon.factual, lexicon.commentary, F.col("official")))
     df = df.withColumns({"n_high": X.count_terms(text, lexicon.high), "n_medium": X.count_terms(text, lexicon.medium)}).drop(*(c for c in df.columns if c.startswith("_terms_")))
