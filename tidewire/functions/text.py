@@ -23,7 +23,7 @@ ENTITIES = (
     ("rsquo|lsquo", "'"), ("rdquo|ldquo", '"'), ("mdash|ndash", "-"),
 )
 
-_TOKEN = "\\d+(?:[.,]\\d+)*|[a-z][a-z0-9]*(?:-[a-z0-9]+)*"
+TOKEN = "\\d+(?:[.,]\\d+)*|[a-z][a-z0-9]*(?:-[a-z0-9]+)*"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,7 +59,7 @@ def tokenize(c: Column) -> Column:
     """Lower-case words and numbers: hyphenated words and decimals whole, possessives folded."""
     low = F.translate(F.lower(c), "‘’", "''")
     low = F.regexp_replace(low, "([a-z0-9])'s\\b", "$1")
-    return F.regexp_extract_all(low, F.lit(_TOKEN), F.lit(0))
+    return F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
 
 
 def significant(tokens: Column) -> Column:

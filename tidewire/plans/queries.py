@@ -17,9 +17,10 @@ from tidewire.functions import text as X
 from tidewire.functions import times as T
 from tidewire.functions.figures import extract_figures
 from tidewire.functions.simhash import simhash64
+from tidewire.functions.sql_surface import register_sql
 from tidewire.functions.terms import with_terms
 from tidewire.functions.urls import canonical_url, post_ids
-from tidewire.operators import calendar, classify, cluster, dedupe, desk, earnings, extract, health, impact, merge, provenance, render, replay, reports, score
+from tidewire.operators import buckets, calendar, classify, cluster, dedupe, desk, earnings, extract, health, impact, merge, provenance, render, replay, reports, score, sketches
 from tidewire.plans import posts as P
 from tidewire.plans import sql as Q
 from tidewire.plans.lexicons import SAMPLE
@@ -1248,3 +1249,64 @@ def _(s, d):
         # The second run finds nothing new, and delivers nothing twice.
         ledger.deliver(payloads, f"{path}/ledger", f"{path}/checkpoint").awaitTermination()
     return ledger.delivered(s, f"{path}/ledger").select("event_id", "payload")
+
+
+@query("sketched_percentiles", "SELECT event_type, count(*) AS n, true AS p50_near, true AS p95_near, true AS users_near FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' GROUP BY 1")
+def _(s, d):
+    """Quantiles and distinct users merged from hourly sketches, held against the exact ones: ranks within 3 % of what was asked, counts within 5 %."""
+    events, low, high = table(s, d, "events"), ts("2024-01-05"), ts("2024-01-25")
+    stored = written(sketches.hourly_sketches(events, "ts", ["event_type"], "value", "user_id"))
+    found = sketches.percentile_range(stored, ["event_type"], [0.5, 0.95], low, high).join(sketches.distinct_range(stored, ["event_type"], low, high), "event_type")
+    exact = events.where((F.col("ts") >= low) & (F.col("ts") < high)).join(F.broadcast(found.drop("n")), "event_type").groupBy("event_type", "members")
+    share = lambda p: (F.avg((F.col("value") < F.col(p)).cast("double")), F.avg((F.col("value") <= F.col(p)).cast("double")))
+    rows = exact.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), *(c.alias(f"{p}_{i}") for p in ("p50", "p95") for i, c in enumerate(share(p))))
+    near = lambda p, at: ((F.col(f"{p}_0") <= at + 0.03) & (F.col(f"{p}_1") >= at - 0.03)).alias(f"{p}_near")
+    return rows.select("event_type", "n", near("p50", 0.5), near("p95", 0.95), (F.abs(F.col("members") - F.col("users")) <= 0.05 * F.col("users")).alias("users_near"))
+
+
+@query("bucketed_upsert", """
+SELECT o_orderkey, arg_max(o_orderstatus, v) AS o_orderstatus, arg_max(o_totalprice, v) AS o_totalprice, max(v) AS version FROM (
+  SELECT o_orderkey, o_orderstatus, o_totalprice, 0 AS v FROM orders UNION ALL SELECT o_orderkey, 'X', o_totalprice + 1, 1 FROM orders WHERE o_orderkey % 50 = 7) GROUP BY 1""")
+def _(s, d):
+    from tidewire.sources.shared import work_dir
+
+    path = f"{work_dir(s)}/orders"
+    rows = table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.lit(0).alias("version"))
+    buckets.create_table(rows, path, ["o_orderkey"], "version")
+    changes = rows.where("o_orderkey % 50 = 7").select("o_orderkey", F.lit("X").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit(1).alias("version"))
+    buckets.upsert_table(s, path, changes, ["o_orderkey"], "version")
+    return s.read.parquet(path).drop("bucket")
+
+
+@query("stream_sessions", """
+WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 14400000000 THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+r AS (SELECT user_id AS key, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n FROM s GROUP BY user_id, k)
+SELECT * FROM r WHERE last_at + INTERVAL 4 HOUR < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def _(s, d):
+    from tidewire.streaming.queries import drain_in_pieces, sessions_stream
+
+    rows = table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    df = drain_in_pieces(rows, "ts", lambda x: sessions_stream(x, "ts", "user_id", "4 hours"))
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_at", "last_at")})
+
+
+@query("stream_sliding_counts", """
+WITH w AS (SELECT event_type AS key, time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS start FROM events, (VALUES (0), (1), (2), (3)) v(k))
+SELECT key, start, count(*) AS n FROM w WHERE start + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2""")
+def _(s, d):
+    from tidewire.streaming.queries import drain_in_pieces, sliding_counts_stream
+
+    rows = table(s, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    df = drain_in_pieces(rows, "ts", lambda x: sliding_counts_stream(x, "ts", "event_type", "24 hours", "6 hours"))
+    return df.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("sql_fingerprints", SQL["fingerprint_groups"])
+def _(s, d):
+    """As ``fingerprint_groups``, in SQL alone."""
+    register_sql(s)
+    table(s, d, "documents").createOrReplaceTempView("tidewire_documents")
+    return s.sql("""
+        SELECT fingerprint_of(coalesce(text, '')) AS fingerprint, count(*) AS n, min(doc_id) AS first_key
+        FROM tidewire_documents GROUP BY 1 HAVING count(*) > 1""")

@@ -89,3 +89,16 @@ def drain_in_pieces(rows: DataFrame, ts: str, job: Callable[[DataFrame], DataFra
         rows.where(F.coalesce(at, F.lit(0)) == i).write.mode("append").parquet(f"{path}/in")
         found = drain(job(spark.readStream.schema(rows.schema).parquet(f"{path}/in")), path, spark)
     return found
+
+
+def sessions_stream(events: DataFrame, ts: str, key: str, gap: str, late: str = "10 minutes") -> DataFrame:
+    """Sessions of a key: events no further apart than the gap, put out when none can join any more; late ones merge sessions that they lie between."""
+    rows = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), F.col(key).alias("key"))
+    rows = rows.agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_at"), F.max(ts).alias("last_at"))
+    return rows.select("key", "first_at", "last_at", "n")
+
+
+def sliding_counts_stream(events: DataFrame, ts: str, key: str, length: str, step: str, late: str = "10 minutes") -> DataFrame:
+    """Events by key in windows of a length that begin at every step, put out when a window can get no more."""
+    rows = events.withWatermark(ts, late).groupBy(F.window(ts, length, step), F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("key", F.col("window.start").alias("start"), "n")
