@@ -7,6 +7,7 @@ that suppliers report.
 
 from __future__ import annotations
 
+import dataclasses
 import re
 from collections.abc import Callable
 
@@ -1310,3 +1311,103 @@ def _(s, d):
     return s.sql("""
         SELECT fingerprint_of(coalesce(text, '')) AS fingerprint, count(*) AS n, min(doc_id) AS first_key
         FROM tidewire_documents GROUP BY 1 HAVING count(*) > 1""")
+
+
+@query("novelty_decay", """
+WITH c AS (SELECT event_id, user_id, value, epoch_us(ts) // 1000 AS ms, row_number() OVER w AS k, first_value(epoch_us(ts) // 1000) OVER w AS began FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+v AS (SELECT event_id, k, 100 - least(70.0, (k - 1) * 18.0) - least(20.0, greatest(0.0, (ms - began) / 60000.0) * 0.25) + greatest(0.0, (1 - (event_id % 101) / 100.0) * 30) AS raw FROM c)
+SELECT event_id, round(CASE WHEN k = 1 THEN 100.0 ELSE least(100.0, greatest(0.0, raw)) END, 4) AS novelty FROM v""")
+def _(s, d):
+    """A user's events as posts on one story: of so many sources before, so long after the first, and so alike."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    df = table(s, d, "events").select("event_id", ms.alias("ms"), F.first(ms).over(order).alias("began"), F.row_number().over(order).alias("k"))
+    value = score.novelty(F.col("k") - 1, (F.col("ms") - F.col("began")) / 60_000.0, (F.col("event_id") % 101) / 100.0, F.col("k") == 1)
+    return df.select("event_id", r4(value).alias("novelty"))
+
+
+@query("events_per_minute", f"""
+SELECT count_if(event_type = 'purchase') AS published, round(count_if(event_type = 'purchase') / 720.0, 3) AS events_per_minute FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY""")
+def _(s, d):
+    return reports.events_per_minute(table(s, d, "events"), "ts", ts("2024-01-30 00:00:00"), ts(NOW), F.col("event_type") == "purchase")
+
+
+@query("allowed_messages", r"""
+WITH c AS (SELECT source AS channel_id, CASE WHEN min(doc_id) % 2 = 0 THEN [lang || ' desk' FOR lang IN list_sort(list(DISTINCT lang))][1:2] END AS authors FROM documents GROUP BY source)
+SELECT doc_id AS id, source AS channel_id, upper(lang) || ' Desk#' || (doc_id % 10000) AS author FROM documents JOIN c ON c.channel_id = source
+WHERE authors IS NULL OR len(authors) = 0 OR list_contains(authors, lower(lang) || ' desk')""")
+def _(s, d):
+    """Documents as messages of their source's channel; half of the channels take the first two languages only."""
+    docs = table(s, d, "documents")
+    few = F.slice(F.transform(F.array_sort(F.collect_set("lang")), lambda x: F.concat(x, F.lit(" desk"))), 1, 2)
+    channels = docs.groupBy(F.col("source").alias("channel_id")).agg(F.when(F.min("doc_id") % 2 == 0, few).alias("authors"))
+    author = F.concat(F.upper("lang"), F.lit(" Desk#"), (F.col("doc_id") % 10000).cast("string"))
+    messages = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("channel_id"), author.alias("author"))
+    return feeds.allowed(messages, channels).select("id", "channel_id", "author")
+
+
+@query("resolved_posts", r"""
+WITH p AS (SELECT doc_id, doc_id % 997 AS post_id FROM documents),
+s AS (SELECT doc_id % 499 AS post_id, arg_max(text, length(text)) AS text FROM documents WHERE doc_id % 3 = 0 AND trim(coalesce(text, '')) <> '' GROUP BY 1),
+r AS (SELECT doc_id % 811 AS post_id, max(length(text)) AS n FROM documents WHERE doc_id % 3 = 1 AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 12 GROUP BY 1)
+SELECT p.doc_id, CASE WHEN s.post_id IS NOT NULL THEN 'stored' WHEN r.post_id IS NOT NULL THEN 'relay' END AS resolved_by, CAST(coalesce(length(s.text), r.n) AS INTEGER) AS n_chars
+FROM p LEFT JOIN s USING (post_id) LEFT JOIN r USING (post_id)""")
+def _(s, d):
+    """Posts known by an id, whose text is that of stored or relayed documents; texts are compared by length, as the longest are taken."""
+    docs, key = table(s, d, "documents"), F.col("doc_id")
+    known = lambda of, rest: docs.where(key % 3 == rest).select((key % of).alias("post_id"), "text", F.lit(None).cast("timestamp").alias("published_at"))
+    rows = relay.resolve(docs.select("doc_id", (key % 997).alias("post_id")), known(499, 0), known(811, 1))
+    return rows.select("doc_id", "resolved_by", F.length("text").alias("n_chars"))
+
+
+@query("publication_times", """
+SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN make_timestamp(2026, 5, CAST(doc_id % 28 + 1 AS INTEGER), 1, 2, 3) END, CASE WHEN doc_id % 5 = 0 THEN make_timestamp(2026, 4, CAST(doc_id % 28 + 1 AS INTEGER), 4, 5, 6) END,
+  CASE WHEN doc_id % 7 > 0 THEN make_timestamp(2026, 3, CAST(doc_id % 28 + 1 AS INTEGER), 7, 8, 9) END) AS published_at FROM documents""")
+def _(s, d):
+    key = F.col("doc_id")
+    at = lambda month, clock: F.format_string(f"2026-{month:02}-%02dT{clock}Z", key % 28 + 1)
+    embed, origin = F.when(key % 3 == 0, at(5, "01:02:03")).otherwise("soon"), F.when(key % 5 == 0, at(4, "04:05:06"))
+    message = F.when(key % 7 > 0, at(3, "07:08:09"))
+    df = table(s, d, "documents").select("doc_id", relay.publication_time(embed, origin, message).alias("published_at"))
+    return df.withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+
+
+@query("text_chunks", """
+SELECT doc_id, length(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')) AS n_chars, true AS fits FROM documents""")
+def _(s, d):
+    """Whole texts in messages of at most 2,000 characters: none is longer, and nothing but white space is lost."""
+    text = F.coalesce("text", F.lit(""))
+    parts = render.chunks(text, 2000)
+    bare = F.regexp_replace(F.array_join(parts, ""), "\\s+", "")
+    fits = F.forall(parts, lambda p: F.length(p) <= 2000) & (bare == F.regexp_replace(text, "\\s+", ""))
+    return table(s, d, "documents").select("doc_id", F.length(bare).alias("n_chars"), fits.alias("fits"))
+
+
+@query("security_master", """
+SELECT 'T' || p_partkey AS ticker, p_name || ', "' || p_brand || '"' AS name, len(string_split(p_name, ' ')) AS n_aliases, CASE WHEN p_size % 3 = 0 THEN 'safe' ELSE 'ambiguous' END AS ambiguity,
+  CAST(CASE WHEN p_size % 5 = 0 THEN 50 ELSE p_size END AS INTEGER) AS priority FROM part""")
+def _(s, d):
+    """Parts written as a file of securities, with quotes and commas in their names, and read back."""
+    from tidewire.sources.shared import work_dir
+
+    path = f"{work_dir(s)}/securities"
+    rows = table(s, d, "part").select(
+        F.format_string("t%d", "p_partkey").alias("ticker"), F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"')).alias("name"), F.replace("p_name", F.lit(" "), F.lit("|")).alias("aliases"),
+        F.lit("NYSE").alias("exchange"), F.when(F.col("p_size") % 3 == 0, "safe").alias("ambiguity"), F.lit("SPX|NDX").alias("indices"), F.lit(None).cast("string").alias("sector"),
+        F.when(F.col("p_size") % 5 > 0, F.col("p_size")).alias("priority"),
+    )
+    rows.write.csv(path, header=True, quote='"', escape='"')
+    return feeds.read_securities(s, path).select("ticker", "name", F.size("aliases").alias("n_aliases"), "ambiguity", "priority")
+
+
+@query("replayed_posts")
+def _(s, d):
+    """Stored posts put through today's classifier again: how each verdict of a lexicon without its noise words and with one category less fares now."""
+    rows = _posts(s, d)
+    sources = rows.select("source_id").distinct().select(
+        "source_id", F.lit(True).alias("enabled"), F.lit("rss").alias("source_type"), F.lit(90.0).alias("quality_score"), F.lit(5.0).alias("noise_score"),
+        F.lit(False).alias("official"), F.lit("standard").alias("filter_profile"), F.lit("ECONOMIC").alias("category"),
+    )
+    earlier = dataclasses.replace(SAMPLE, noise={}, categories=SAMPLE.categories[:-1])
+    stored = written(P.process(rows, sources, earlier).select("id", "status", "rejection_reason"))
+    return desk.verdict_changes(stored, written(P.process(rows, sources, SAMPLE).select("id", "status", "rejection_reason")))
