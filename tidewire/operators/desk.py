@@ -47,10 +47,11 @@ def routed(messages: DataFrame, routes: DataFrame) -> DataFrame:
 
     A route has channel, destination, and author and contains: parts of the author's
     name and of the text, whatever the case; null or empty fits all.  A message goes
-    to a destination once, however many routes lead there.
+    to a destination once, however many routes lead there.  Routes are broadcast only
+    below Spark's own threshold.
     """
     part = lambda whole, piece: F.coalesce(piece, F.lit("")).eqNullSafe("") | F.contains(F.lower(F.coalesce(whole, F.lit(""))), F.lower(piece))
-    rows = messages.alias("m").join(F.broadcast(routes).alias("r"), F.col("m.channel") == F.col("r.channel"))
+    rows = messages.alias("m").join(routes.alias("r"), F.col("m.channel") == F.col("r.channel"))
     fits = part(F.col("m.author"), F.col("r.author")) & part(F.col("m.text"), F.col("r.contains"))
     return rows.where(fits).select("m.*", F.col("r.destination").alias("destination")).distinct()
 

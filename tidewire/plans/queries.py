@@ -1411,3 +1411,10 @@ def _(s, d):
     earlier = dataclasses.replace(SAMPLE, noise={}, categories=SAMPLE.categories[:-1])
     stored = written(P.process(rows, sources, earlier).select("id", "status", "rejection_reason"))
     return desk.verdict_changes(stored, written(P.process(rows, sources, SAMPLE).select("id", "status", "rejection_reason")))
+
+
+@query("replay_report", f"""
+SELECT count(*) AS candidates, count_if(result = 'READY') AS ready, count_if(result = 'SKIPPED') AS skipped,
+  count_if(result = 'SKIPPED' AND reason = 'unknown') AS skipped_unknown_time, count_if(result = 'UNRESOLVABLE') AS unresolvable FROM ({SQL["delivery_replay"]})""")
+def _(s, d):
+    return replay.replay_report(QUERIES["delivery_replay"](s, d))
