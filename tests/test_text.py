@@ -96,3 +96,17 @@ def test_times(spark):
     fresh = lambda m: tuple(one(spark, T.freshness(F.col("x") - F.make_dt_interval(mins=F.lit(m)), F.col("x"), 30), x=at))
     assert [fresh(m) for m in (1, 31, -6)] == [(True, None), (False, "stale"), (False, "future")]
     assert not one(spark, T.too_old(F.lit(None).cast("timestamp"), F.col("x"), 15), x=at)
+
+
+def test_a_text_is_read_once_by_each_step(spark):
+    """No step spells out the one before it: the plan of a headline names the cleaned text's first step once."""
+    from tidewire.functions import text as X
+
+    rows = spark.createDataFrame([("a  b\t\tc  d &amp; x's's it's — the whole of a body told again and again",)], "text string")
+    df = rows.select(X.headline_and_body(X.strip_handles(X.strip_urls(X.decode_entities(F.col("text"))))).alias("p"))
+    assert df.first()[0][0] == "A B C D & X'S'S IT'S"
+    assert df._jdf.queryExecution().executedPlan().toString().count("&(?:amp|#38);") == 1
+    blanks = "   　﻿ \t\n\x0b"
+    odd = [f"x{a}{b}y{b}" for a in blanks for b in blanks]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").select("i", X.normalize_whitespace(F.col("t"))).collect()
+    assert {r[1] for r in got} == {"x y"}

@@ -23,7 +23,8 @@ ENTITIES = (
     ("rsquo|lsquo", "'"), ("rdquo|ldquo", '"'), ("mdash|ndash", "-"),
 )
 
-TOKEN = "\\d+(?:[.,]\\d+)*|[a-z][a-z0-9]*(?:-[a-z0-9]+)*"
+#: Without ways back: none of them could match otherwise.
+TOKEN = "\\d++(?:[.,]\\d++)*+|[a-z][a-z0-9]*+(?:-[a-z0-9]++)*+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -31,9 +32,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_BLANK = "\\s\\u00a0\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+
+
 def normalize_whitespace(c: Column) -> Column:
-    """Runs of white space to one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, "[\\s\\u00a0\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+", " "))
+    """Runs of white space to one space, none at the ends; the single spaces that most runs are stay as they are."""
+    return F.trim(F.regexp_replace(c, f"(?![ -~])[{_BLANK}]+| (?![!-~])[{_BLANK}]+", " "))
+
+
+def where_marked(c: Column, mark: str, change: Callable[[Column], Column]) -> Column:
+    """A change of the texts that hold a mark, without which it would change nothing."""
+    return let(c, lambda x: F.when(F.contains(x, F.lit(mark)), change(x)).otherwise(x))
 
 
 def urls_in(c: Column) -> Column:
@@ -41,24 +50,24 @@ def urls_in(c: Column) -> Column:
 
 
 def strip_urls(c: Column) -> Column:
-    return normalize_whitespace(F.regexp_replace(c, "(?i)\\bhttps?://[^\\s<>\"')]+", " "))
+    return normalize_whitespace(where_marked(c, "://", lambda x: F.regexp_replace(x, "(?i)\\bhttps?://[^\\s<>\"')]+", " ")))
 
 
 def strip_handles(c: Column) -> Column:
     """Without a leading retweet mark and without @handles."""
-    c = F.regexp_replace(c, "(?i)^\\s*RT\\s+@[A-Za-z0-9_]{1,15}:\\s*", "")
-    return normalize_whitespace(F.regexp_replace(c, "(^|\\s)@[A-Za-z0-9_]{1,15}\\b", "$1"))
+    bare = lambda x: F.regexp_replace(x, "(?i)^\\s*RT\\s+@[A-Za-z0-9_]{1,15}:\\s*", "")
+    return normalize_whitespace(where_marked(c, "@", lambda x: F.regexp_replace(bare(x), "(^|\\s)@[A-Za-z0-9_]{1,15}\\b", "$1")))
 
 
 def strip_trailing_hashtags(c: Column) -> Column:
     """Without three or more hashtags at the end."""
-    return F.trim(F.regexp_replace(c, "(?:\\s*#[A-Za-z0-9_]+){3,}\\s*$", ""))
+    return F.trim(where_marked(c, "#", lambda x: F.regexp_replace(x, "(?:\\s*#[A-Za-z0-9_]+){3,}\\s*$", "")))
 
 
 def tokenize(c: Column) -> Column:
     """Lower-case words and numbers: hyphenated words and decimals whole, possessives folded."""
     low = F.translate(F.lower(c), "‘’", "''")
-    low = F.regexp_replace(low, "([a-z0-9])'s\\b", "$1")
+    low = where_marked(low, "'s", lambda x: F.regexp_replace(x, "([a-z0-9])'s\\b", "$1"))
     return F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
 
 
@@ -69,7 +78,7 @@ def significant(tokens: Column) -> Column:
 
 def fingerprint(tokens: Column) -> Column:
     """Identity of a text's significant content, whatever its order: 32 hexadecimal digits."""
-    words = F.array_sort(F.array_distinct(significant(tokens)))
+    words = F.sort_array(F.array_distinct(significant(tokens)))
     return F.substring(F.sha2(F.array_join(words, " "), 256), 1, 32)
 
 
@@ -103,7 +112,10 @@ def truncate_words(c: Column, limit: int) -> Column:
 
 def headline_and_body(c: Column) -> Column:
     """struct(headline, body): cut at a dash, or after the first sentence; a long text without either is shortened."""
-    text = normalize_whitespace(c)
+    return let(normalize_whitespace(c), _headline_and_body)
+
+
+def _headline_and_body(text: Column) -> Column:
     dash = "^(.{15,120}?)\\s+[—–]\\s+(.+)$"
     sentence = "^(.*?[.!?])\\s+(?=[A-Z\"“'])(.*)$"
 
@@ -127,6 +139,10 @@ def is_all_caps(c: Column) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """Named entities, and numbered ones of characters up to U+00FF and common marks beyond."""
+    return where_marked(c, "&", _decoded)
+
+
+def _decoded(c: Column) -> Column:
     for names, value in ENTITIES:
         c = F.regexp_replace(c, f"(?i)&(?:{names});", value.replace("\\", "\\\\").replace("$", "\\$"))
     numbers = F.array_distinct(F.regexp_extract_all(c, F.lit("&#(\\d{1,3});"), F.lit(1)))

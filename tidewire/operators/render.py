@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import escape_markdown, normalize_whitespace, tokenize, truncate_words
+from tidewire.functions.text import escape_markdown, let, normalize_whitespace, tokenize, truncate_words
 
 
 def alert_headline(c: Column, limit: int = 60) -> Column:
@@ -15,9 +15,14 @@ def alert_headline(c: Column, limit: int = 60) -> Column:
 
 def alert_body(headline: Column, body: Column, limit: int = 320) -> Column:
     """The body, shortened; empty if all its words are in the headline."""
-    text = normalize_whitespace(body)
-    restates = F.size(F.array_except(tokenize(text), tokenize(headline))) == 0
-    return F.when(restates | text.isNull(), "").otherwise(truncate_words(text, limit))
+
+    def shortened(text: Column) -> Column:
+        told = lambda part: F.size(F.array_except(tokenize(part), tokenize(headline))) == 0
+        # No token goes over a space: mostly the first words show that there is more, and the whole body is not cut into tokens.
+        restates = told(F.substring_index(text, " ", 24)) & told(text)
+        return F.when(restates | text.isNull(), "").otherwise(truncate_words(text, limit))
+
+    return let(normalize_whitespace(body), shortened)
 
 
 def render_alert(masthead: Column, headline: Column, when: Column, body: Column) -> Column:

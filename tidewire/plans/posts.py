@@ -55,14 +55,16 @@ def normalize(posts: DataFrame) -> DataFrame:
     raw = F.coalesce("text", F.lit(""))
     clean = X.strip_trailing_hashtags(X.strip_handles(X.strip_urls(X.decode_entities(raw))))
     df = posts.withColumn("clean_text", X.normalize_whitespace(clean)).withColumn("_parts", X.headline_and_body(F.col("clean_text")))
-    letters = F.length(F.regexp_replace("clean_text", "\\P{L}", ""))
-    latin = F.length(F.regexp_replace("clean_text", "\\P{IsLatin}", ""))
+    letters = F.length(F.regexp_replace("clean_text", "\\P{L}+", ""))
+    latin = F.length(F.regexp_replace("clean_text", "\\P{IsLatin}+", ""))
+    # Counted only where there is another letter at all.
+    other = F.col("clean_text").rlike("[\\p{L}&&\\P{IsLatin}]")
     df = df.withColumns(
         {
             "headline": F.col("_parts.headline"),
             "body": F.col("_parts.body"),
             "tokens": X.tokenize(F.col("clean_text")),
-            "language": F.when((letters - latin) > 0.3 * F.greatest(letters, F.lit(1)), "non-latin").otherwise("en"),
+            "language": F.when(other & ((letters - latin) > 0.3 * F.greatest(letters, F.lit(1))), "non-latin").otherwise("en"),
             "is_echo": raw.rlike("(?i)^\\s*RT\\s+@") & (F.col("clean_text") == ""),
         }
     )

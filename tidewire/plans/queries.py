@@ -667,9 +667,10 @@ SELECT id AS doc_id, alert, regexp_matches(alert, '(^|\\s)@[A-Za-z0-9_]{{2,}}')
 def _(s, d):
     df = P.normalize(table(s, d, "documents"))
     when = T.alert_time(F.lit("2024-05-24 21:14:00").cast("timestamp"))
-    body = render.alert_body(F.col("headline"), F.col("body"))
-    text = render.render_alert(F.lit("NEWS"), render.alert_headline(F.col("headline")), when, body)
-    return df.select("doc_id", text.alias("alert"), render.leaks_metadata(text).alias("blocked"))
+    # Steps of their own, so that each is computed once.
+    df = df.select("doc_id", render.alert_headline(F.col("headline")).alias("head"), render.alert_body(F.col("headline"), F.col("body")).alias("body"))
+    df = df.select("doc_id", render.render_alert(F.lit("NEWS"), F.col("head"), when, F.col("body")).alias("alert"))
+    return df.withColumn("blocked", render.leaks_metadata(F.col("alert")))
 
 
 _NEGATIONS = ", ".join(f"'{w}'" for w in X.NEGATIONS)
