@@ -147,3 +147,16 @@ def test_reminders(spark):
     events = spark.createDataFrame([("cpi", "CPI", T0 + timedelta(minutes=61)), ("nfp", "NFP", T0 + timedelta(minutes=15)), ("old", "OLD", T0 - timedelta(minutes=1)), ("far", "FAR", T0 + timedelta(minutes=30))], "id string, name string, scheduled_at timestamp")
     fired = spark.createDataFrame([("nfp:15",)], "key string")
     assert [r.headline for r in calendar.due_reminders(events, fired, F.lit(T0)).collect()] == ["CPI IN 1 HOUR"]
+
+
+def test_near_hashes_are_merged_not_broadcast(spark):
+    from tidewire.operators.dedupe import near_hashes
+
+    hashes = [3, 2, 1 << 40, (1 << 40) + 5, 0, None, 3, -1, -2]
+    rows = spark.createDataFrame(list(enumerate(hashes)), "id int, h long")
+    found = near_hashes(rows, "id", "h")
+    one = {h: (min(i for i, x in enumerate(hashes) if x == h), hashes.count(h)) for h in hashes if h}
+    want = {(*sorted((a[0], b[0])), bin((x ^ y) & (2**64 - 1)).count("1")) for x, a in one.items() for y, b in one.items() if a[0] < b[0]}
+    assert {tuple(r)[:3] for r in found.collect()} == {w for w in want if w[2] <= 3}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
