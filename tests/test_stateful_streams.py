@@ -209,3 +209,11 @@ def test_a_batch_that_fails_is_delivered_once(spark, tmp_path):
     listed = [f for e in (tmp_path / "ledger" / "entries").glob("*.json") for f in json.loads(e.read_text())["files"]]
     rows = [json.loads(x)["event_id"] for f in listed for x in (tmp_path / "ledger" / "payloads" / f).read_text().splitlines()]
     assert len(rows) == 50
+
+
+def test_states_are_fed_rows_not_frames(spark, tmp_path):
+    """A data frame a key costs more than the few rows of most keys."""
+    rows = spark.createDataFrame([("a", datetime(2024, 1, 1), True, 1)], "source_id string, ts timestamp, ok boolean, items int")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = health_timers_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    assert "InPandas" not in stream._jdf.queryExecution().analyzed().toString()

@@ -2,16 +2,18 @@
 
 Each processor takes a micro-batch's rows in order of time and lets what was due
 before a row happen first, so results don't hang on how rows fall into batches;
-timers do the rest when the watermark has passed and no row comes.
+timers do the rest when the watermark has passed and no row comes.  Rows are handled
+as rows: most keys have a few in a batch, and a data frame a key would cost more than
+they do.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,11 +28,17 @@ DELAYS_MS, ATTEMPTS, STUCK_MS = (0, 1_000, 3_000, 10_000), 4, 600_000
 
 def _with_state(rows: DataFrame, key: str, processor: StatefulProcessor, out: str) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime")
+    return rows.groupBy(key).transformWithState(statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime")
 
 
-def _frame(rows: list[tuple], out: str) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
+def _rows(rows: list[tuple], out: str) -> Iterator[Row]:
+    named = Row(*(c.split()[0] for c in out.split(", ")))
+    return iter([named(*r) for r in rows])
+
+
+def _in_order(rows: Iterator[Row], *by: str) -> list[Row]:
+    """In the order of some columns, nulls last; equal rows as they came."""
+    return sorted(rows, key=lambda r: [(r[c] is None, 0 if r[c] is None else r[c]) for c in by])
 
 
 # ---------------------------------------------------------------- new items
@@ -49,31 +57,32 @@ class NewItems(StatefulProcessor):
         self.seen = handle.getListState("seen", "id string")
         self.newest = handle.getValueState("newest", "ms long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        items = pd.concat(list(rows)).sort_values(["polled_ms", "place"], kind="stable")
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        items = [r for r in _in_order(rows, "polled_ms", "place") if r["polled_ms"] is not None]
         seen = dict.fromkeys(r[0] for r in self.seen.get())
         held = self.newest.get()
         newest = int(held[0]) if held else None
         out: list[tuple] = []
-        for polled, poll in items.groupby("polled_ms", sort=True):
-            fresh = []
-            for item, ms in zip(poll["item_id"], poll["published_ms"]):
-                ms = None if pd.isna(ms) else int(ms)
+        for polled, together in groupby(items, key=lambda r: r["polled_ms"]):
+            fresh, times = [], []
+            for item, ms in ((r["item_id"], r["published_ms"]) for r in together):
+                if ms is not None:
+                    times.append(ms)
                 # Strictly older than what came before is late; of equal times the id decides.
                 if item in seen or newest is not None and ms is not None and ms < newest:
                     continue
                 seen[item] = None
-                fresh.append((key[0], item, int(polled), ms, newest is None))
+                fresh.append((key[0], item, polled, ms, newest is None))
             if newest is None:
                 # The order of time, undated items at the poll's.
                 fresh.sort(key=lambda r: r[2] if r[3] is None else r[3])
                 fresh = [r for r in fresh if r[3] is None or r[2] - r[3] <= FIRST_MINUTES * 60_000][-FIRST_ITEMS:]
             out += fresh
-            newest = max([newest or 0, *(int(x) for x in poll["published_ms"].dropna())])
+            newest = max([newest or 0, *times])
             seen = dict.fromkeys([*seen][-self.most :])
         self.seen.put([(i,) for i in seen])
         self.newest.update((newest,))
-        yield _frame(out, NEW_ITEMS)
+        yield from _rows(out, NEW_ITEMS)
 
     def close(self) -> None:
         pass
@@ -122,12 +131,11 @@ class Health(StatefulProcessor):
                 out.append((key[0], due, told, failures))
         return state, out
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        polls = pd.concat(list(rows)).sort_values(["ms", "ok"], kind="stable")
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        polls = _in_order(rows, "ms", "ok")
         failures, item, state, at = self.held.get() or (0, None, "ACTIVE", -1)
         out: list[tuple] = []
-        for ms, ok, items in zip(polls["ms"], polls["ok"], polls["items"]):
-            ms = int(ms)
+        for ms, ok, items in ((r["ms"], r["ok"], r["items"]) for r in polls):
             state, due = self._until(key, ms, failures, item, state, at)
             out += due
             failures, item, at = 0 if ok else failures + 1, ms if items > 0 else item, ms
@@ -143,9 +151,9 @@ class Health(StatefulProcessor):
         for due, _ in self._due(failures, item):
             if due > at:
                 self.handle.registerTimer(due)
-        yield _frame(out, HEALTH)
+        yield from _rows(out, HEALTH)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         failures, item, state, at = self.held.get() or (0, None, "ACTIVE", -1)
         due = int(expiredTimerInfo.getExpiryTimeInMs())
         # A timer of an item that is no longer the last, or of a source that has failed since, has nothing to tell.
@@ -153,7 +161,7 @@ class Health(StatefulProcessor):
         if told is None or told == state or due <= at:
             return iter(())
         self.held.update((failures, item, told, due))
-        return iter([_frame([(key[0], due, told, failures)], HEALTH)])
+        return _rows([(key[0], due, told, failures)], HEALTH)
 
     def close(self) -> None:
         pass
@@ -196,11 +204,9 @@ class Retries(StatefulProcessor):
             return (attempt, False, -1, True), [(job, ms, attempt, why), (job, ms, attempt, "GIVEN_UP")]
         return (attempt, False, ms + DELAYS_MS[min(attempt, len(DELAYS_MS) - 1)], False), [(job, ms, attempt, why)]
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ms", "place"], kind="stable")
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         held, out = self.held.get(), []
-        for ms, kind in zip(events["ms"], events["kind"]):
-            ms = int(ms)
+        for ms, kind in ((r["ms"], r["kind"]) for r in _in_order(rows, "ms", "place")):
             while held and not held[3] and held[2] <= ms:
                 held, told = self._step(key[0], tuple(held), held[2])
                 out += told
@@ -218,9 +224,9 @@ class Retries(StatefulProcessor):
             self.held.update(tuple(held))
             if not held[3]:
                 self.handle.registerTimer(int(held[2]))
-        yield _frame(out, RETRIES)
+        yield from _rows(out, RETRIES)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         held = self.held.get()
         if not held or held[3] or held[2] != expiredTimerInfo.getExpiryTimeInMs():
             return iter(())
@@ -232,7 +238,7 @@ class Retries(StatefulProcessor):
         self.held.update(tuple(held))
         if not held[3]:
             self.handle.registerTimer(int(held[2]))
-        return iter([_frame(out, RETRIES)])
+        return _rows(out, RETRIES)
 
     def close(self) -> None:
         pass
