@@ -289,3 +289,48 @@ def test_a_quote_that_copies_is_an_echo(spark):
     ]
     got = {r.id: r.is_echo for r in normalize(spark.createDataFrame(rows, "id int, text string, quoted_text string")).collect()}
     assert got == {1: True, 2: False, 3: True, 4: False, 5: False, 6: False}
+
+
+def brute_pairs(rows, floor):
+    sets = {}
+    for k, words in rows:
+        if words:
+            sets.setdefault(frozenset(words), []).append(k)
+    found, listed = set(), sorted((min(ks), s, len(ks)) for s, ks in sets.items() if s)
+    for i, (k, x, n) in enumerate(listed):
+        for o, y, m in listed[i + 1 :]:
+            if (s := len(x & y) / len(x | y)) >= floor:
+                found.add((k, o, s, n, m))
+    return found
+
+
+@pytest.mark.parametrize("floor", [0.5, 0.8, 1.0])
+@pytest.mark.parametrize("block", [60, 10_000])
+def test_alike_sets_by_blocks_without_a_shuffle_of_pairs(spark, monkeypatch, floor, block):
+    r = np.random.default_rng(3)
+    rows = [(i, [f"w{int(w)}" for w in r.zipf(1.4, int(r.integers(0, 14))) % 40]) for i in range(220)] + [(300, None), (301, []), (302, ["w1"]), (303, ["w1"])]
+    monkeypatch.setattr(dedupe, "BLOCK_WORDS", block)
+    df = dedupe.similar_pairs(spark.createDataFrame(rows, "id long, w array<string>"), "id", F.col("w"), floor)
+    got = [tuple(x) for x in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, floor)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_alike_sets_of_more_words_than_bits(monkeypatch):
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    sets = [sorted({int(w) for w in r.zipf(1.2, 30) % 5_000}) for _ in range(200)]
+    monkeypatch.setattr(dedupe, "BIT_WORDS", 64)
+    table = lambda some: pa.table({"key": pa.array(range(len(some))), "rows": pa.array([1] * len(some)), "set": pa.array(some, pa.list_(pa.int64())), "n": pa.array([len(s) for s in some])})
+    index = lambda x, y: len({*x} & {*y}) / len({*x} | {*y})
+    got = {(i, int(j)): float(s) for i, near, sims in dedupe._alike(table(sets[:90]), table(sets[90:]), 0.2) for j, s in zip(near, sims)}
+    assert got == {(i, j): s for i, x in enumerate(sets[:90]) for j, y in enumerate(sets[90:]) if (s := index(x, y)) >= 0.2}
+    got = {(i, int(j)) for i, near, _ in dedupe._alike(table(sets), None, 0.2) for j in near}
+    assert got == {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and index(x, y) >= 0.2}
+
+
+def test_no_alike_sets_of_an_empty_table(spark):
+    df = dedupe.similar_pairs(spark.createDataFrame([], "id long, w array<string>"), "id", F.col("w"), 0.5)
+    assert df.columns == ["key", "other", "similarity", "n_key", "n_other"] and df.count() == 0
