@@ -110,3 +110,19 @@ def test_a_text_is_read_once_by_each_step(spark):
     odd = [f"x{a}{b}y{b}" for a in blanks for b in blanks]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").select("i", X.normalize_whitespace(F.col("t"))).collect()
     assert {r[1] for r in got} == {"x y"}
+
+
+def test_hashes_of_tokens_at_once_are_those_one_by_one():
+    from tidewire.functions.simhash import _fnv, _voted
+
+    def plain(token):
+        h = 0xCBF29CE484222325
+        for c in map(ord, token):
+            h = ((h ^ c) * 0x100000001B3) % 2**64
+        return h
+
+    tokens = ["a", "", "fed", "ünion", "\U0001f600x", "\ud800", "x" * 5_000, "fed-1", *(f"w{i}" for i in range(3_000))]
+    assert _fnv(tokens).tolist() == [plain(t) for t in tokens]
+    lists = [tokens[:4], [], ["fed", "fed", "a"]]
+    want = [sum(1 << b for b in range(64) if sum(1 if plain(t) >> b & 1 else -1 for t in x) > 0) if x else 0 for x in lists]
+    assert _voted(lists).tolist() == want
