@@ -126,3 +126,15 @@ def test_hashes_of_tokens_at_once_are_those_one_by_one():
     lists = [tokens[:4], [], ["fed", "fed", "a"]]
     want = [sum(1 << b for b in range(64) if sum(1 if plain(t) >> b & 1 else -1 for t in x) > 0) if x else 0 for x in lists]
     assert _voted(lists).tolist() == want
+
+
+def test_white_space_is_looked_at_once_for_the_same_clean_text(spark):
+    odd = [
+        None, "", "  ", "a  b  c\n", "see https://a.b/c d @ann  #x #y #z", "RT @bob:  hi\t@ann #a", "#a #b #c", "x @a_b #a #b #c  ", "&amp;#a  &nbsp;@x", "up #a #b #c. end", "a@b  c", "é  #q",
+        " #a #b #c #d", "@x", "t &lt;b&gt;　https://x.y @z #1 #2 #3 ",
+    ]
+    x = F.col("x")
+    step_by_step = X.normalize_whitespace(X.strip_trailing_hashtags(X.strip_handles(X.strip_urls(X.decode_entities(x)))))
+    df = spark.createDataFrame(list(enumerate(odd)), "i int, x string").select("i", X.cleaned(x).alias("got"), step_by_step.alias("want"))
+    for r in df.collect():
+        assert r.got == r.want, odd[r.i]
