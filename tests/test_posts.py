@@ -123,6 +123,19 @@ def test_blocks_of_clusters_that_outlive_the_window(spark):
     assert {r.event_id for r in got.values()} == {"1"} and got["2"].source_count == 2
 
 
+def test_no_post_is_compared_again_while_its_cluster_is_open_no_longer(spark, monkeypatch):
+    calls = []
+
+    def noted(rows, floor):
+        calls.append({(r.key, r.ms, r.until, r.simhash) for r in rows.where("NOT own").select("key", "ms", "until", "simhash").collect()})
+        return links.similar_links(rows, floor)
+
+    monkeypatch.setattr(cluster, "similar_links", noted)
+    cluster.cluster_posts(spark.createDataFrame(STREAMS["lasting"](), POSTS)).count()
+    _, *turns = calls
+    assert len(turns) > 1 and sum(len(x) for x in turns) == len(set().union(*turns)) > 0
+
+
 def test_clusters_of_odd_tables(spark):
     rows = [("1", None, None, None, None, None, None, None), ("2", "", "NONE", [], [], None, "a", T0), ("2", "", "NONE", [], [], None, "a", T0), ("3", "word " * 5000, "FED", ["e"] * 50, ["e"], 1.0, "a", T0)]
     got = cluster.cluster_posts(spark.createDataFrame(rows, POSTS)).collect()
