@@ -136,6 +136,24 @@ def test_no_post_is_compared_again_while_its_cluster_is_open_no_longer(spark, mo
     assert len(turns) > 1 and sum(len(x) for x in turns) == len(set().union(*turns)) > 0
 
 
+def test_clusters_with_one_common_word_are_not_looked_at():
+    class Noted(dict):
+        looked = 0
+
+        def __getitem__(self, key):
+            Noted.looked += 1
+            return super().__getitem__(key)
+
+    def post(i, words):
+        return {"id": str(i), "category": "FED", "words": frozenset(words), "simhash": 0, "figures": frozenset(), "entities": frozenset(), "kept": frozenset(), "importance": 1.0, "source_id": "a", "ms": i}
+
+    open_ = cluster.OpenClusters()
+    rows = [open_.take(post(i, ["common", *(f"w{i}-{k}" for k in range(12))])) for i in range(100)]
+    assert all(r["is_new"] for r in rows)
+    open_.clusters = Noted(open_.clusters)
+    assert open_.take(post(100, ["common", *(f"w7-{k}" for k in range(12))]))["event_id"] == "7" and Noted.looked < 10
+
+
 def test_clusters_of_odd_tables(spark):
     rows = [("1", None, None, None, None, None, None, None), ("2", "", "NONE", [], [], None, "a", T0), ("2", "", "NONE", [], [], None, "a", T0), ("3", "word " * 5000, "FED", ["e"] * 50, ["e"], 1.0, "a", T0)]
     got = cluster.cluster_posts(spark.createDataFrame(rows, POSTS)).collect()
