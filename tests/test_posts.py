@@ -2,6 +2,7 @@
 
 from collections import Counter
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -365,3 +366,28 @@ def test_alike_sets_of_more_words_than_bits(monkeypatch):
 def test_no_alike_sets_of_an_empty_table(spark):
     df = dedupe.similar_pairs(spark.createDataFrame([], "id long, w array<string>"), "id", F.col("w"), 0.5)
     assert df.columns == ["key", "other", "similarity", "n_key", "n_other"] and df.count() == 0
+
+
+def bytes_written_for(spark, run):
+    top = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(top.rglob("*.parquet"))
+    run().write.format("noop").mode("overwrite").save()
+    return sum(p.stat().st_size for p in set(top.rglob("*.parquet")) - before if p.is_file())
+
+
+def long_posts(spark, n=40, words=3000):
+    r = np.random.default_rng(5)
+    text = lambda: " ".join("".join(chr(97 + k) for k in r.integers(0, 26, 9)) for _ in range(words))
+    rows = [(i, "a", f"US CPI inflation report {i}. {text()}", None, T0 + timedelta(minutes=i), T0 + timedelta(minutes=i)) for i in range(n)]
+    posts = spark.createDataFrame(rows, "id int, source_id string, text string, url string, ts timestamp, published_at timestamp")
+    sources = spark.createDataFrame([("a", True, "rss", 90.0, 5.0, False, "standard", None)], "source_id string, enabled boolean, source_type string, quality_score double, noise_score double, official boolean, filter_profile string, category string")
+    return posts, sources, sum(len(x[2]) for x in rows)
+
+
+def test_texts_of_posts_that_are_judged_twice_go_to_no_disk(spark, monkeypatch):
+    from tidewire.plans import queries
+
+    posts, _, size = long_posts(spark)
+    monkeypatch.setattr(queries, "_posts", lambda s, d: posts)
+    # Hashes of different words are kept (8 bytes for each of these, which have 10), no text and no token.
+    assert bytes_written_for(spark, lambda: queries.QUERIES["replayed_posts"](spark, "")) < 1.2 * size
