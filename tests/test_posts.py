@@ -391,3 +391,9 @@ def test_texts_of_posts_that_are_judged_twice_go_to_no_disk(spark, monkeypatch):
     monkeypatch.setattr(queries, "_posts", lambda s, d: posts)
     # Hashes of different words are kept (8 bytes for each of these, which have 10), no text and no token.
     assert bytes_written_for(spark, lambda: queries.QUERIES["replayed_posts"](spark, "")) < 1.2 * size
+
+
+def test_a_text_is_written_once_on_its_way(spark):
+    posts, sources, size = long_posts(spark)
+    # Once as it is cleaned, and hashes of different words, of 8 bytes each.
+    assert bytes_written_for(spark, lambda: process(posts, sources, LEXICON)) < 2.2 * size
