@@ -397,3 +397,21 @@ def test_a_text_is_written_once_on_its_way(spark):
     posts, sources, size = long_posts(spark)
     # Once as it is cleaned, and hashes of different words, of 8 bytes each.
     assert bytes_written_for(spark, lambda: process(posts, sources, LEXICON)) < 2.2 * size
+
+
+def test_tokens_are_cut_where_they_are_hashed(spark):
+    from tidewire.functions import simhash
+    from tidewire.functions import text as X
+    from tidewire.plans import queries
+
+    plan = queries.QUERIES["simhash_near_dups"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # Conditions of a candidate: one for each block of bits, not for each three of them.
+    assert sum(line.count("shiftrightunsigned") for line in plan.splitlines() if "Join" in line) == 6
+    texts = ["The U.S. economy’s 1,000.5 up x-ray-2 's It's", "K’s İstanbul's", "a퟿b ٣ 12. ab", "the a of", "", None, "one two one", "two ONE  one"] * 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    tokens = X.tokenize(F.coalesce("t", F.lit("")))
+    rows = df.select("t", simhash.simhash64(tokens).alias("old"), simhash.text_simhash64(F.col("t")).alias("new"), F.array_distinct(X.significant(tokens)).alias("words"), simhash.text_words(F.col("t")).alias("hashes")).collect()
+    assert all(r.old == r.new and len(r.hashes) == len(set(r.hashes)) == len(r.words) for r in rows) and rows[-1].hashes and rows[4].old == 0
+    known = {w: h for r in rows if len(r.words) == 1 for w, h in zip(r.words, r.hashes)}
+    assert all(known[w] in r.hashes for r in rows for w in r.words if w in known)
+    assert {frozenset(r.hashes) for r in rows if r.t == "one two one"} == {frozenset(r.hashes) for r in rows if r.t == "two ONE  one"}
