@@ -415,3 +415,29 @@ def test_tokens_are_cut_where_they_are_hashed(spark):
     known = {w: h for r in rows if len(r.words) == 1 for w, h in zip(r.words, r.hashes)}
     assert all(known[w] in r.hashes for r in rows for w in r.words if w in known)
     assert {frozenset(r.hashes) for r in rows if r.t == "one two one"} == {frozenset(r.hashes) for r in rows if r.t == "two ONE  one"}
+
+
+def test_words_of_sets_are_made_once_and_few_pairs_are_looked_at(spark):
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(words):
+        seen.add(1)
+        return words
+
+    rows = [(i, [f"w{int(w)}" for w in r.integers(0, 30, 6)]) for i in range(50)] + [(50, [])]
+    words = F.udf(told, "array<string>")(F.col("w"))
+    got = {tuple(x) for x in dedupe.similar_pairs(spark.createDataFrame(rows, "id long, w array<string>"), "id", words, 0.5).collect()}
+    assert got == brute_pairs(rows, 0.5) and seen.value == len(rows)
+
+    sizes = [*r.integers(20, 400, 300), 6_000, 6_100]
+    sets = [{int(w) for w in r.integers(0, 40_000, n)} for n in sizes]
+    sets += [{*sorted(s)[: int(len(s) * 0.8)]} for s in sets[:20] + sets[-1:]]
+    table = pa.table({"key": pa.array(range(len(sets))), "rows": pa.array([1] * len(sets)), "set": pa.array([sorted(s) for s in sets], pa.list_(pa.int64())), "n": pa.array([len(s) for s in sets])})
+    block = dedupe._Block(table)
+    near = {frozenset((int(i), int(j))) for x, y in dedupe._near_pieces(block, block, 0.5) for i, j in zip(x, y)}
+    alike = {frozenset((i, j)) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 2 * len(a & b) >= len(a | b)}
+    assert len(alike) == 21 and alike <= near and len(near) < 100
+    assert {frozenset((i, int(j))) for i, near, _ in dedupe._alike(table, None, 0.5) for j in near} == alike
